@@ -182,9 +182,27 @@ def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, at
 
 
-def words(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of letters and digits: (code points, starts, ends, text of each, hashes)."""
+_LOWER: np.ndarray | None = None
+
+
+def lower_table() -> np.ndarray:
+    """uint32 by code point: its lower-case form where that is one code point, else itself."""
+    global _LOWER
+    if _LOWER is None:
+        t = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x1E944):
+            low = chr(i).lower()
+            if len(low) == 1:
+                t[i] = ord(low)
+        _LOWER = t
+    return _LOWER
+
+
+def words(parts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of letters and digits: (code points, starts, ends, text of each, hashes); lower: all in lower case."""
     cp, at = code_points(parts)
+    if lower:
+        cp = lower_table()[cp]
     c = char_classes()[cp]
     inside = np.zeros(len(cp) + 2, np.int8)
     inside[1:-1] = (c == LETTER) | (c == DIGIT)
@@ -200,3 +218,50 @@ def words(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             ends = np.sort(np.concatenate([ends, add]))
     text = np.searchsorted(at, starts, "right") - 1
     return cp, starts, ends, text, span_hashes(cp, starts, ends)
+
+
+def word_batches(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Lower-case words' hashes of whole texts: (rows, hashes in order, where each row's words start, one more at the end).
+
+    Long texts are read in segments, but every row's words come together. Rows without words are left out.
+    """
+    rows: list[int] = []
+    got: list[np.ndarray] = []
+    size: list[int] = []
+    held = 0
+    for seg_rows, parts in segments(texts):
+        _, _, _, text, h = words(parts, lower=True)
+        n = np.bincount(text, minlength=len(parts))
+        at = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(n, out=at[1:])
+        for k, row in enumerate(seg_rows.tolist()):
+            if rows and row != rows[-1] and held >= CHUNK_CHARS // 6:
+                yield rows, np.concatenate(got), np.concatenate([[0], np.cumsum(size)])
+                rows, got, size, held = [], [], [], 0
+            if not n[k]:
+                continue
+            piece = h[at[k] : at[k + 1]]
+            held += len(piece)
+            got.append(piece)
+            if rows and rows[-1] == row:
+                size[-1] += len(piece)
+            else:
+                rows.append(row)
+                size.append(len(piece))
+    if rows:
+        yield rows, np.concatenate(got), np.concatenate([[0], np.cumsum(size)])
+
+
+def shingle_hashes(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each, hash of each) of all runs of k words; a shorter row gives one of all its words."""
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size)), size)
+    left = at[row + 1] - np.arange(len(h))  # words from here to the row's end
+    whole = (left >= k) | ((np.arange(len(h)) == at[row]) & (size[row] < k))
+    start = np.flatnonzero(whole)
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(start), np.uint64)
+        for j in range(k):
+            p = np.minimum(start + j, len(h) - 1)
+            out = out * np.uint64(0x9E3779B97F4A7C15) + np.where(j < left[start], h[p], np.uint64(0))
+    return row[start], mix64(out)

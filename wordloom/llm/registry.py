@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.llm import minhash, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
-from wordloom.llm import transducer
 from wordloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,15 +17,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts_module.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return transducer.encode_documents(docs).drop("text")
 
 
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op8_bpe_transducer": op8_bpe_transducer,
+        "op10_probminhash": op10_probminhash,
     }
 
 
