@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import minhash, toxicity, transducer
+from wordloom.llm import decontaminate, minhash, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
@@ -22,6 +22,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return transducer.encode_documents(docs).drop("text")
@@ -35,6 +39,7 @@ def queries() -> dict[str, Query]:
     return {
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
+        "op7_cgk_decontamination": op7_cgk_decontamination,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op10_probminhash": op10_probminhash,
     }
