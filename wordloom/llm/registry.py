@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, minhash, toxicity, transducer
+from wordloom.llm import decontaminate, minhash, rans, sharding, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op2_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts_module.token_counts(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_karmarkar_karp_shards": op1_karmarkar_karp_shards,
+        "op2_rans_blocks": op2_rans_blocks,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
         "op7_cgk_decontamination": op7_cgk_decontamination,
