@@ -158,7 +158,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     while True:
         if leaders > 1:
             rank = F.row_number().over(bucket.orderBy("id"))
-            ranked = pending.withColumn("n", rank)
+            ranked = pending.drop("lead").withColumn("n", rank)
             held = ranked.join(ranked.where(F.col("n") <= leaders).select("band", F.col("id").alias("lead")), "band").where("id > lead").select("band", "id", "lead", "n")
         else:
             held = pending.where("id > lead").select("band", "id", "lead", F.lit(2).alias("n"))
