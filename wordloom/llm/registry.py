@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, minhash, rans, sharding, toxicity, transducer
+from wordloom.llm import decontaminate, html_content, minhash, rans, sharding, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
@@ -21,6 +21,11 @@ def op2_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_dom_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.train(pages))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts_module.token_counts(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_karmarkar_karp_shards": op1_karmarkar_karp_shards,
         "op2_rans_blocks": op2_rans_blocks,
+        "op3_dom_content": op3_dom_content,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
         "op7_cgk_decontamination": op7_cgk_decontamination,
