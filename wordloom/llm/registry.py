@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, html_content, minhash, rans, sharding, toxicity, transducer
+from wordloom.llm import decontaminate, html_content, minhash, pii, rans, sharding, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_dom_content": op3_dom_content,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
+        "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_cgk_decontamination": op7_cgk_decontamination,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op10_probminhash": op10_probminhash,
