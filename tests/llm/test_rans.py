@@ -7,7 +7,7 @@ from wordloom.llm import rans
 from wordloom.llm.transducer import encode_texts
 
 
-@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000, rans.STRIDE, rans.STRIDE * 3 + 7])
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000, rans.STRIDE, rans.STRIDE * 3 + 7])
 def test_round_trip_from_every_checkpoint(n):
     r = np.random.default_rng(n)
     ids = np.minimum(r.geometric(0.01, n + 500), 999)
@@ -25,7 +25,7 @@ def test_size_is_near_the_entropy():
     c = np.bincount(ids, minlength=5000)
     p = c[c > 0] / len(ids)
     payload = rans.encode(rans.Table.of(c), ids, np.array([0, len(ids)]))[0][0]
-    assert len(payload) * 8 < len(ids) * -(p * np.log2(p)).sum() * 1.01 + 64 * rans.LANES
+    assert len(payload) * 8 < len(ids) * -(p * np.log2(p)).sum() * 1.01
 
 
 def test_scaled_frequencies():
@@ -37,7 +37,7 @@ def test_scaled_frequencies():
 
 def test_documents_and_odd_rows(spark):
     r = random.Random(2)
-    long = " ".join(r.choice(["ering", "thon", "of", "the", "x1"]) for _ in range(120_000))
+    long = " ".join(r.choice(["ering", "thon", "of", "the", "x1"]) for _ in range(500_000))
     rows = [(1, "the thing's", "a"), (1, "the thing's", "a"), (None, "é", None), (3, None, "b"), (4, "", "c"), (5, long, "d")] + [(10 + i, "word " * i, "e") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, payload string").repartition(3)
     blocks = rans.encode_documents(docs).cache()

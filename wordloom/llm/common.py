@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised step handles; bounds a Python worker's memory whatever the batch.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 800_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +43,25 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what saved() wrote for df, once nothing that is still to run reads it."""
+    if path := getattr(df, "_saved_at", None):
+        _drop(df.sparkSession, path)
+
+
+def bounded_sample(df: DataFrame, most: int, by: Column, total: int | None = None) -> DataFrame:
+    """At most `most` rows of df, chosen by the hash `by`. A share of the hashes is cut off first, so that no task keeps
+    many more rows than its part of the sample."""
+    total = df.count() if total is None else total
+    if total > most:
+        share = min(1.0, 1.1 * most / total + 20 / total)
+        df = df.where(F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.orderBy(by, *df.columns).limit(most)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -265,3 +283,15 @@ def shingle_hashes(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, n
             p = np.minimum(start + j, len(h) - 1)
             out = out * np.uint64(0x9E3779B97F4A7C15) + np.where(j < left[start], h[p], np.uint64(0))
     return row[start], mix64(out)
+
+
+def sliced(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about limit bytes in a column, so that what is made of them stays small."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // limit
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(at, at[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import bpe
-from wordloom.llm.common import saved, segments
+from wordloom.llm.common import saved, segments, sliced
 
-SCALE, LANES, BLOCK, STRIDE = 20, 32, 1 << 16, 1 << 14
+SCALE, LANES, BLOCK, STRIDE = 20, 128, 1 << 18, 1 << 16
 LOW = np.uint64(1 << 31)
 #: Identifiers that are encoded side by side.
-AT_ONCE = 48 * BLOCK
+AT_ONCE = 16 * BLOCK
 
 
 @dataclass
@@ -82,18 +82,21 @@ def encode(table: Table, ids: np.ndarray, at: np.ndarray) -> list[tuple[bytes, l
     limit = np.uint64((1 << 31 >> SCALE) << 32)
     steps = -(-n // LANES)
     last = int(steps.max(initial=0))
+    base = (at[:-1, None] + lane).ravel()
+    shortest = int(n.min(initial=0))
     for t in range(last - 1, -1, -1):
-        place = t * LANES + lane
-        live = place[None, :] < n[:, None]
-        rows = np.flatnonzero(live[:, 0])
-        whole = bool(live.all())
-        p = (at[:-1, None] + place)[live] if not whole else (at[:-1, None] + place).ravel()
+        whole = (t + 1) * LANES <= shortest
+        if whole:
+            p = base + t * LANES
+        else:
+            live = t * LANES + lane[None, :] < n[:, None]
+            p = (base + t * LANES)[live.ravel()]
         f, c = freq[p], start[p]
         s = x[live] if not whole else x.ravel()
         over = s >= limit * f
         k = np.flatnonzero(over)
         if len(k):
-            who = np.repeat(np.arange(blocks), live.sum(1))[k]
+            who = k // LANES if whole else np.repeat(np.arange(blocks), live.sum(1))[k]
             words.append((s[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[::-1])
             owner.append(who[::-1])
             emitted += np.bincount(who, minlength=blocks)
@@ -105,7 +108,7 @@ def encode(table: Table, ids: np.ndarray, at: np.ndarray) -> list[tuple[bytes, l
         else:
             x[live] = s
         if t * LANES % STRIDE == 0:
-            for b in rows.tolist():
+            for b in np.flatnonzero(n > t * LANES).tolist():
                 points[b].append((t * LANES, int(emitted[b]), x[b].astype("<u8").tobytes()))
     flat = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
     who = np.concatenate(owner)[::-1] if owner else np.zeros(0, np.int64)
@@ -179,7 +182,7 @@ def _tokens(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(vocab, np.int64)
         id_type = None
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, text_col)):
             texts = b.column(1).to_pylist()
             id_type = b.schema.field(0).type
             ids, off = _encode_ids(texts, vocabulary)
@@ -251,7 +254,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
         crc = table.checksum
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "ids", 8_000_000)):
             col = b.column(1)
             off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
             ids = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(width).astype(np.int64)

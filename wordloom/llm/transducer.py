@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import bpe
-from wordloom.llm.common import free_name, segments
+from wordloom.llm.common import free_name, segments, sliced
 
 
 @lru_cache(maxsize=4)
@@ -216,7 +216,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _sliced(whole, text_col):
+            for batch in sliced(whole, text_col):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 ids, off = encode_texts(texts, vocabulary)
                 back = decode_rows(ids, off, vocabulary)
@@ -227,15 +227,3 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, text_col
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, f"{schema}, `{names[0]}` array<int>, `{names[1]}` bigint, `{names[2]}` boolean")
-
-
-def _sliced(batch: pa.RecordBatch, text_col: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about limit bytes of text, so that lists of identifiers stay small."""
-    import pyarrow.compute as pc
-
-    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size) // limit
-    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
-    for a, b in zip(at, at[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
