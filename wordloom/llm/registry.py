@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, html_content, minhash, pii, rans, sharding, toxicity, transducer
+from wordloom.llm import decontaminate, html_content, minhash, nn_descent, pii, rans, sharding, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
@@ -48,6 +48,10 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_documents(docs).drop("text")
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_cgk_decontamination": op7_cgk_decontamination,
         "op8_bpe_transducer": op8_bpe_transducer,
+        "op9_nn_descent": op9_nn_descent,
         "op10_probminhash": op10_probminhash,
     }
 
