@@ -1,19 +1,49 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again by the next.
+
+toxicity drops documents that a model trained on `labels` rejects; minhash keeps one document of each group of near-
+duplicates; decontamination drops documents that hold a passage of `benchmark`; pii replaces identifiers by their kind's
+name in the text (n_chars follows it); bpe adds token_ids, n_tokens and round_trip. All stages but the last return the
+columns of documents. Every stage works on all rows of the one before; what a stage does with nulls, empty and long
+texts, repeated rows and empty tables is said at its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.llm import transducer
+from wordloom.llm import decontaminate, minhash, pii, toxicity, transducer
 from wordloom.llm.common import saved, table
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers of every remaining text, with the check that they decode to it."""
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kind = docs.schema["n_chars"].dataType
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast(kind))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return transducer.encode_documents(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("minhash", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("pii", without_identifiers),
+    ("bpe", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: No stage but the counting of copies can be said in SQL.
 ORACLE_SQL = None
