@@ -20,6 +20,11 @@ STOP_WORDS = frozenset("a an as at be by if in is it of on or to us we and are c
 TOKEN = T.StructType([T.StructField("t", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("b", T.DoubleType())])
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value worked out once: what a lambda refers to is otherwise worked out for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _token(t: Column, pos: Column, b: Column | None = None) -> Column:
     return F.struct(t.cast("string").alias("t"), pos.cast("int").alias("pos"), (F.lit(1.0) if b is None else b).cast("double").alias("b"))
 
@@ -123,9 +128,9 @@ class PathTokenizer(Tokenizer):
     """/a/b/c gives /a, /a/b and /a/b/c."""
 
     def split(self, text: Column) -> Column:
-        parts = F.filter(F.split(text, "/"), lambda x: x != "")
         root = F.when(text.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-        return F.transform(parts, lambda x, i: F.concat(root, F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+        paths = lambda parts: F.transform(parts, lambda x, i: F.concat(root, F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+        return let(F.filter(F.split(text, "/"), lambda x: x != ""), paths)
 
 
 class NgramTokenizer(Tokenizer):
@@ -135,12 +140,20 @@ class NgramTokenizer(Tokenizer):
         self.minsize, self.maxsize = minsize, maxsize or minsize
 
     def apply(self, tokens: Column, mode: str) -> Column:
+        return let(tokens, lambda t: self._grams(t, mode))
+
+    def _grams(self, tokens: Column, mode: str) -> Column:
         sizes = range(self.minsize, self.maxsize + 1) if mode == "index" else [self.maxsize]
-        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(tokens) - n + 1, F.lit(0)), F.lit(1)), lambda i, n=n: _token(F.substring(tokens, i, F.lit(n)), i - 1)) for n in sizes]
+        grams = [_windows(tokens, F.lit(n), lambda g, i: _token(g, i - 1)) for n in sizes]
         grams = [F.when(F.length(tokens) >= n, g).otherwise(F.array().cast(T.ArrayType(TOKEN))) for n, g in zip(sizes, grams)]
         return F.array_sort(F.concat(*grams), lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(F.length(a["t"]) - F.length(b["t"])))
 
 
+def _windows(t: Column, n: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(substring of n characters, where it starts) all along t."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: made(F.substring(t, i, n), i))
+
+
 class PassFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
         return tokens
@@ -202,7 +215,7 @@ class StopFilter(Step):
         kept = F.filter(tokens, ok)
         if not self.renumber:
             return kept
-        return F.transform(kept, lambda x, i: _token(x["t"], F.get(kept, F.lit(0))["pos"] + i, x["b"]))
+        return let(kept, lambda k: F.transform(k, lambda x, i: _token(x["t"], F.get(k, F.lit(0))["pos"] + i, x["b"])))
 
 
 class DelimitedAttributeFilter(Step):
@@ -228,7 +241,12 @@ class ShingleFilter(Step):
         self.size, self.sep = size, sep
 
     def apply(self, tokens: Column, mode: str) -> Column:
-        text = F.transform(tokens, lambda x: x["t"])
+        return let(tokens, self._joined)
+
+    def _joined(self, tokens: Column) -> Column:
+        return let(F.transform(tokens, lambda x: x["t"]), lambda text: self._of(tokens, text))
+
+    def _of(self, tokens: Column, text: Column) -> Column:
         n = F.size(tokens)
         many = F.transform(F.slice(tokens, F.lit(1), F.greatest(n - self.size + 1, F.lit(0))), lambda x, i: _token(F.array_join(F.slice(text, i + 1, F.lit(self.size)), self.sep), x["pos"], x["b"]))
         return F.when(n >= self.size, many).otherwise(F.array().cast(T.ArrayType(TOKEN)))
@@ -241,7 +259,7 @@ class BiWordFilter(ShingleFilter):
         super().__init__(2, sep)
 
     def apply(self, tokens: Column, mode: str) -> Column:
-        return F.when(F.size(tokens) < 2, tokens).otherwise(super().apply(tokens, mode))
+        return let(tokens, lambda t: F.when(F.size(t) < 2, t).otherwise(self._joined(t)))
 
 
 class NgramFilter(Step):
@@ -262,7 +280,7 @@ class NgramFilter(Step):
                 elif self.at == "end":
                     out = F.array(_token(F.substring(t, size - n + 1, n), x["pos"], x["b"]))
                 else:
-                    out = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: _token(F.substring(t, i, n), x["pos"], x["b"]))
+                    out = _windows(t, n, lambda g, i: _token(g, x["pos"], x["b"]))
                 return F.when(size >= self.minsize, out).otherwise(none)
             parts = []
             for n in range(self.minsize, self.maxsize + 1):
@@ -271,7 +289,7 @@ class NgramFilter(Step):
                 elif self.at == "end":
                     g = F.array(_token(F.substring(t, size - n + 1, F.lit(n)), x["pos"], x["b"]))
                 else:
-                    g = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: _token(F.substring(t, i, F.lit(n)), x["pos"], x["b"]))
+                    g = _windows(t, F.lit(n), lambda g, i: _token(g, x["pos"], x["b"]))
                 parts.append(F.when(size >= n, g).otherwise(none))
             return F.concat(*parts)
 

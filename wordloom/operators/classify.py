@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions.analysis import let
 from wordloom.operators import query as Q
 from wordloom.sources.corpus import Corpus, term_info
 
@@ -73,8 +74,10 @@ def simhash(features: Column, weights: Column | None = None) -> Column:
     """64-bit simhash of an array of strings, by xxhash64: each bit is what most of the weight has."""
     hashes = F.transform(features, lambda x: F.xxhash64(x))
     w = weights if weights is not None else F.transform(features, lambda x: F.lit(1.0))
-    both = F.arrays_zip(hashes.alias("h"), w.alias("w"))
+    return let(F.zip_with(hashes, w, lambda h, x: F.struct(h.alias("h"), x.alias("w"))), _bits)
 
+
+def _bits(both: Column) -> Column:
     def bit(i: int) -> Column:
         total = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + F.when(F.shiftright(x["h"], i).bitwiseAND(F.lit(1)) == 1, x["w"]).otherwise(-x["w"]))
         return F.when(total > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))

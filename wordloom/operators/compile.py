@@ -150,7 +150,7 @@ class Compiler:
             return self.span(Q.SpanNear(tuple(Q.Term(q.field, x) for x in q.words), q.slop, boost=q.boost), w)
         if isinstance(q, Q.SpanNear):
             kids = [self.walk(c, w, True) for c in q.subs]
-            places = reduce(lambda a, b: spans.near(a, b, q.slop, q.ordered, q.mindist), (k.places for k in kids))
+            places = reduce(lambda a, b: spans.bound(spans.near, a, b, q.slop, q.ordered, q.mindist), (k.places for k in kids))
             return self.placed(places, sum((k.score for k in kids), F.lit(0.0)) * q.boost, any(k.own for k in kids))
         if isinstance(q, Q.SpanFirst):
             k = self.walk(q.query, w, True)
@@ -160,11 +160,11 @@ class Compiler:
             return self.placed(spans.merged(F.concat(*(k.places for k in kids))), sum((F.when(k.match, k.score).otherwise(0.0) for k in kids), F.lit(0.0)), all(k.own for k in kids))
         a, b = self.walk(q.a, w, True), self.walk(q.b, w, True)
         if isinstance(q, Q.SpanNot):
-            return self.placed(spans.outside(a.places, b.places), a.score, a.own)
+            return self.placed(spans.bound(spans.outside, a.places, b.places), a.score, a.own)
         if isinstance(q, Q.SpanContains):
-            return self.placed(spans.containing(a.places, b.places), a.score + b.score, True)
+            return self.placed(spans.bound(spans.containing, a.places, b.places), a.score + b.score, True)
         if isinstance(q, Q.SpanBefore):
-            return self.placed(spans.before(a.places, b.places), a.score + b.score, True)
+            return self.placed(spans.bound(spans.before, a.places, b.places), a.score + b.score, True)
         if isinstance(q, Q.SpanCondition):
             return Node(b.match & (F.size(a.places) > 0), a.score, a.places, True)
         raise TypeError(f"no plan for {type(q).__name__}")

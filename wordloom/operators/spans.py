@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordloom.functions.analysis import let
+
 NONE = "array<struct<s:int,e:int>>"
 
 
@@ -37,6 +39,11 @@ def near(a: Column, b: Column, slop: int, ordered: bool, mindist: int) -> Column
     return F.array_sort(F.array_distinct(F.flatten(F.transform(a, pairs))))
 
 
+def bound(fn, a: Column, b: Column, *more) -> Column:
+    """fn(a, b) with both worked out once."""
+    return let(a, lambda x: let(b, lambda y: fn(x, y, *more)))
+
+
 def first(a: Column, limit: int) -> Column:
     return F.filter(a, lambda x: x["e"] <= limit)
 

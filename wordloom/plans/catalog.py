@@ -48,5 +48,3 @@ def load() -> None:
     """Fill the registry; the modules of queries import this one."""
     from wordloom.plans import catalog_analysis, catalog_features, catalog_search  # noqa: F401
 
-
-load()

@@ -54,7 +54,7 @@ register("field_statistics", f"WITH {TOK} SELECT n, total::BIGINT AS total_text,
 register("field_lengths", f"WITH {TOK} SELECT min(fl)::INTEGER AS shortest, max(fl)::INTEGER AS longest FROM len")(lambda s, d: documents(s, d).tokens("text").select(F.size("tokens").alias("n")).where("n > 0").agg(F.min("n").alias("shortest"), F.max("n").alias("longest")))
 register("postings_positions", f"WITH {TOK} SELECT doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok WHERE t = 'thre' GROUP BY doc_id")(lambda s, d: documents(s, d).postings("text", lambda t: t == "thre", True).select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
 register("vector_terms", f"WITH {TOK} SELECT t AS term, doc_id, tf::INTEGER AS tf FROM post WHERE doc_id IN (3, 5, 8)")(lambda s, d: (lambda c: c.vector("text", c.docs().where("doc_id in (3, 5, 8)")).select("term", "doc_id", "tf"))(documents(s, d)))
-register("spelling_suggest", f"WITH {TOK} SELECT t AS term, levenshtein(t, 'thrion')::INTEGER AS distance, cf::DOUBLE AS cf FROM ts WHERE levenshtein(t, 'thrion') <= 2 ORDER BY 2, cf DESC, t LIMIT 10")(lambda s, d: suggestions(documents(s, d), "text", "thrion", 10))
+register("spelling_suggest", rf"WITH {TOK}, lv AS (SELECT *, levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'thrion') AS d FROM ts) SELECT t AS term, d::INTEGER AS distance, cf::DOUBLE AS cf FROM lv WHERE d <= 2 ORDER BY 2, cf DESC, t LIMIT 10")(lambda s, d: suggestions(documents(s, d), "text", "thrion", 10))
 
 _KEYS = """, own AS (SELECT t, sum(tf) AS top FROM post WHERE doc_id IN (3, 5, 8) GROUP BY t), tt AS (SELECT sum(top) AS tt FROM own),
 r AS (SELECT t, {formula} AS raw FROM own JOIN ts USING (t) CROSS JOIN fs CROSS JOIN tt), b AS (SELECT * FROM r WHERE raw > 0 ORDER BY raw DESC, t LIMIT 8)

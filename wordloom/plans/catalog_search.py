@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions import analysis as an
 from wordloom.functions.formats import DATETIME, ID, KEYWORD, NUMERIC, TEXT, Schema
 from wordloom.operators import facets as fc
 from wordloom.operators import query as Q
@@ -93,8 +92,8 @@ register("prefix_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE sta
 register("prefix_scored", f"WITH {BM25} SELECT doc_id, round(sum(s), 6) AS score FROM bm WHERE starts_with(t, 'thr') GROUP BY doc_id")(lambda s, d: every(s, d, Q.Prefix("text", "thr", constantscore=False)))
 register("wildcard_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE regexp_full_match(t, 't.*re[ad].')")(lambda s, d: ids(s, d, Q.Wildcard("text", "t*re[ad]?")))
 register("regex_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE regexp_matches(t, '^(?:th(re|at)+n)')")(lambda s, d: ids(s, d, Q.Regex("text", "th(re|at)+n")))
-register("fuzzy_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE starts_with(t, 't') AND levenshtein(t, 'thren') <= 1")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "thren")))
-register("fuzzy_distance_two", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE levenshtein(t, 'ation') <= 2")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "ation", maxdist=2, prefixlength=0)))
+register("fuzzy_terms", rf"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE starts_with(t, 't') AND levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'thren') <= 1")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "thren")))
+register("fuzzy_distance_two", rf"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'ation') <= 2")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "ation", maxdist=2, prefixlength=0)))
 register("variations_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE t IN ('tion', 'tions', 'tioned', 'tioning', 'tioner', 'tioners', 'tionly')")(lambda s, d: ids(s, d, Q.Or(tuple(T(x) for x in ("tion", "tions", "tioned", "tioning", "tioner", "tioners", "tionly")))))
 register("term_range", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE t >= 'thre' AND t < 'throu'")(lambda s, d: ids(s, d, Q.TermRange("text", "thre", "throu", endexcl=True)))
 register("numeric_range_price", "SELECT o_orderkey AS doc_id FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 150000.5")(lambda s, d: orders(s, d).searcher().docs_for_query(Q.NumericRange("o_totalprice", 1000, 150000.5, startexcl=True)))
@@ -167,4 +166,3 @@ register("facet_best", f"WITH {BM25} SELECT source AS key, arg_min(doc_id, (-s,
 register("facet_ordered_list", f"WITH {BM25} SELECT lang AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY s DESC, doc_id) AS docs FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' GROUP BY lang")(lambda s, d: _groups(documents(s, d), T("tion"), "lang", fc.OrderedList).select("key", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs")))
 register("stored_fields", f"WITH {BM25} SELECT doc_id, lang, source, round(s, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' ORDER BY s DESC, doc_id LIMIT 10")(lambda s, d: rounded(documents(s, d).searcher().search(T("tion")).fields("lang", "source").select("doc_id", "lang", "source", "score")))
 register("keyword_terms", "SELECT p_partkey AS doc_id, len(list_filter(regexp_extract_all(p_type, '[^ ]+'), lambda x: x = 'STEEL'))::DOUBLE AS score FROM part WHERE list_contains(regexp_extract_all(p_type, '[^ ]+'), 'STEEL')")(lambda s, d: parts(s, d).searcher(Frequency()).matches(Q.Term("p_type", "STEEL")))
-_ = an

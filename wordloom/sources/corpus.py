@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.analysis import let
 from wordloom.functions.formats import FieldType, Schema
 
 Predicate = Callable[[Column], Column]
@@ -83,11 +84,16 @@ def term_info(postings: DataFrame) -> DataFrame:
 
 def gathered(tokens: Column, where: Predicate | None, boost: float) -> Column:
     """Tokens of one document drawn together by term."""
-    chosen = tokens if where is None else F.filter(tokens, lambda x: where(x["t"]))
+    return let(tokens if where is None else F.filter(tokens, lambda x: where(x["t"])), lambda chosen: _by_term(chosen, boost))
+
+
+def _by_term(chosen: Column, boost: float) -> Column:
     terms = F.array_distinct(F.transform(chosen, lambda x: x["t"]))
 
     def one(t: Column) -> Column:
-        own = F.filter(chosen, lambda x: x["t"] == t)
+        return let(F.filter(chosen, lambda x: x["t"] == t), lambda own: made(t, own))
+
+    def made(t: Column, own: Column) -> Column:
         weight = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["b"]) * boost
         return F.struct(t.alias("term"), F.size(own).alias("tf"), weight.alias("weight"), F.array_sort(F.transform(own, lambda x: x["pos"])).alias("positions"))
 
