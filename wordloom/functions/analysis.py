@@ -103,7 +103,7 @@ class SpaceSeparatedTokenizer(RegexTokenizer):
 
 class CommaSeparatedTokenizer(Tokenizer):
     def split(self, text: Column) -> Column:
-        return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 class CharsetTokenizer(Tokenizer):
@@ -161,17 +161,17 @@ class PassFilter(Step):
 
 class LowercaseFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
-        return _texts(tokens, F.lower)
+        return _texts(tokens, lambda t: F.lower(t))
 
 
 class StripFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
-        return _texts(tokens, F.trim)
+        return _texts(tokens, lambda t: F.trim(t))
 
 
 class ReverseTextFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
-        return _texts(tokens, F.reverse)
+        return _texts(tokens, lambda t: F.reverse(t))
 
 
 class CharsetFilter(Step):
@@ -215,7 +215,10 @@ class StopFilter(Step):
         kept = F.filter(tokens, ok)
         if not self.renumber:
             return kept
-        return let(kept, lambda k: F.transform(k, lambda x, i: _token(x["t"], F.get(k, F.lit(0))["pos"] + i, x["b"])))
+        # no lambda within a lambda here: a Python step may follow, and its input has to be found again in the plan
+        first = F.get(kept, F.lit(0))["pos"]
+        numbers = F.when(F.size(kept) > 0, F.sequence(first, first + F.size(kept) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(kept, numbers, lambda x, p: _token(x["t"], p, x["b"]))
 
 
 class DelimitedAttributeFilter(Step):
@@ -340,15 +343,15 @@ class MapFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
         fn, ignore = self.fn, self.ignore
 
-        @F.arrow_udf(T.ArrayType(T.StringType()))
+        @F.arrow_udf(T.ArrayType(TOKEN))
         def run(c: pa.Array) -> pa.Array:
-            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-            d = c.flatten().dictionary_encode()
+            flat = c.flatten()
+            d = flat.field("t").dictionary_encode()
             made = pa.array([t if t is None or t in ignore else fn(t) for t in d.dictionary.to_pylist()], pa.string())
-            return pa.ListArray.from_arrays(pa.array([0, *_ends(c)], pa.int32()), made.take(d.indices))
+            rows = pa.StructArray.from_arrays([made.take(d.indices), flat.field("pos"), flat.field("b")], ["t", "pos", "b"])
+            return pa.ListArray.from_arrays(pa.array([0, *_ends(c)], pa.int32()), rows)
 
-        texts = run(F.transform(tokens, lambda x: x["t"]))
-        return F.zip_with(tokens, texts, lambda x, t: _token(t, x["pos"], x["b"]))
+        return run(tokens)
 
 
 def _ends(c: pa.Array) -> list[int]:
