@@ -71,15 +71,15 @@ for _model, _f in _FORMULA.items():
 
 
 def more_like(spark: SparkSession, d: str) -> DataFrame:
-    found = documents(spark, d).searcher().more_like(5, "text", top=10)
+    found = documents(spark, d).searcher().more_like(48, "text", top=10)
     return found.rows().select("doc_id", F.round("score", 6).alias("score"))
 
 
 register(
     "more_like_doc",
-    f"""WITH {TOK}, own AS (SELECT t, sum(tf) AS top FROM post WHERE doc_id = 5 GROUP BY t),
+    f"""WITH {TOK}, own AS (SELECT t, sum(tf) AS top FROM post WHERE doc_id = 48 GROUP BY t),
 r AS (SELECT t, {_FORMULA['bo1']} AS raw FROM own JOIN ts USING (t) CROSS JOIN fs), b AS (SELECT * FROM r WHERE raw > 0 ORDER BY raw DESC, t LIMIT 5),
 k AS (SELECT t, raw / max(raw) OVER () AS w FROM b)
 SELECT doc_id, round(sum(w * (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * fl / avgfl))), 6) AS score
-FROM post JOIN ts USING (t) JOIN len USING (doc_id) JOIN k USING (t) CROSS JOIN fs WHERE doc_id <> 5 GROUP BY doc_id ORDER BY sum(w * (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * fl / avgfl))) DESC, doc_id LIMIT 10""",
+FROM post JOIN ts USING (t) JOIN len USING (doc_id) JOIN k USING (t) CROSS JOIN fs WHERE doc_id <> 48 GROUP BY doc_id ORDER BY sum(w * (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * fl / avgfl))) DESC, doc_id LIMIT 10""",
 )(more_like)

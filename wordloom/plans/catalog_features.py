@@ -1,3 +1,93 @@
-"""Queries of the rest: similarity hashes, clustering, statistics, changes to documents."""
+"""Queries of the rest: parsed strings, excerpts, similarity, clustering, changes to documents, stems, streams."""
 
 from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.functions import analysis as an
+from wordloom.functions import text as tx
+from wordloom.operators import classify
+from wordloom.operators import query as Q
+from wordloom.operators.highlight import Highlighter, SentenceFragmenter, highlights
+from wordloom.plans.catalog import BM25, TOK, WORD, register
+from wordloom.plans.catalog_search import T, documents, orders, rounded, table
+from wordloom.plans.dates import DateParser
+from wordloom.plans.parser import ALL, MultifieldParser, QueryParser
+
+
+def parsed(spark: SparkSession, d: str, text: str) -> DataFrame:
+    c = documents(spark, d)
+    return rounded(c.searcher().matches(QueryParser("text", c.schema, spark, ALL).parse(text)))
+
+
+register("parsed_boolean", f"WITH {BM25} SELECT doc_id, round(sum(s), 6) AS score FROM bm WHERE t IN ('thre', 'tion') AND doc_id NOT IN (SELECT doc_id FROM bm WHERE t = 'ble') GROUP BY doc_id")(lambda s, d: parsed(s, d, "(thre OR tion) ANDNOT ble"))
+register("parsed_field_and_range", f"WITH {BM25} SELECT doc_id, round(s * 2 + 1, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' AND n_chars BETWEEN 400 AND 4000")(lambda s, d: parsed(s, d, "tion^2 n_chars:[400 TO 4000]"))
+register("parsed_plus_minus", f"WITH {BM25} SELECT doc_id, round(sum(s), 6) AS score FROM bm WHERE t IN ('thre', 'tion') AND doc_id IN (SELECT doc_id FROM bm WHERE t = 'thre') AND doc_id NOT IN (SELECT doc_id FROM bm WHERE t = 'ble') GROUP BY doc_id")(lambda s, d: parsed(s, d, "+thre tion -ble"))
+register("parsed_phrase", f"WITH {TOK} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.t = 'er' AND b.t = 'th' AND b.pos - a.pos BETWEEN 1 AND 3")(lambda s, d: (lambda c: c.searcher().docs_for_query(QueryParser("text", c.schema, s).parse('"er th"~3')))(documents(s, d)))
+register("parsed_date", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-01'")(
+    lambda s, d: (lambda c: c.searcher().docs_for_query(QueryParser("o_orderstatus", c.schema, s, ALL, dates=DateParser(dt.datetime(2000, 1, 1))).parse("o_orderdate:'march 1995'")))(orders(s, d))
+)
+register("parsed_multifield", f"WITH {TOK} SELECT DISTINCT doc_id FROM documents LEFT JOIN post USING (doc_id) WHERE t = 'tion' OR lang = 'tion'")(lambda s, d: (lambda c: c.searcher().docs_for_query(MultifieldParser(["text", "lang"], c.schema, s).parse("tion")))(documents(s, d)))
+register("parsed_fuzzy_wildcard", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE regexp_full_match(t, 'th.re') OR starts_with(t, 'ation')")(lambda s, d: (lambda c: c.searcher().docs_for_query(QueryParser("text", c.schema, s, ALL).parse("th?re OR ation*")))(documents(s, d)))
+
+
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    found = documents(spark, d).searcher().search(Q.Or((T("thre"), T("tion"))), limit=20)
+    return highlights(found, "text", Highlighter(SentenceFragmenter()))
+
+
+register("highlight_excerpts")(excerpts)
+
+
+def simhashes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", classify.simhash(F.array_distinct(an.SimpleAnalyzer().terms(F.col("text")))).alias("h"))
+    return rows.select("doc_id", F.lower(F.hex("h")).alias("simhash"))
+
+
+register("simhash_documents")(simhashes)
+register("hamming_distance", "SELECT o_orderkey AS doc_id, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS distance FROM orders")(lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), classify.hamming_distance(F.col("o_orderkey"), F.col("o_custkey")).cast("int").alias("distance")))
+register("shingles_of_names", "SELECT n_name, substr(n_name, i, 3) AS shingle, count(*) AS n FROM nation, range(1, 40) r(i) WHERE i + 2 <= length(n_name) GROUP BY 1, 2")(lambda s, d: table(s, d, "nation").select("n_name", F.explode(classify.shingles(F.col("n_name"), 3)).alias("shingle")).groupBy("n_name", "shingle").agg(F.count(F.lit(1)).alias("n")))
+register("kmeans_clusters", "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 250000 THEN 1 ELSE 2 END AS cluster FROM orders")(
+    lambda s, d: classify.kmeans(table(s, d, "orders"), "o_totalprice", 3, centers=[50000.0, 150000.0, 350000.0], maxiter=0).select("o_orderkey", "cluster")
+)
+register("sample_variance", "SELECT round(var_samp(o_totalprice), 2) AS variance FROM orders")(lambda s, d: classify.variance(table(s, d, "orders"), "o_totalprice").select(F.round("variance", 2).alias("variance")))
+register("weighted_variance", "SELECT round(sum(l_quantity * (l_discount - m) * (l_discount - m)) / (sum(l_quantity) - 1), 8) AS variance FROM lineitem, (SELECT sum(l_quantity * l_discount) / sum(l_quantity) AS m FROM lineitem)")(lambda s, d: classify.variance(table(s, d, "lineitem"), "l_discount", "l_quantity").select(F.round("variance", 8).alias("variance")))
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    return part.join(classify.swin(part, "p_size", 5, "p_brand").distinct().withColumnRenamed("start", "p_size"), ["p_brand", "p_size"]).select("p_size", "p_partkey", "n_within")
+
+
+register("sliding_windows", "SELECT p_size, p_partkey, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS n_within FROM part p")(_windows)
+register("natural_order", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 50")(lambda s, d: table(s, d, "customer").orderBy(tx.natural_sort_key(F.col("c_name"))).limit(50).select("c_name"))
+
+
+def upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers with those of even nations replaced and some deleted, through the index's own steps on frames."""
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name", "s_nationkey")
+    new = old.where("s_nationkey % 2 = 0").withColumn("s_name", F.concat(F.lit("new "), "s_name"))
+    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new).where("doc_id % 7 <> 3")
+
+
+register("upsert_result", "SELECT s_suppkey AS doc_id, CASE WHEN s_nationkey % 2 = 0 THEN 'new ' || s_name ELSE s_name END AS s_name, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 3")(upserted)
+
+
+def stemmed(spark: SparkSession, d: str) -> DataFrame:
+    analyzer = an.RegexAnalyzer(r"[a-z]+") | an.StemFilter()
+    return table(spark, d, "documents").where("lang = 'en'").select(F.explode(analyzer.terms(F.lower("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("stemmed_terms")(stemmed)
+register("events_by_window", "SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events GROUP BY 1, 2")(
+    lambda s, d: table(s, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+)
+register("results_upgrade", f"WITH {BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM bm WHERE t = 'tion' ORDER BY r LIMIT 10) SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id IN (SELECT doc_id FROM bm WHERE t = 'thre') THEN 0 ELSE 1 END, r)::INTEGER AS rank FROM a")(
+    lambda s, d: (lambda x: x.search(T("tion")).upgrade(x.search(T("thre"), limit=None)).rows().select("doc_id", "rank"))(documents(s, d).searcher())
+)
+register("results_extend", f"WITH {BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r, 0 AS p FROM bm WHERE t = 'tion' ORDER BY r LIMIT 5), b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r, 1 AS p FROM bm WHERE t = 'ble' ORDER BY r LIMIT 5) SELECT doc_id, row_number() OVER (ORDER BY p, r)::INTEGER AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a))")(
+    lambda s, d: (lambda x: x.search(T("tion"), limit=5).extend(x.search(T("ble"), limit=5)).rows().select("doc_id", "rank"))(documents(s, d).searcher())
+)
+register("collapse_lost_counts", f"WITH {TOK} SELECT lang AS key, count(*) - 1 AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE t = 'tion') GROUP BY lang HAVING count(*) > 1")(lambda s, d: documents(s, d).searcher().search(T("tion"), collapse="lang").collapsed_counts())
+register("suggest_by_prefix", f"SELECT t AS term, count(*)::DOUBLE AS cf FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS t FROM documents) WHERE starts_with(t, 'enti') GROUP BY t ORDER BY cf DESC, t LIMIT 10")(lambda s, d: documents(s, d).most_frequent_terms("text", 10, "enti"))

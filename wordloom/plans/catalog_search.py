@@ -113,7 +113,7 @@ register("span_first", f"WITH {TOK} SELECT DISTINCT doc_id FROM tok WHERE t = 'e
 register("span_not", f"WITH {TOK}, n AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.t = 'er' AND b.t = 'th' AND b.pos - a.pos BETWEEN 1 AND 5) SELECT DISTINCT doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM tok c WHERE c.doc_id = n.doc_id AND c.t = 'ed' AND c.pos BETWEEN n.s AND n.e)")(
     lambda s, d: ids(s, d, Q.SpanNot(Q.SpanNear((T("er"), T("th")), 5), T("ed")))
 )
-register("span_contains", f"WITH {TOK} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.t = 'er' AND b.t = 'th' AND b.pos - a.pos BETWEEN 1 AND 8 JOIN tok c ON c.doc_id = a.doc_id AND c.t = 'ed' AND c.pos BETWEEN a.pos AND b.pos")(lambda s, d: ids(s, d, Q.SpanContains(Q.SpanNear((T("er"), T("th")), 8), T("ed"))))
+register("span_contains", f"WITH {TOK} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.t = 'er' AND b.t = 'th' AND b.pos - a.pos BETWEEN 1 AND 60 JOIN tok c ON c.doc_id = a.doc_id AND c.t = 'ed' AND c.pos BETWEEN a.pos AND b.pos")(lambda s, d: ids(s, d, Q.SpanContains(Q.SpanNear((T("er"), T("th")), 60), T("ed"))))
 register("span_before", f"WITH {TOK} SELECT DISTINCT a.doc_id FROM tok a JOIN (SELECT doc_id, min(pos) AS p FROM tok WHERE t = 'th' GROUP BY doc_id) b ON a.doc_id = b.doc_id AND a.t = 'er' AND a.pos < b.p")(lambda s, d: ids(s, d, Q.SpanBefore(T("er"), T("th"))))
 register("span_or", f"WITH {TOK} SELECT DISTINCT doc_id FROM tok WHERE t IN ('er', 'th') AND pos <= 9")(lambda s, d: ids(s, d, Q.SpanFirst(Q.Or((T("er"), T("th"))), 9)))
 register("span_condition", f"WITH {BM25} SELECT doc_id, round(s, 6) AS score FROM bm WHERE t = 'er' AND doc_id IN (SELECT doc_id FROM post WHERE t = 'th')")(lambda s, d: every(s, d, Q.SpanCondition(T("er"), T("th"))))
@@ -154,8 +154,8 @@ def _groups(c: FrameCorpus, q: Q.Query, by, kind=fc.Count) -> DataFrame:
 register("facet_count_lang", f"WITH {TOK} SELECT lang AS key, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM post WHERE t = 'tion') GROUP BY lang")(lambda s, d: _groups(documents(s, d), T("tion"), "lang"))
 register("facet_range_price", "SELECT floor(p_retailprice / 100) * 100 AS low, count(*) AS n FROM part WHERE p_retailprice >= 0 AND p_retailprice < 3000 GROUP BY 1")(lambda s, d: _groups(parts(s, d), Q.Every(), fc.RangeFacet("p_retailprice", 0, 3000, 100)).where("key is not null").select("key.low", "n"))
 register("facet_range_gaps", "SELECT CASE WHEN p_size < 5 THEN 0.0 WHEN p_size < 15 THEN 5.0 WHEN p_size < 25 THEN 15.0 WHEN p_size < 35 THEN 25.0 ELSE 35.0 END::DOUBLE AS low, count(*) AS n FROM part WHERE p_size >= 0 AND p_size < 45 GROUP BY 1")(lambda s, d: _groups(parts(s, d), Q.Every(), fc.RangeFacet("p_size", 0, 40, [5, 10])).where("key is not null").select("key.low", "n"))
-register("facet_date_month", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS low, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")(
-    lambda s, d: _groups(orders(s, d), Q.Every(), fc.DateRangeFacet("o_orderdate", dt.datetime(1993, 1, 1), dt.datetime(1997, 1, 1), "1 month")).where("key is not null").select("key.low", "n")
+register("facet_date_month", "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS low, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")(
+    lambda s, d: _groups(orders(s, d), Q.Every(), fc.DateRangeFacet("o_orderdate", dt.datetime(1993, 1, 1), dt.datetime(1997, 1, 1), "1 month")).where("key is not null").select(F.date_format("key.low", "yyyy-MM-dd").alias("low"), "n")
 )
 register("facet_overlap_ptype", "SELECT key, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(p_type, '[ ,]+')) AS key FROM part) GROUP BY key")(lambda s, d: _groups(parts(s, d), Q.Every(), fc.FieldFacet("p_type", overlap=True)))
 register("facet_query", f"WITH {TOK} SELECT CASE WHEN a THEN 'first' WHEN b THEN 'second' ELSE 'rest' END AS key, count(*) AS n FROM (SELECT doc_id IN (SELECT doc_id FROM post WHERE t = 'thre') AS a, doc_id IN (SELECT doc_id FROM post WHERE t = 'ble') AS b FROM documents) GROUP BY 1")(lambda s, d: _groups(documents(s, d), Q.Every(), fc.QueryFacet({"first": T("thre"), "second": T("ble")}, other="rest")))
@@ -165,4 +165,4 @@ register("facet_function", "SELECT o_custkey % 5 AS key, count(*) AS n FROM orde
 register("facet_best", f"WITH {BM25} SELECT source AS key, arg_min(doc_id, (-s, doc_id)) AS doc_id FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' GROUP BY source")(lambda s, d: _groups(documents(s, d), T("tion"), "source", fc.Best))
 register("facet_ordered_list", f"WITH {BM25} SELECT lang AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY s DESC, doc_id) AS docs FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' GROUP BY lang")(lambda s, d: _groups(documents(s, d), T("tion"), "lang", fc.OrderedList).select("key", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs")))
 register("stored_fields", f"WITH {BM25} SELECT doc_id, lang, source, round(s, 6) AS score FROM bm JOIN documents USING (doc_id) WHERE t = 'tion' ORDER BY s DESC, doc_id LIMIT 10")(lambda s, d: rounded(documents(s, d).searcher().search(T("tion")).fields("lang", "source").select("doc_id", "lang", "source", "score")))
-register("keyword_terms", "SELECT p_partkey AS doc_id, len(list_filter(regexp_extract_all(p_type, '[^ ]+'), lambda x: x = 'STEEL'))::DOUBLE AS score FROM part WHERE list_contains(regexp_extract_all(p_type, '[^ ]+'), 'STEEL')")(lambda s, d: parts(s, d).searcher(Frequency()).matches(Q.Term("p_type", "STEEL")))
+register("keyword_terms", "SELECT p_partkey AS doc_id, len(list_filter(regexp_extract_all(p_type, '[^ ]+'), lambda x: x = 'PROMO'))::DOUBLE AS score FROM part WHERE list_contains(regexp_extract_all(p_type, '[^ ]+'), 'PROMO')")(lambda s, d: parts(s, d).searcher(Frequency()).matches(Q.Term("p_type", "PROMO")))
