@@ -46,9 +46,16 @@ class Step:
     def parts(self) -> list[Step]:
         return [self]
 
+    #: A Python step's input has to be found again in the plan, which a lambda within a lambda prevents.
+    python = False
+
     def apply(self, tokens: Column, mode: str) -> Column:
         raise NotImplementedError
 
+    def on_strings(self, strings: Column) -> Column | None:
+        """The step on an array of strings, where it needs neither positions nor boosts; None if there is no such form."""
+        return None
+
 
 class Tokenizer(Step):
     def split(self, text: Column) -> Column:
@@ -68,9 +75,37 @@ class Analyzer(Step):
 
     def tokens(self, text: Column, mode: str = "index") -> Column:
         """array<struct<t, pos, b>>; a null text has none. mode: "index" or "query"."""
-        out = reduce(lambda c, s: s.apply(c, mode), self.steps, F.coalesce(text.cast("string"), F.lit("")))
+        out, steps = self._lowered(F.coalesce(text.cast("string"), F.lit("")))
+        for k, s in enumerate(steps):
+            if isinstance(s, StopFilter) and any(x.python for x in steps[k + 1 :]):
+                out = s.apply_flat(out)
+            else:
+                out = s.apply(out, mode)
         return F.when(text.isNull(), F.array().cast(T.ArrayType(TOKEN))).otherwise(out)
 
+    def _lowered(self, text: Column) -> tuple[Column, list[Step]]:
+        """The text in lower case ahead of the steps where that gives the same words: one call instead of one a word."""
+        if len(self.steps) > 1 and isinstance(self.steps[0], RegexTokenizer) and self.steps[0].expression == WORD and isinstance(self.steps[1], LowercaseFilter):
+            return F.lower(text), [self.steps[0], *self.steps[2:]]
+        return text, self.steps
+
+    def strings(self, text: Column) -> Column | None:
+        """array<string> of the terms in index mode, without positions; None where a step needs more than strings."""
+        out, steps = self._lowered(F.coalesce(text.cast("string"), F.lit("")))
+        if type(steps[0]).apply is not Tokenizer.apply:
+            return None
+        out = steps[0].split(out)
+        for s in steps[1:]:
+            out = s.on_strings(out)
+            if out is None:
+                return None
+        return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(out)
+
+    def size(self, text: Column) -> Column:
+        """How many terms tokens() gives."""
+        s = self.strings(text)
+        return F.size(self.tokens(text) if s is None else s)
+
     def terms(self, text: Column, mode: str = "index") -> Column:
         return F.transform(self.tokens(text, mode), lambda x: x["t"])
 
@@ -160,6 +195,9 @@ class PassFilter(Step):
 
 
 class LowercaseFilter(Step):
+    def on_strings(self, strings: Column) -> Column | None:
+        return F.transform(strings, lambda t: F.lower(t))
+
     def apply(self, tokens: Column, mode: str) -> Column:
         return _texts(tokens, lambda t: F.lower(t))
 
@@ -206,16 +244,25 @@ class StopFilter(Step):
         self.stoplist, self.minsize, self.maxsize, self.renumber = sorted(stoplist or ()), minsize, maxsize, renumber
 
     def apply(self, tokens: Column, mode: str) -> Column:
-        def ok(x: Column) -> Column:
-            c = F.length(x["t"]) >= self.minsize
-            if self.maxsize is not None:
-                c &= F.length(x["t"]) <= self.maxsize
-            return c & ~x["t"].isin(self.stoplist) if self.stoplist else c
+        kept = F.filter(tokens, lambda x: self._ok(x["t"]))
+        if not self.renumber:
+            return kept
+        return let(kept, lambda k: F.transform(k, lambda x, i: _token(x["t"], F.get(k, F.lit(0))["pos"] + i, x["b"])))
 
-        kept = F.filter(tokens, ok)
+    def _ok(self, t: Column) -> Column:
+        c = F.length(t) >= self.minsize
+        if self.maxsize is not None:
+            c &= F.length(t) <= self.maxsize
+        return c & ~t.isin(self.stoplist) if self.stoplist else c
+
+    def on_strings(self, strings: Column) -> Column | None:
+        return F.filter(strings, self._ok)
+
+    def apply_flat(self, tokens: Column) -> Column:
+        """The same without a lambda within a lambda, for Python steps that follow."""
+        kept = F.filter(tokens, lambda x: self._ok(x["t"]))
         if not self.renumber:
             return kept
-        # no lambda within a lambda here: a Python step may follow, and its input has to be found again in the plan
         first = F.get(kept, F.lit(0))["pos"]
         numbers = F.when(F.size(kept) > 0, F.sequence(first, first + F.size(kept) - 1)).otherwise(F.array().cast("array<int>"))
         return F.zip_with(kept, numbers, lambda x, p: _token(x["t"], p, x["b"]))
@@ -302,6 +349,8 @@ class NgramFilter(Step):
 class CompoundWordFilter(Step):
     """Tokens that are made of two or three words of a set are split into them; the whole stays with keep_compound."""
 
+    python = True
+
     def __init__(self, wordset: Iterable[str], keep_compound: bool = True):
         self.words, self.keep = frozenset(wordset), keep_compound
 
@@ -337,6 +386,8 @@ def _python(tokens: Column, fn: Callable[[list[tuple[str, int, float]]], list[tu
 class MapFilter(Step):
     """Each token's text through a Python function, once for each different text of a batch."""
 
+    python = True
+
     def __init__(self, fn: Callable[[str], str], ignore: Iterable[str] = ()):
         self.fn, self.ignore = fn, frozenset(ignore)
 
@@ -374,6 +425,8 @@ class StemFilter(MapFilter):
 class DoubleMetaphoneFilter(Step):
     """Phonetic codes with boosts; with combine beside the word itself."""
 
+    python = True
+
     def __init__(self, primary_boost: float = 1.0, secondary_boost: float = 0.5, combine: bool = False):
         self.first, self.second, self.combine = primary_boost, secondary_boost, combine
 
@@ -400,6 +453,8 @@ class DoubleMetaphoneFilter(Step):
 class IntraWordFilter(Step):
     """Parts of words at changes of case, between letters and digits, and at signs; joined runs too where asked for."""
 
+    python = True
+
     def __init__(self, splitwords: bool = True, splitnums: bool = True, mergewords: bool = False, mergenums: bool = False):
         self.how = (splitwords, splitnums, mergewords, mergenums)
 

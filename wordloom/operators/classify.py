@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.analysis import let
 from wordloom.operators import query as Q
-from wordloom.sources.corpus import Corpus, term_info
+from wordloom.sources.corpus import Corpus
 
 
 def _log2(x: Column) -> Column:
@@ -35,7 +35,8 @@ MODELS = {"bo1": bo1, "bo2": bo2, "kl": kl}
 def _ranked(corpus: Corpus, own: DataFrame, field: str, numterms: int, model: str) -> DataFrame:
     """own (term, top): the weights of terms in the documents at hand."""
     stats = corpus.field_stats([field])
-    every = term_info(corpus.postings(field)).select("term", "cf")
+    # the few documents' terms are told to the scan's side before anything is counted
+    every = corpus.postings(field).join(own.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("weight").alias("cf"))
     top_total = own.agg(F.sum("top").alias("top_total"))
     rows = own.join(every, "term").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(top_total))  # a row each
     score = MODELS[model](F.col("top"), F.col("cf"), F.col("top_total"), F.col("n"), F.col(f"total_{field}"))

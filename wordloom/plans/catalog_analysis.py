@@ -10,10 +10,11 @@ from wordloom.operators import classify
 from wordloom.operators.spelling import suggestions
 from wordloom.plans.catalog import TOK, WORD, register
 from wordloom.plans.catalog_search import documents, table
+from wordloom.sources.corpus import spread
 
 
 def exploded(spark: SparkSession, d: str, analyzer: an.Analyzer, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = table(spark, d, name).select(F.col(key).alias("doc_id"), F.explode(analyzer.tokens(F.col(text))).alias("x"))
+    rows = spread(table(spark, d, name)).select(F.col(key).alias("doc_id"), F.explode(analyzer.tokens(F.col(text))).alias("x"))
     return rows.select("doc_id", F.col("x.t").alias("t"), F.col("x.pos").alias("pos"))
 
 

@@ -12,7 +12,7 @@ from wordloom.operators import facets as fc
 from wordloom.operators import query as Q
 from wordloom.operators.scoring import BM25F, PL2, TF_IDF, DFree, Frequency, FunctionWeighting, MultiWeighting, ReverseWeighting
 from wordloom.plans.catalog import BM25, TOK, register, tokens_sql
-from wordloom.sources.corpus import FrameCorpus
+from wordloom.sources.corpus import FrameCorpus, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> FrameCorpus:
-    return FrameCorpus(table(spark, d, "documents"), Schema(text=TEXT(stored=True), lang=ID(stored=True, sortable=True), source=ID(stored=True, sortable=True), n_chars=NUMERIC()))
+    return FrameCorpus(spread(table(spark, d, "documents")), Schema(text=TEXT(stored=True), lang=ID(stored=True, sortable=True), source=ID(stored=True, sortable=True), n_chars=NUMERIC()))
 
 
 def orders(spark: SparkSession, d: str) -> FrameCorpus:

@@ -100,6 +100,13 @@ def _by_term(chosen: Column, boost: float) -> Column:
     return F.transform(terms, one)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores: analysis costs more than moving the rows.
+    Tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 class FrameCorpus(Corpus):
     """A corpus over a DataFrame with doc_id; schema names the columns that are searched."""
 
@@ -116,6 +123,9 @@ class FrameCorpus(Corpus):
 
     def postings(self, field: str, where: Predicate | None = None, positions: bool = False) -> DataFrame:
         kind = self.kind(field)
+        strings = None if positions else kind.analyzer.strings(F.col(field))
+        if strings is not None:
+            return self._counted(field, strings, where, kind.field_boost)
         rows = self.tokens(field).withColumn("length", F.size("tokens"))
         if where is not None:
             p = rows.select("doc_id", "length", F.explode(gathered(F.col("tokens"), where, kind.field_boost)).alias("p"))
@@ -129,8 +139,26 @@ class FrameCorpus(Corpus):
             return out.select("field", "term", "doc_id", "tf", "weight", "length", *(["positions"] if positions else []))
         return out if positions else out.drop("positions")
 
+    def _counted(self, field: str, strings: Column, where: Predicate | None, boost: float) -> DataFrame:
+        """Postings without positions: terms and how often each stands, from strings alone."""
+        rows = self.frame.select("doc_id", strings.alias("x")).withColumn("length", F.size("x"))
+        if where is None:
+            flat = rows.select("doc_id", "length", F.explode("x").alias("term"))
+            out = flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"))
+        else:
+            def by_term(chosen: Column) -> Column:
+                return F.transform(F.array_distinct(chosen), lambda t: F.struct(t.alias("term"), F.size(F.filter(chosen, lambda y: y == t)).alias("tf")))
+
+            p = rows.select("doc_id", "length", F.explode(let(F.filter("x", lambda x: where(x)), by_term)).alias("p"))
+            out = p.select("doc_id", "p.term", "p.tf", "length")
+        return out.select(F.lit(field).alias("field"), "term", "doc_id", "tf", (F.col("tf") * F.lit(float(boost))).alias("weight"), "length")
+
+    def vector(self, field: str, ids: DataFrame) -> DataFrame:
+        own = FrameCorpus(self.frame.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), self.schema)
+        return own.postings(field, positions=self.kind(field).positions)
+
     def field_stats(self, fields: list[str]) -> DataFrame:
-        sizes = self.frame.select(*(F.size(self.kind(f).analyzer.tokens(F.col(f))).alias(f) for f in fields)) if fields else self.frame.select("doc_id")
+        sizes = self.frame.select(*(self.kind(f).analyzer.size(F.col(f)).alias(f) for f in fields)) if fields else self.frame.select("doc_id")
         return summed(sizes, {f: f for f in fields})
 
 

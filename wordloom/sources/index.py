@@ -275,7 +275,7 @@ class Writer:
         ix = self.index
         indexed = [f for f in ix.schema.names(df.columns) if f in df.columns and ix.schema[f].indexed]
         frame = FrameCorpus(df, ix.schema)
-        lengths: list[Column] = [F.size(ix.schema[f].analyzer.tokens(F.col(f))).alias(LENGTH + f) for f in indexed]
+        lengths: list[Column] = [ix.schema[f].analyzer.size(F.col(f)).alias(LENGTH + f) for f in indexed]
         df.select("*", *lengths).write.parquet(f"{ix.path}/{name}/docs")
         for f in indexed:
             p = frame.postings(f, positions=ix.schema[f].positions).drop("field")
