@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import narrow
+from wordloom.llm.common import bounded_sample, narrow
 
 #: Labelled pages that train() fits on at most, chosen by hash.
 MAX_PAGES = 1500
@@ -300,7 +300,7 @@ def fit(pages: list[Page], steps: int = 250, rate: float = 0.08, ridge: float =
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, id_col: str = "page_id", html_col: str = "html") -> Model:
     """A model from at most max_pages pages that mark their content, chosen by a hash of the page."""
     h = F.col(f"`{html_col}`")
-    some = pages.where(h.rlike(r"(?i)<(article|main)[\s>]")).select(h.alias("h")).orderBy(F.xxhash64("h"), "h").limit(max_pages)
+    some = bounded_sample(pages.where(h.rlike(r"(?i)<(article|main)[\s>]")).select(h.alias("h")), max_pages, F.xxhash64("h"))
     return fit([parse(r["h"]) for r in some.collect()])
 
 
