@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LETTER, SPACE, char_classes, code_points, free_name, narrow, saved, segments, span_hashes, words
+from wordloom.llm.common import LETTER, SPACE, bounded_sample, char_classes, code_points, free_name, narrow, saved, segments, span_hashes, words
 
 #: Hostile words of four languages, a parameter of train(); words that the labels show are added to them.
 LEXICON = tuple(
@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     the lexicon. Rows labelled twice count twice.
     """
     picked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
-    picked = picked.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)
+    picked = bounded_sample(picked, max_labelled, F.xxhash64("k"))
     texts = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")).where("k is not null and t is not null")
     sample = saved(texts.join(F.broadcast(picked), "k"))  # as many rows as max_labelled: small whatever the tables
     sample = sample.withColumn("fold", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(3)))
