@@ -35,7 +35,7 @@ NEAR = 6
 #: Labelled rows that train() fits on at most, chosen by hash.
 MAX_LABELLED = 20_000
 
-FEATURES = ("words", "lexicon", "lexicon_density", "learned", "learned_density", "near_you", "near_you_density", "you_density", "capitals", "capital_words", "exclaims", "questions", "punctuation", "sign_runs", "digits", "inner_signs", "drawn_out", "spaced", "hidden", "hidden_density")
+FEATURES = ("lexicon", "lexicon_density", "learned", "learned_density", "near_you", "near_you_density", "you_density", "capitals", "capital_words", "exclaims", "questions", "punctuation", "sign_runs", "digits", "inner_signs", "drawn_out", "spaced", "hidden", "hidden_density")
 
 
 def _hashes(terms: tuple[str, ...] | list[str]) -> np.ndarray:
@@ -149,7 +149,7 @@ class Counter:
         n, lex, learned, near, you, chars, letters, upper, loud, bang, ask, sign, runs, digit, inner, three, spaced, hidden = c.T
         w, k = np.maximum(n, 1), np.maximum(chars, 1)
         return np.stack([
-            np.log1p(n), lex, lex / w, learned, learned / w, near, near / w, you / w, upper / np.maximum(letters, 1), loud / w,
+            lex, lex / w, learned, learned / w, near, near / w, you / w, upper / np.maximum(letters, 1), loud / w,
             bang / k, ask / k, sign / k, runs / k, digit / k, inner / w, three / w, spaced / w, hidden, hidden / w,
         ], axis=1)
 
