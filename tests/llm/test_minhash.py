@@ -81,6 +81,29 @@ def test_groups_match_brute_force(spark, corpus, rows):
     assert {tuple(r) for r in got.collect()} == brute_groups(ids, texts, m.THRESHOLD)
 
 
+def test_rows_tied_through_one_that_a_leader_settled(spark):
+    r = random.Random(3)
+    own = lambda n, i: [f"t{i}x{j}" for j in range(n)]
+    b = prose(r, 90)
+    # b matches whichever text leads its buckets, c matches b only
+    texts = [" ".join(b + own(60, i)) for i in range(150)] + [" ".join(b), " ".join(b[:70] + own(20, "c"))]
+    ids = list(range(len(texts)))
+    sets = brute_sets(texts)
+    assert all(brute_jp(sets[i], sets[-2]) >= 0.5 > brute_jp(sets[i], sets[-1]) for i in (0, 1, 149)) and brute_jp(sets[-2], sets[-1]) >= 0.5
+    got = m.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(0, i) for i in ids[1:]]
+
+
+def test_unconnected_groups_of_a_bucket_meet_in_turns(spark):
+    # two groups of 20 share a bucket; only their last rows are near
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) if i in (19, 39) else (i, f"a{i} b{i} c{i}") for i in range(40)], "id long, text string")
+    sigs = texts.select("id", m.F.udf(lambda t: bytes(m.sketch([t])[0]), "binary")("text").alias("sig"))
+    known = spark.createDataFrame([(i, i // 20 * 20, 1.0) for i in range(40) if i % 20], "id long, lead long, similarity double")
+    rows = spark.createDataFrame([(7, i) for i in range(40)], "band long, id long")
+    got = m._across(rows, known, known.select("id", "lead").limit(0), sigs, texts, 0.5, 3)
+    assert {(x.lead, x.id) for x in got.collect()} == {(i // 20 * 20, i) for i in range(40) if i % 20} | {(19, 39)}
+
+
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("h1", T.StringType()), ("copy", T.LongType()), ("Rep", T.StringType()))])
 
 

@@ -6,13 +6,16 @@ J_P(v, w) = sum over common d of 1 / sum over e of max(v_e / v_d, w_e / w_d). A
 the latest slot of its text can change nothing more and stops.
 
 Equal texts are one text from the start. In each band's bucket the smallest identifiers lead: others are held against
-them, and who matches none goes on to a next round with twice as many leaders, until nobody is left; so no bucket is
-cut short and a bucket of copies costs as many pairs as it has texts.
+them, and who matches none goes on to a next round with twice as many leaders, until nobody is left. Then rows of one
+bucket that no chain of found pairs connects are held against each other, whether a leader matched them or not, the
+first few of each group before the rest; so every two texts that share a bucket are held against each other or are in one
+group already, and a bucket of copies costs as many pairs as it has texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ SHINGLE = 3
 THRESHOLD = 0.5
 #: An estimate from SLOTS slots is this far off, at most, in all but one of 30,000 pairs; nearer ones are verified.
 MARGIN = 0.18
+#: Rows of each unconnected group of a bucket that are held against other groups' at first, and how many times more next.
+FIRST = 8
 
 
 def weighted(h: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +145,49 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, k: int) -
     return narrow.mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint, sig binary")
 
 
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id, lead, similarity) of the pairs (id, lead) that reach the threshold, by signatures first and then exactly."""
+    near = pairs.join(sigs.withColumnRenamed("sig", "sa"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
+    near = near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead")
+    near = near.join(texts.withColumnRenamed("text", "ta"), "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
+    return near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _across(open_rows: DataFrame, known: DataFrame, tested: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """known, and the verified pairs of rows of one bucket that known doesn't connect and that weren't held against each other.
+
+    Only pairs of different groups are made, so that a large group costs nothing by itself. Groups meet by their first rows
+    of the bucket, then by more and more, until they are connected or all of their rows have met.
+    """
+    bucket = Window.partitionBy("band")
+    root = components(known.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    rows = open_rows.select("band", "id").join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("g"))
+    rows = rows.withColumn("least", F.min("g").over(bucket)).withColumn("most", F.max("g").over(bucket)).where("least <> most")
+    rows = saved(rows.select("band", "id", "g", F.row_number().over(Window.partitionBy("band", "g").orderBy("id")).alias("n")))
+    of_id = rows.select("id", "g").distinct()
+    size = rows.groupBy("band", "g").agg(F.max("n").alias("size"))
+    duos = size.select("band", F.col("g").alias("ga"), F.col("size").alias("sa")).join(size.select("band", F.col("g").alias("gb"), F.col("size").alias("sb")), "band")
+    duos = saved(duos.where("ga < gb").select("band", "ga", "gb", F.greatest("sa", "sb").alias("size")))
+    links, before, upto = None, 0, FIRST
+    while not duos.isEmpty():
+        some = rows.where(F.col("n") <= upto)
+        pairs = duos.join(some.select("band", F.col("g").alias("ga"), F.col("id").alias("x"), F.col("n").alias("nx")), ["band", "ga"])
+        pairs = pairs.join(some.select("band", F.col("g").alias("gb"), F.col("id").alias("y"), F.col("n").alias("ny")), ["band", "gb"])
+        pairs = pairs.where(F.greatest("nx", "ny") > before).select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("lead")).distinct()
+        found = saved(_verified(pairs.join(tested, ["id", "lead"], "left_anti"), sigs, texts, threshold, k))
+        known = known.unionByName(found)
+        duos = duos.where(F.col("size") > upto)  # of the others all rows have met
+        met = found.join(of_id.withColumnRenamed("g", "a"), "id").join(of_id.select(F.col("id").alias("lead"), F.col("g").alias("b")), "lead").select("a", "b").distinct()
+        links = met if links is None else links.unionByName(met)
+        if duos.isEmpty():
+            break
+        label = components(links)
+        duos = duos.join(label.select(F.col("id").alias("ga"), F.col("root").alias("ra")), "ga", "left").join(label.select(F.col("id").alias("gb"), F.col("root").alias("rb")), "gb", "left")
+        duos = saved(duos.where(F.coalesce("ra", "ga") != F.coalesce("rb", "gb")).select("band", "ga", "gb", "size"))
+        before, upto = upto, upto * FIRST
+    return known
+
+
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(copies: doc_id, rep of equal texts; edges: a, b, similarity verified among reps)."""
     by_text = Window.partitionBy("h1", "h2")
@@ -154,7 +202,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     texts = saved(texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     sigs = saved(reps.dropDuplicates(["id"]).join(open_rows.select("id").distinct(), "id", "left_semi"))
-    known, leaders, pending = None, 1, open_rows
+    known, leaders, pending, tested = None, 1, open_rows, []
     while True:
         if leaders > 1:
             rank = F.row_number().over(bucket.orderBy("id"))
@@ -163,13 +211,11 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         else:
             held = pending.where("id > lead").select("band", "id", "lead", F.lit(2).alias("n"))
         held = saved(held)
+        tested.append(held.select("id", "lead"))
         pairs = held.select("id", "lead").distinct()
         if known is not None:
             pairs = pairs.join(known.select("id", "lead"), ["id", "lead"], "left_anti")
-        near = pairs.join(sigs.withColumnRenamed("sig", "sa"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
-        near = near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead")
-        near = near.join(texts.withColumnRenamed("text", "ta"), "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
-        found = saved(near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold))
+        found = saved(_verified(pairs, sigs, texts, threshold, k))
         edges = found if known is None else known.unionByName(found)
         # a row matched by one leader of its bucket is settled there, and so are the leaders
         joined = held.join(edges.select("id", "lead", F.lit(1).alias("ok")), ["id", "lead"], "left")
@@ -178,6 +224,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         known, pending, leaders = edges, saved(left), leaders * 2
         if pending.isEmpty():
             break
+    known = _across(open_rows, known, reduce(DataFrame.unionByName, tested), sigs, texts, threshold, k)
     return copies, known.select(F.col("lead").alias("a"), F.col("id").alias("b"), "similarity")
 
 
