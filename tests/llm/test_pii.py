@@ -97,6 +97,14 @@ def test_seed_forms():
     assert kinds("2020-01-02 12:30 v1.2.3 1,234.50 12") == ["no"] * 5 and kinds("the secret: nobody = knows") == [] and kinds("Author: Someone 1999") == ["no"] and kinds("password=hunter22x") == ["secret"]
 
 
+@pytest.mark.parametrize("value,kind", [("4111 1111 1111 1111", "number"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("(555) 123-4567", "phone"), ("+44 20 7946 0958", "phone")])
+def test_inner_blanks_at_any_distance_from_another_digit(value, kind):
+    for gap in range(30, 160):
+        text = "12 " + ("river walk " * 20)[: gap - 1].replace("r", "n") + " " + value + " and more bread"
+        got = [(text[a:b], k) for a, b, k, _ in pii.candidates(text)]
+        assert got == [("12", "no"), (value, kind)], gap
+
+
 def test_odd_rows(spark):
     long = "quiet river " * 150_000 + "joe@ex.org " + "x" * 5000 + "7" * 5000 + " walk" * 100_000
     rows = [(1, "a joe@ex.org b", "x", 1), (1, "a joe@ex.org b", "x", 1), (None, "call +1 (212) 555-1234", None, 2), (2, None, "y", 3), (3, "", "y", 4), (4, long, "z", 5)]

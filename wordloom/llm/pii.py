@@ -31,6 +31,8 @@ MAX_PATTERNS = 200_000
 
 _ANCHOR = re.compile(r"[0-9@=]")
 _REACH = 72
+#: Longer than any form but a secret's, and what must or must not follow it.
+_LONGEST = 700
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CANDIDATE = re.compile(
     r"(?P<email>[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8})"
@@ -80,7 +82,10 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
         while hi < n and not text[hi].isspace() and hi - m.end() < 600:
             hi += 1
         upto = m.end()
-        for c in _CANDIDATE.finditer(text, lo, hi):
+        # what starts before hi is read on beyond it, as blanks may stand inside
+        for c in _CANDIDATE.finditer(text, lo, min(n, hi + _LONGEST)):
+            if c.start() >= hi:
+                break
             kind = c.lastgroup
             a, b = c.span(kind)
             if kind == "other":
