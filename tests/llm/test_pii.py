@@ -105,6 +105,17 @@ def test_inner_blanks_at_any_distance_from_another_digit(value, kind):
         assert got == [("12", "no"), (value, kind)], gap
 
 
+def test_secrets_are_taken_to_their_end(spark):
+    long = "eyJhb9" + "Zx-_.Qw7" * 300
+    texts = ["api_key: AbCdEfGhIjKlMnOpQrStUvWx", f"the token={long}, and 12 more", f"quiet walk secret : {long}", "note: nothing here: at all"]
+    want = {0: texts[0][9:], 1: long, 2: long}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.value for r in pii.find(docs).collect() if r.kind == "secret"} == want
+    for limit in (10, -1):
+        by = {r.doc_id: r.text for r in pii.mask(docs, max_patterns=limit).collect()}
+        assert by == {0: "api_key: <SECRET>", 1: "the token=<SECRET>, and 12 more", 2: "quiet walk secret : <SECRET>", 3: texts[3]}
+
+
 def test_odd_rows(spark):
     long = "quiet river " * 150_000 + "joe@ex.org " + "x" * 5000 + "7" * 5000 + " walk" * 100_000
     rows = [(1, "a joe@ex.org b", "x", 1), (1, "a joe@ex.org b", "x", 1), (None, "call +1 (212) 555-1234", None, 2), (2, None, "y", 3), (3, "", "y", 4), (4, long, "z", 5)]

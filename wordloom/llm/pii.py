@@ -29,14 +29,16 @@ ROUNDS = 6
 #: Patterns that go to the executors at once for masking; beyond it, found places are joined to the texts.
 MAX_PATTERNS = 200_000
 
-_ANCHOR = re.compile(r"[0-9@=]")
+_ANCHOR = re.compile(r"[0-9@=:]")
+_NAME = r"(?i:\b(?:api[_\-]?key|access[_\-]?key|private[_\-]?key|secret|token|passw(?:or)?d|passwd|pwd|auth[_\-]?token)\w{0,12})\s{0,3}"
+_NAMED = re.compile(_NAME + ":$")
 _REACH = 72
 #: Longer than any form but a secret's, and what must or must not follow it.
 _LONGEST = 700
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CANDIDATE = re.compile(
     r"(?P<email>[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8})"
-    r"|(?:(?i:\b(?:api[_\-]?key|access[_\-]?key|private[_\-]?key|secret|token|passw(?:or)?d|passwd|pwd|auth[_\-]?token)\w{0,12})\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[^\s\"'<>,;]{6,400})"
+    rf"|(?:{_NAME}[:=]\s{{0,3}}[\"']?)(?P<secret>[^\s\"'<>,;]{{6,}}+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
@@ -45,6 +47,9 @@ _CANDIDATE = re.compile(
     r"|(?P<no>(?<![\w.])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{1,2}:\d{2}(?::\d{2})?|[vV]?\d{1,3}(?:\.\d{1,3}){1,3}|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,4})(?![\w]|[.\-/]\d))"
     r"|(?P<other>[A-Za-z0-9][A-Za-z0-9_\-./+#]{0,199})"
 )
+#: Every form has one of these in its first word.
+_START = re.compile(r"[A-Za-z\d]")
+_VALUE = re.compile(r"[^\s\"'<>,;]+")
 KINDS = ("email", "secret", "iban", "ip", "ssn", "phone", "number")
 _WORD = re.compile(r"\S+")
 
@@ -75,6 +80,9 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
         m = _ANCHOR.search(text, at)
         if m is None:
             return out
+        if m[0] == ":" and not _NAMED.search(text, max(0, m.start() - 40), m.end()):
+            at = m.end()
+            continue
         lo = max(done, m.start() - _REACH)
         while lo > done and not text[lo - 1].isspace() and m.start() - lo < 600:
             lo -= 1
@@ -83,11 +91,15 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             hi += 1
         upto = m.end()
         # what starts before hi is read on beyond it, as blanks may stand inside
-        for c in _CANDIDATE.finditer(text, lo, min(n, hi + _LONGEST)):
-            if c.start() >= hi:
+        while _START.search(text, lo, hi):
+            c = _CANDIDATE.search(text, lo, min(n, hi + _LONGEST))
+            if c is None or c.start() >= hi:
                 break
+            lo = c.end()
             kind = c.lastgroup
             a, b = c.span(kind)
+            if kind == "secret":
+                b = lo = _VALUE.match(text, a).end()
             if kind == "other":
                 b = a + len(text[a:b].rstrip("./+-#_"))
                 if b - a < 5 or not any(x.isdigit() for x in text[a:b]):
@@ -121,7 +133,7 @@ def _instances(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = f"doc_id {kind}, text_hash bigint, start bigint, stop bigint, kind string, value string, patterns array<string>"
     names = ["doc_id", "text_hash", "start", "stop", "kind", "value", "patterns"]
     t = F.col(f"`{text_col}`")
-    narrow = docs.where(t.rlike("[0-9@=]")).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    narrow = docs.where(t.rlike("[0-9@=:]")).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +259,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pa
                 out.append(text)
             return pa.array(out, pa.string())
 
-        made = F.when(t.rlike("[0-9@=]"), masked(t)).otherwise(t)
+        made = F.when(t.rlike("[0-9@=:]"), masked(t)).otherwise(t)
         return docs.select(*(made.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
     h, places = free_name(docs, "text_hash"), free_name(docs, "places")
