@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,16 +7,18 @@ import tiktoken
 import xxhash  # noqa: F401
 from pyspark.sql import types as T
 
-import public_tokenizers as P
 from wordloom.llm import bpe, transducer
+from wordloom.llm.common import span_hashes
 from wordloom.llm.token_counts import merge_count, token_counts
 from wordloom.llm.transducer import Decoder, Encoder, decode_ids, encode_documents, encode_texts, sufficient_lookahead
 
+pytestmark = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason=f"the vocabulary {bpe.VOCABULARY} is not installed")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALPHABET = ["a", "b", "the", " ", "  ", "\n", "'s", "'ll", "é", "ß", "日本", "😀", "1", "42", "!", "...", "\t", " ", "'", "Z", "ing", "<|endoftext|>"]
 
 
 def brute(text):
-    enc = brute.enc = getattr(brute, "enc", None) or tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.VOCABULARY), special_tokens={})
+    enc = brute.enc = getattr(brute, "enc", None) or tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(bpe.VOCABULARY), special_tokens={})
     return enc.encode_ordinary(text)
 
 
@@ -97,3 +100,35 @@ def test_encoding_handles_odd_rows(spark, odd):
             assert r._token_ids == brute(r.text) and r._n_tokens == len(r._token_ids) and r.round_trip
     assert got.count() == 6
     assert encode_documents(odd.limit(0)).collect() == []
+
+
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_that_polynomials_confuse(n):
+    pair = [thue_morse(n), thue_morse(n, "b", "a")]
+    ids, off = encode_texts([*pair, *pair[::-1]])
+    assert transducer.decode_rows(ids, off) == [*pair, *pair[::-1]]
+    cp = np.frombuffer("".join(pair).encode("utf-32-le"), np.uint32)
+    h = span_hashes(cp, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+
+
+def test_pieces_of_equal_hashes_stay_apart(monkeypatch):
+    given = texts()
+    want = [brute(t) for t in given]
+    monkeypatch.setattr(bpe, "span_hashes", lambda cp, starts, ends: np.zeros(len(starts), np.uint64))
+    table = bpe.Pieces(Encoder().piece)
+    for part in (given, given[::-1]):
+        ids, off = table.items(part)
+        got = [ids[a:b].tolist() for a, b in zip(off, off[1:])]
+        assert got == (want if part is given else want[::-1])
+    assert len(table.slot) == 1 and table.odd
+    monkeypatch.setattr(bpe, "TABLE_SIGNS", 10)
+    ids, off = table.items(given)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want

@@ -2,7 +2,7 @@
 
 Texts are split as the byte-level vocabularies expect (contractions, letters, digits, other signs, white space),
 for all texts of a chunk at once. A worker then handles each distinct piece once; what it learned is kept in a
-table of at most TABLE_ROWS pieces, keyed by 64-bit hashes.
+table of at most TABLE_ROWS pieces, found by 64-bit hashes and held against the pieces themselves, sign by sign.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from wordloom.llm.common import LETTER, SPACE, char_classes, code_points, span_h
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker's table holds before it starts anew; bounds memory, changes no result.
-TABLE_ROWS = 1_500_000
+TABLE_ROWS = 800_000
+#: And signs of pieces that it holds.
+TABLE_SIGNS = 10_000_000
 
 
 @lru_cache(maxsize=4)
@@ -89,8 +91,38 @@ class Pieces:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
+        self.odd: dict[str, int] = {}  # pieces whose hash another piece has taken
         self.flat = array("i")
         self.off = array("q", [0])
+        self.cp = np.zeros(1 << 16, np.uint32)  # the pieces of all slots joined
+        self.cp_off = array("q", [0])
+
+    def _add(self, piece: str) -> int:
+        self.flat.extend(self.make(piece.encode("utf-8", "replace")))
+        self.off.append(len(self.flat))
+        return len(self.off) - 2
+
+    def _keep(self, pieces: list[np.ndarray]) -> None:
+        """Append the code points of new slots."""
+        end = self.cp_off[-1]
+        for p in pieces:
+            self.cp_off.append(self.cp_off[-1] + len(p))
+        if self.cp_off[-1] > len(self.cp):
+            more = np.zeros(max(2 * len(self.cp), self.cp_off[-1]), np.uint32)
+            more[:end] = self.cp[:end]
+            self.cp = more
+        if pieces:
+            self.cp[end : self.cp_off[-1]] = np.concatenate(pieces)
+
+    def _others(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Which pieces differ from the piece of the slot that their hash led to."""
+        size = ends - starts
+        at = np.array(self.cp_off, np.int64)
+        other = at[to + 1] - at[to] != size
+        where = np.repeat(np.where(other, 0, at[to] - starts), size) + np.arange(len(cp))
+        unlike = self.cp[np.minimum(where, len(self.cp) - 1)] != cp
+        other[~other] = np.logical_or.reduceat(unlike, starts)[~other]
+        return np.flatnonzero(other)
 
     def rows(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(slot of each piece, first piece of each text, with one more at the end, offsets of slots)."""
@@ -100,23 +132,32 @@ class Pieces:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(at), np.int64), np.asarray(self.off, np.int64)
         uniq, inv = np.unique(span_hashes(cp, starts, ends), return_inverse=True)
-        if len(self.slot) + len(uniq) > TABLE_ROWS:
+        if len(self.slot) + len(self.odd) + len(uniq) > TABLE_ROWS or self.cp_off[-1] > TABLE_SIGNS:
             self.clear()
         slot = self.slot
-        found = [slot.get(h, -1) for h in uniq.tolist()]
-        to = np.array(found, np.int64)
+        hashes = uniq.tolist()
+        to = np.array([slot.get(h, -1) for h in hashes], np.int64)
         new = np.flatnonzero(to < 0)
+        text = ""
         if len(new):
             where = np.zeros(len(uniq), np.int64)
             where[inv] = np.arange(len(inv))
-            make, flat, off, hashes = self.make, self.flat, self.off, uniq.tolist()
             w = where[new]
             text = "".join(parts)
             for k, a, b in zip(new.tolist(), starts[w].tolist(), ends[w].tolist()):
-                flat.extend(make(text[a:b].encode("utf-8", "replace")))
-                to[k] = slot[hashes[k]] = len(off) - 1
-                off.append(len(flat))
-        return to[inv], np.searchsorted(starts, at, "left"), np.array(self.off, np.int64)
+                to[k] = slot[hashes[k]] = self._add(text[a:b])
+            self._keep([cp[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist())])
+        to = to[inv]
+        odd = self._others(cp, starts, ends, to)
+        if len(odd):
+            text = text or "".join(parts)
+            for k in odd.tolist():
+                piece = text[starts[k] : ends[k]]
+                if piece not in self.odd:
+                    self.odd[piece] = self._add(piece)
+                    self._keep([cp[starts[k] : ends[k]]])
+                to[k] = self.odd[piece]
+        return to, np.searchsorted(starts, at, "left"), np.array(self.off, np.int64)
 
     def sizes(self, parts: list[str]) -> np.ndarray:
         """Items of each text in all."""

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 #: Characters that one vectorised step handles; bounds a Python worker's memory whatever the batch.
 CHUNK_CHARS = 800_000
 
+_WRITTEN: dict[int, list[tuple[SparkSession, str]]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Unset, a local master gets one of its own; a cluster must name one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
@@ -42,16 +45,26 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/wordloom-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    atexit.register(_drop, spark, path)
-    out = spark.read.parquet(path)
+    _WRITTEN.setdefault(id(spark.sparkContext), []).append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what saved() wrote for df, once nothing that is still to run reads it."""
-    if path := getattr(df, "_saved_at", None):
-        _drop(df.sparkSession, path)
+def discard(*dfs: DataFrame) -> None:
+    """Delete what saved() wrote for dfs, once nothing that is still to run reads it."""
+    for df in dfs:
+        if path := getattr(df, "_saved_at", None):
+            _drop(df.sparkSession, path)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Delete all that saved() has written. A long session calls it when the results so far have been written or read."""
+    for written in _WRITTEN.values():
+        for spark, path in written:
+            _drop(spark, path)
+    _WRITTEN.clear()
 
 
 def bounded_sample(df: DataFrame, most: int, by: Column, total: int | None = None) -> DataFrame:
@@ -64,12 +77,6 @@ def bounded_sample(df: DataFrame, most: int, by: Column, total: int | None = Non
     return df.orderBy(by, *df.columns).limit(most)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small frames in iterations."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,29 +152,23 @@ def mix64(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-_R = 0x5851F42D4C957F2D
-_RINV = pow(_R, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_CHARS + CHUNK_CHARS // 8)
-        a = np.full(size, base, np.uint64)
-        a[0] = 1
-        with np.errstate(over="ignore"):
-            have = _POWERS[base] = np.multiply.accumulate(a)
-    return have
-
-
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of cp[starts:ends], all at once: a polynomial's prefix sums, shifted back and mixed."""
+    """64-bit hashes of the spans cp[starts:ends], all at once; spans rise and don't overlap.
+
+    Each code point is mixed with its place in the span, so that no two regular texts collide by construction, as a
+    polynomial's would modulo 2**64. The mixed values are summed by prefix sums and mixed again with the length.
+    """
+    size = ends - starts
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    where = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    inside = cp if at[-1] == len(cp) else cp[np.repeat(starts, size) + where]
     with np.errstate(over="ignore"):
-        p = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * _powers(_R, len(cp))[: len(cp)], out=p[1:])
-        h = (p[ends] - p[starts]) * _powers(_RINV, len(cp) + 1)[starts]
-        h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = mix64((inside.astype(np.uint64) << np.uint64(42)) ^ where.astype(np.uint64))
+        p = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed, out=p[1:])
+        h = p[at[1:]] - p[at[:-1]]
+        h += size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(h)
 
 
