@@ -116,3 +116,32 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, None, 3, 4, 5, 7, 8, 10], key=str)
     assert m.near_duplicates(docs.limit(0)).collect() == [] and m.keep_one(docs.limit(0)).collect() == []
+
+
+def test_ids_shared_by_different_texts(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(prose(r, 60)) for _ in range(3))
+    near_b, near_a = b + " tail", a + " tail"
+    rows = [(1, a), (1, b), (2, c), (3, near_b), (4, c), (2, near_a), (5, a), (5, near_a), (5, near_a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # groups of rows: {1a, 2near_a, 5a, 5near_a}, {1b, 3near_b}, {2c, 4c}
+    assert sorted(map(tuple, m.near_duplicates(docs).collect())) == [(1, 2), (1, 3), (1, 5), (2, 4)]
+    assert sorted(map(tuple, m.keep_one(docs).collect())) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_vertices_of_texts_that_share_a_hash(spark):
+    one = spark.createDataFrame([(5, 1, 10), (5, 2, 11), (6, 1, 12)], "h1 long, h2 long, first_id long")
+    named = m.Texts(one, spark.createDataFrame([(5, 1)], "h1 long, keep long")).named(one)
+    got = {(x.h1, x.h2): x.id for x in named.collect()}
+    assert got[(5, 1)] == 5 and got[(6, 1)] == 6 and len(set(got.values())) == 3
+
+
+def test_ties_at_the_threshold_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(3, "a b c d", "u"), (3, "a b c d", "t"), (1, "a b c d", "z"), (2, "k l m", "y"), (2, "k l m", "x"), (2, "k l m", "x")], "doc_id long, text string, k_id string")
+    assert sorted(map(tuple, m.near_duplicates(docs).collect())) == [(1, 3)]
+    assert sorted(map(tuple, m.keep_one(docs).collect())) == [(1, "a b c d", "z"), (2, "k l m", "x")]
+    # J_P of {abc, bcd} and {abc, xyz...}: exactly one half is in
+    half = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e f")], "doc_id long, text string")
+    sets = brute_sets(["a b c d", "a b c d e f"])
+    assert brute_jp(*sets) == pytest.approx(0.5)
+    assert sorted(map(tuple, m.near_duplicates(half, rows=1).collect())) == [(1, 2)]

@@ -15,6 +15,7 @@ group already, and a bucket of copies costs as many pairs as it has texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import cut, free_name, mix64, saved, shingle_hashes, word_batches
+from wordloom.llm.common import discard, free_name, mix64, saved, shingle_hashes, word_batches
 
 SLOTS, ROWS = 128, 3
 BANDS = SLOTS // ROWS
@@ -132,17 +133,46 @@ def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).mean(axis=1))
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, h1, h2) of rows with an id and a text."""
+    t = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(7)).alias("h2")).where("doc_id is not null and text is not null")
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, k: int) -> DataFrame:
     """(doc_id, h1, h2, sig) of rows with an id and a text; equal texts have equal h1, h2."""
-    t = F.col(f"`{text_col}`")
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(7)).alias("h2")).where("doc_id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sketch(b.column(1).to_pylist(), slots, k), pa.binary())], ["doc_id", "h1", "h2", "sig"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint, sig binary")
+    return _hashed(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint, sig binary")
+
+
+@dataclass
+class Texts:
+    """A vertex for every different text: reps (id, first_id, n, sig), and what is needed to name a row's vertex.
+
+    A vertex is the text's first hash; of the few texts that share one with another, a hash of both hashes.
+    """
+
+    reps: DataFrame
+    shared: DataFrame
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows (h1, h2, ...) with their vertex as id."""
+        with_keep = rows.join(self.shared, "h1", "left")
+        return with_keep.withColumn("id", F.when(F.col("keep").isNull() | (F.col("keep") == F.col("h2")), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("keep")
+
+
+def different_texts(docs: DataFrame, id_col: str, text_col: str, slots: int = SLOTS, k: int = SHINGLE) -> Texts:
+    one = _sketches(docs, id_col, text_col, slots, k).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
+    one = saved(one)
+    shared = saved(one.groupBy("h1").agg(F.min("h2").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "keep"))
+    texts = Texts(one, shared)
+    texts.reps = texts.named(one)
+    return texts
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -153,63 +183,71 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: fl
     return near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows (band, id) of bands that hold different ids; counted by partial sums, so that a hot band meets in no task."""
+    mixed = rows.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
+    return rows.join(mixed.select("band", "lead"), "band")
+
+
+def _first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The n smallest ids of each group with their rank n; every task sends on n of a group at most."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("n") <= n)
+
+
 def _across(open_rows: DataFrame, known: DataFrame, tested: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """known, and the verified pairs of rows of one bucket that known doesn't connect and that weren't held against each other.
 
     Only pairs of different groups are made, so that a large group costs nothing by itself. Groups meet by their first rows
     of the bucket, then by more and more, until they are connected or all of their rows have met.
     """
-    bucket = Window.partitionBy("band")
     root = components(known.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     rows = open_rows.select("band", "id").join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("g"))
-    rows = rows.withColumn("least", F.min("g").over(bucket)).withColumn("most", F.max("g").over(bucket)).where("least <> most")
-    rows = saved(rows.select("band", "id", "g", F.row_number().over(Window.partitionBy("band", "g").orderBy("id")).alias("n")))
+    mixed = rows.groupBy("band").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most")
+    rows = saved(rows.join(mixed.select("band"), "band", "left_semi"))
     of_id = rows.select("id", "g").distinct()
-    size = rows.groupBy("band", "g").agg(F.max("n").alias("size"))
+    size = rows.groupBy("band", "g").agg(F.count(F.lit(1)).alias("size"))
     duos = size.select("band", F.col("g").alias("ga"), F.col("size").alias("sa")).join(size.select("band", F.col("g").alias("gb"), F.col("size").alias("sb")), "band")
     duos = saved(duos.where("ga < gb").select("band", "ga", "gb", F.greatest("sa", "sb").alias("size")))
     links, before, upto = None, 0, FIRST
     while not duos.isEmpty():
-        some = rows.where(F.col("n") <= upto)
+        some = _first(rows, ["band", "g"], upto)
         pairs = duos.join(some.select("band", F.col("g").alias("ga"), F.col("id").alias("x"), F.col("n").alias("nx")), ["band", "ga"])
         pairs = pairs.join(some.select("band", F.col("g").alias("gb"), F.col("id").alias("y"), F.col("n").alias("ny")), ["band", "gb"])
         pairs = pairs.where(F.greatest("nx", "ny") > before).select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("lead")).distinct()
         found = saved(_verified(pairs.join(tested, ["id", "lead"], "left_anti"), sigs, texts, threshold, k))
         known = known.unionByName(found)
-        duos = duos.where(F.col("size") > upto)  # of the others all rows have met
-        met = found.join(of_id.withColumnRenamed("g", "a"), "id").join(of_id.select(F.col("id").alias("lead"), F.col("g").alias("b")), "lead").select("a", "b").distinct()
-        links = met if links is None else links.unionByName(met)
-        if duos.isEmpty():
+        left = duos.where(F.col("size") > upto)  # of the others all rows have met
+        if left.isEmpty():
             break
+        met = found.join(of_id.withColumnRenamed("g", "a"), "id").join(of_id.select(F.col("id").alias("lead"), F.col("g").alias("b")), "lead").select("a", "b").distinct()
+        links = saved(met if links is None else links.unionByName(met))
         label = components(links)
-        duos = duos.join(label.select(F.col("id").alias("ga"), F.col("root").alias("ra")), "ga", "left").join(label.select(F.col("id").alias("gb"), F.col("root").alias("rb")), "gb", "left")
-        duos = saved(duos.where(F.coalesce("ra", "ga") != F.coalesce("rb", "gb")).select("band", "ga", "gb", "size"))
+        left = left.join(label.select(F.col("id").alias("ga"), F.col("root").alias("ra")), "ga", "left").join(label.select(F.col("id").alias("gb"), F.col("root").alias("rb")), "gb", "left")
+        left = saved(left.where(F.coalesce("ra", "ga") != F.coalesce("rb", "gb")).select("band", "ga", "gb", "size"))
+        discard(duos, label)
+        duos = left
         before, upto = upto, upto * FIRST
     return known
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(copies: doc_id, rep of equal texts; edges: a, b, similarity verified among reps)."""
-    by_text = Window.partitionBy("h1", "h2")
-    marked = _sketches(docs, id_col, text_col, slots, k).withColumn("rep", F.min("doc_id").over(by_text))
-    marked = saved(marked.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
-    copies = marked.where("doc_id <> rep").select("doc_id", "rep").distinct()
-    reps = marked.where("doc_id = rep and sig is not null").select(F.col("rep").alias("id"), "sig")
+def near_pairs(docs: DataFrame, vertices: Texts, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, k: int = SHINGLE, slots: int = SLOTS) -> DataFrame:
+    """(a, b, similarity): verified pairs of vertices that share a band; what their groups connect isn't expanded into all pairs."""
+    reps = vertices.reps.where("sig is not null").select("id", "sig")
     size = 4 * rows
     bands = F.array(*(F.xxhash64(F.substring("sig", 1 + i * size, size), F.lit(i)) for i in range(slots // rows)))
-    bucket = Window.partitionBy("band")
-    open_rows = saved(reps.select("id", F.explode(bands).alias("band")).withColumn("last", F.max("id").over(bucket)).withColumn("lead", F.min("id").over(bucket)).where("lead <> last").drop("last").distinct())
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    texts = saved(texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    sigs = saved(reps.dropDuplicates(["id"]).join(open_rows.select("id").distinct(), "id", "left_semi"))
+    open_rows = saved(_several(reps.select("id", F.explode(bands).alias("band"))))
+    ids = open_rows.select("id").distinct()
+    firsts = vertices.reps.join(ids, "id", "left_semi").select("h1", "h2", F.col("first_id").alias("doc_id"), "id")
+    texts = saved(_hashed(docs, id_col, text_col).join(firsts, ["doc_id", "h1", "h2"]).select("id", "text").dropDuplicates(["id"]))
+    sigs = saved(reps.join(ids, "id", "left_semi"))
     known, leaders, pending, tested = None, 1, open_rows, []
     while True:
         if leaders > 1:
-            rank = F.row_number().over(bucket.orderBy("id"))
-            ranked = pending.drop("lead").withColumn("n", rank)
-            held = ranked.join(ranked.where(F.col("n") <= leaders).select("band", F.col("id").alias("lead")), "band").where("id > lead").select("band", "id", "lead", "n")
+            lead = saved(_first(pending.select("band", "id"), ["band"], leaders).select("band", F.col("id").alias("lead")))
+            held = pending.select("band", "id").join(lead, "band").where("id > lead").select("band", "id", "lead")
         else:
-            held = pending.where("id > lead").select("band", "id", "lead", F.lit(2).alias("n"))
+            lead = None
+            held = pending.where("id > lead").select("band", "id", "lead")
         held = saved(held)
         tested.append(held.select("id", "lead"))
         pairs = held.select("id", "lead").distinct()
@@ -219,46 +257,79 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         edges = found if known is None else known.unionByName(found)
         # a row matched by one leader of its bucket is settled there, and so are the leaders
         joined = held.join(edges.select("id", "lead", F.lit(1).alias("ok")), ["id", "lead"], "left")
-        left = joined.groupBy("band", "id").agg(F.max("n").alias("n"), F.max("ok").alias("ok")).where(F.col("ok").isNull() & (F.col("n") > leaders)).select("band", "id")
-        left = left.withColumn("last", F.max("id").over(bucket)).withColumn("lead", F.min("id").over(bucket)).where("lead <> last").drop("last")
-        known, pending, leaders = edges, saved(left), leaders * 2
+        left = joined.groupBy("band", "id").agg(F.max("ok").alias("ok")).where("ok is null").select("band", "id")
+        if lead is not None:
+            left = left.join(lead.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti")
+        known, pending, leaders = edges, saved(_several(left)), leaders * 2
         if pending.isEmpty():
             break
     known = _across(open_rows, known, reduce(DataFrame.unionByName, tested), sigs, texts, threshold, k)
-    return copies, known.select(F.col("lead").alias("a"), F.col("id").alias("b"), "similarity")
+    return known.select(F.col("lead").alias("a"), F.col("id").alias("b"), "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest identifier that edges (a, b) reach; minimum labels spread, with jumps to the label's label."""
     both = saved(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    label = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")))
+    label = saved(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")))
     while True:
         heard = both.join(label.select(F.col("x").alias("y"), F.col("root").alias("r")), "y").groupBy("x").agg(F.min("r").alias("r"))
         new = label.join(heard, "x").select("x", F.least("root", "r").alias("new"), F.col("root").alias("old"))
-        jump = new.select(F.col("x").alias("new"), F.col("new").alias("to"))
-        new = cut(new.join(jump, "new").select("x", F.col("to").alias("root"), (F.col("to") != F.col("old")).alias("changed")))
-        label = new.select("x", "root")
-        if new.where("changed").isEmpty():
-            return label.withColumnRenamed("x", "id")
+        jump = label.select(F.col("x").alias("new"), F.col("root").alias("to"))
+        new = saved(new.join(jump, "new").select("x", F.least("to", "new").alias("root"), (F.least("to", "new") != F.col("old")).alias("changed")))
+        settled = new.where("changed").isEmpty()
+        discard(label)
+        label = new
+        if settled:
+            discard(both)
+            return label.select(F.col("x").alias("id"), "root")
+
+
+def _fates(docs: DataFrame, threshold: float, id_col: str, text_col: str, how: dict[str, int]) -> tuple[Texts, DataFrame]:
+    """The vertices, and (id, kept_id, kept) of those whose group holds more than one row: the row that stands for it."""
+    vertices = different_texts(docs, id_col, text_col, **{x: how[x] for x in ("slots", "k") if x in how})
+    root = components(near_pairs(docs, vertices, threshold, id_col, text_col, **how).select("a", "b"))
+    of = vertices.reps.select("id", "first_id", "n").join(root, "id", "left").select("id", "first_id", "n", F.coalesce("root", "id").alias("root"))
+    of = saved(of)
+    top = of.groupBy("root").agg(F.min(F.struct("first_id", "id")).alias("top"), F.sum("n").alias("n")).where("n > 1")
+    return vertices, saved(of.join(top.drop("n"), "root").select("id", F.col("top.first_id").alias("kept_id"), F.col("top.id").alias("kept")))
+
+
+def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str, how: dict[str, int]) -> DataFrame:
+    """(kept_id, doc_id, h1, h2) of the rows that another row stands for, each once."""
+    vertices, fate = _fates(docs, threshold, id_col, text_col, how)
+    rows = vertices.named(_hashed(docs, id_col, text_col).select("doc_id", "h1", "h2"))
+    return rows.join(fate, "id").where("doc_id <> kept_id or id <> kept").select("kept_id", "doc_id", "h1", "h2").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """(kept_id, doc_id): every document that repeats another, with the smallest identifier of its group.
 
-    Groups are those that verified pairs (J_P >= threshold) and equal texts connect. Rows with a null id or text take no
-    part; texts without words (empty ones too) repeat only equal texts; rows that share an id are one document, read by
-    each of their texts; long texts count whole; other columns are not read; an empty table gives no rows.
+    A document is an id and a text, so that an id with several texts counts with each of them, and may come more than once.
+    Groups are those that verified pairs (J_P >= threshold) and equal texts connect; of equal ids in a group the text of
+    smaller hash stands for it. Rows with a null id or text take no part; texts without words (empty ones too) repeat only
+    equal texts; repeated rows are one; a pair at the threshold itself is in; long texts count whole; other columns are
+    not read; an empty table gives no rows.
+    """
+    gone = _gone(docs, threshold, id_col, text_col, how)
+    return gone.where("doc_id <> kept_id").select("kept_id", "doc_id").distinct()
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """docs' rows and columns with one document (an id and a text) of each group that near_duplicates finds.
+
+    Rows with a null id stay, so do rows with a null text; of rows with the same id and text one stays, the first by its
+    columns' JSON; empty texts repeat each other, so one stays; an id's texts that aren't alike all stay; texts are read
+    whole; ties go to the smallest id. docs' columns may have any names; an empty table gives no rows.
     """
-    copies, edges = near_pairs(docs, threshold, id_col, text_col, **how)
-    root = components(edges.select("a", "b").unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    return root.where("id <> root").select(F.col("root").alias("kept_id"), F.col("id").alias("doc_id"))
-
-
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows and columns with one document of each group; rows with a null id stay, of rows that share an id one stays."""
-    gone = near_duplicates(docs, threshold, id_col, text_col).select(F.col("doc_id").alias(free_name(docs, "gone_id")))
-    n = free_name(docs, "copy")
-    named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    named = named.join(gone, named[id_col] == gone[0], "left_anti")
-    one = named.withColumn(n, F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").desc_nulls_last()))).where(F.col(f"`{n}`") == 1).drop(n)
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    t, i = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    gone = saved(_gone(docs, threshold, id_col, text_col, how))
+    keys = _hashed(docs, id_col, text_col).groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = saved(keys.join(gone, ["doc_id", "h1", "h2"], "left_anti"))
+    key = [free_name(docs, x) for x in ("k_id", "k_h1", "k_h2")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.withColumns(dict(zip(key, (i, F.xxhash64(t), F.xxhash64(t, F.lit(7)))))).where(i.isNotNull() & t.isNotNull())
+    apart = gone.select("doc_id", "h1", "h2").unionByName(several).toDF(*key)
+    rest = named.join(apart, key, "left_anti").select(*columns)
+    row = free_name(docs, "row")
+    one = named.join(several.toDF(*key), key, "left_semi").groupBy(*(F.col(f"`{x}`") for x in key)).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
+    return rest.unionByName(one.select(*(F.col(f"`{row}`.`{c}`") for c in docs.columns))).unionByName(docs.where(i.isNull() | t.isNull()))
