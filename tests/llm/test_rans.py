@@ -15,8 +15,11 @@ def test_round_trip_from_every_checkpoint(n):
     at = np.array([0, n, n + 300, n + 300, n + 500])
     for (payload, points), a, b in zip(rans.encode(table, ids, at), at, at[1:]):
         assert len(points) == -(-(b - a) // rans.STRIDE)
-        for first, word, states in points:
-            assert (rans.decode(table, payload, states, word, first, int(b - a)) == ids[a + first : b]).all()
+        for point in points:
+            assert (rans.decode(table, payload, [point], [int(b - a)])[0] == ids[a + point[0] : b]).all()
+        stops = [p[0] for p in points[1:]] + [int(b - a)]
+        together = rans.decode(table, payload, points, stops)
+        assert all((x == ids[a + p[0] : a + z]).all() for x, p, z in zip(together, points, stops))
 
 
 def test_size_is_near_the_entropy():
@@ -60,10 +63,50 @@ def test_documents_and_odd_rows(spark):
     assert empty.count() == 1 and rans.decode_documents(empty).collect() == []
 
 
-def test_damage_is_noticed():
-    ids = np.arange(100)
+def scalar(table, ids):
+    """The coder for one identifier after the other, in whole numbers of any size: (words, checkpoints)."""
+    freq, start = [int(x) for x in table.freq], [int(x) for x in table.start]
+    low, x, out, points = 1 << 31, [1 << 31] * rans.LANES, [], []
+    for i in reversed(range(len(ids))):
+        lane, f, c = i % rans.LANES, freq[ids[i]], start[ids[i]]
+        if x[lane] >= ((low >> rans.SCALE) << 32) * f:
+            out.append(x[lane] % 2**32)
+            x[lane] //= 2**32
+        x[lane] = (x[lane] // f) * 2**rans.SCALE + x[lane] % f + c
+        if i % rans.STRIDE == 0:
+            points.append((i, len(out), list(x)))
+    return out[::-1], [(i, len(out) - w, s) for i, w, s in reversed(points)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 128, 1000, 5003])
+def test_blocks_are_those_of_a_scalar_coder(n, monkeypatch):
+    monkeypatch.setattr(rans, "STRIDE", 1024)
+    r = np.random.default_rng(n)
+    ids = np.minimum(r.geometric(0.003, n + 700), 4000)
     table = rans.Table.of(np.bincount(ids))
-    payload, points = rans.encode(table, ids, np.array([0, 100]))[0]
-    row = {"n_tokens": 100, "payload": payload, "checkpoints": [{"first": a, "word": b, "states": c} for a, b, c in points], "token_crc": 0, "table_crc": table.checksum}
-    with pytest.raises(ValueError):
-        rans.decode_block(table, row)
+    at = np.array([0, n, n + 700])
+    for (payload, points), a, b in zip(rans.encode(table, ids, at), at, at[1:]):
+        words, want = scalar(table, ids[a:b].tolist())
+        assert np.frombuffer(payload, "<u4").tolist() == words
+        assert [(i, w, np.frombuffer(s, "<u8").tolist()) for i, w, s in points] == want
+
+
+def test_damage_is_noticed_in_every_part(monkeypatch):
+    monkeypatch.setattr(rans, "STRIDE", 512)
+    ids = np.random.default_rng(1).integers(0, 300, 2000)
+    table = rans.Table.of(np.bincount(ids))
+    payload, points = rans.encode(table, ids, np.array([0, 2000]))[0]
+    row = {"n_tokens": 2000, "payload": payload, "table_crc": table.checksum, "token_crc": rans._crc(ids)}
+    row["checkpoints"] = [{"first": a, "word": b, "states": c, "crc": rans._crc(ids[a : a + 512])} for a, b, c in points]
+    assert (rans.decode_block(table, row) == ids).all() and (rans.decode_block(table, row, range(1, 3)) == ids[512:1536]).all()
+    word = points[1][1] * 4 + 40
+    broken = row | {"payload": payload[: word + 2] + bytes([payload[word + 2] ^ 8]) + payload[word + 3 :]}
+    assert (rans.decode_block(table, broken, range(2, 4)) == ids[1024:]).all()
+    for bad, parts in ((broken, None), (broken, range(1, 2)), (row | {"token_crc": 0}, None), (row | {"table_crc": 0}, range(1))):
+        with pytest.raises(ValueError):
+            rans.decode_block(table, bad, parts)
+
+
+def test_ties_of_frequency():
+    t = rans.Table.of(np.array([7, 7, 0, 7]))
+    assert t.freq.tolist() == [349526, 349525, 0, 349525]

@@ -2,8 +2,9 @@
 
 All blocks share one table of frequencies, counted over the whole corpus and scaled to 2**SCALE. A block holds up to
 BLOCK identifiers, dealt to LANES interleaved states that share a stream of 32-bit words; blocks depend on nothing but
-the table. Every STRIDE identifiers a checkpoint keeps the states and the place in the stream, so that parts of a block
-decode in parallel too. A checksum of the identifiers goes with each block, and one of the table with every row.
+the table. Every STRIDE identifiers a checkpoint keeps the states, the place in the stream and a checksum of the
+identifiers up to the next, so that parts of a block decode side by side, or alone, and are verified each. A checksum of
+all identifiers goes with each block too, and one of the table with every row.
 """
 
 from __future__ import annotations
@@ -121,38 +122,54 @@ def encode(table: Table, ids: np.ndarray, at: np.ndarray) -> list[tuple[bytes, l
 _SLOTS: dict[int, np.ndarray] = {}
 
 
-def decode(table: Table, payload: bytes, states: bytes, word: int, first: int, stop: int) -> np.ndarray:
-    """Identifiers first to stop of a block, from the checkpoint at first."""
+def _slots(table: Table) -> np.ndarray:
     slots = _SLOTS.get(table.checksum)
     if slots is None:
         _SLOTS.clear()
         slots = _SLOTS[table.checksum] = np.repeat(np.arange(len(table.freq)), table.freq.astype(np.int64))
-    words = np.frombuffer(payload, "<u4")
-    x = np.frombuffer(states, "<u8").astype(np.uint64)
-    out = np.zeros(stop - first, np.int32)
-    mask = np.uint64((1 << SCALE) - 1)
-    for t in range(0, stop - first, LANES):
-        m = min(LANES, stop - first - t)
-        low = x[:m] & mask
+    return slots
+
+
+def decode(table: Table, payload: bytes, points: list[tuple[int, int, bytes]], stops: list[int]) -> list[np.ndarray]:
+    """Identifiers of each part of a block, from its checkpoint (identifier, word, states) to its stop; all parts advance at once."""
+    slots, words = _slots(table), np.frombuffer(payload, "<u4")
+    size = np.array([stop - p[0] for p, stop in zip(points, stops)], np.int64)
+    word = np.array([p[1] for p in points], np.int64)
+    x = np.stack([np.frombuffer(p[2], "<u8").astype(np.uint64) for p in points]) if points else np.zeros((0, LANES), np.uint64)
+    longest = -(-int(size.max(initial=0)) // LANES) * LANES
+    out = np.zeros((len(points), longest), np.int32)
+    mask, lane = np.uint64((1 << SCALE) - 1), np.arange(LANES)
+    for t in range(0, longest, LANES):
+        live = t + lane[None, :] < size[:, None]
+        low = x & mask
         s = slots[low.astype(np.int64)]
-        out[t : t + m] = s
-        y = table.freq[s] * (x[:m] >> np.uint64(SCALE)) + low - table.start[s]
-        need = np.flatnonzero(y < LOW)
-        y[need] = (y[need] << np.uint64(32)) | words[word : word + len(need)]
-        word += len(need)
-        x[:m] = y
-    return out
+        out[:, t : t + LANES] = s
+        y = table.freq[s] * (x >> np.uint64(SCALE)) + low - table.start[s]
+        need = live & (y < LOW)
+        if need.any():
+            place = word[:, None] + np.cumsum(need, axis=1) - 1
+            y[need] = (y[need] << np.uint64(32)) | words[place[need]]
+            word += need.sum(axis=1)
+        x = np.where(live, y, x)
+    return [row[:n] for row, n in zip(out, size.tolist())]
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def decode_block(table: Table, row: dict) -> np.ndarray:
-    """All identifiers of a block's row, part by part, with both checksums held against it."""
+def decode_block(table: Table, row: dict, parts: range | None = None) -> np.ndarray:
+    """Identifiers of a block's row, or of the given parts of it alone, with every checksum held against them."""
     if row["table_crc"] != table.checksum:
         raise ValueError("the block belongs to another table")
     points = row["checkpoints"]
     stops = [p["first"] for p in points[1:]] + [row["n_tokens"]]
-    parts = [decode(table, row["payload"], p["states"], p["word"], p["first"], stop) for p, stop in zip(points, stops)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != row["token_crc"]:
+    chosen = range(len(points)) if parts is None else parts
+    made = decode(table, row["payload"], [(points[k]["first"], points[k]["word"], points[k]["states"]) for k in chosen], [stops[k] for k in chosen])
+    if any(_crc(ids) != points[k]["crc"] for k, ids in zip(chosen, made)):
+        raise ValueError("a part of the block doesn't decode to what was encoded")
+    ids = np.concatenate(made) if made else np.zeros(0, np.int32)
+    if parts is None and _crc(ids) != row["token_crc"]:
         raise ValueError("the block doesn't decode to what was encoded")
     return ids
 
@@ -240,7 +257,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col:
 
     doc_ids, parts and counts run in step: of that document's part (0 unless it fills several blocks) so many identifiers
     stand here. A null text has a null count, an empty one 0; repeated rows and null ids keep an entry each; other columns
-    are not read; an empty table gives the table's row alone, with no frequencies. The texts are read once: their
+    are not read; an empty table gives the table's row alone, with no frequencies; identifiers of equal counts have equal
+    frequencies but for the remainders, which go to the smaller ones first. The texts are read once, whole: their
     identifiers wait in the shared folder for the table.
     """
     spark = docs.sparkSession
@@ -249,7 +267,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col:
     vocab = max(bpe.load_ranks(vocabulary).values()) + 1
     table = frequencies(tokens, vocab)
     width = "<u2" if vocab <= 1 << 16 else "<u4"
-    points = pa.list_(pa.struct([("first", pa.int32()), ("word", pa.int32()), ("states", pa.binary())]))
+    points = pa.list_(pa.struct([("first", pa.int32()), ("word", pa.int32()), ("states", pa.binary()), ("crc", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
@@ -272,16 +290,16 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col:
                 flat = pa.array([x[0] for block in chosen for x in block], pa.int64())
                 edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in chosen])]).astype(np.int32))
                 counts = pa.array([[None if null[i] else n for i, _, n in block] for block in chosen], pa.list_(pa.int32()))
-                crcs = [zlib.crc32(part[a:z].astype("<u4").tobytes()) for a, z in zip(at[k:to] - at[k], at[k + 1 : to + 1] - at[k])]
+                owns = [part[a:z] for a, z in zip(at[k:to] - at[k], at[k + 1 : to + 1] - at[k])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([task + number + i for i in range(len(chosen))], pa.int64()), pa.ListArray.from_arrays(edges, names.take(flat)), lists(1, pa.int32()), counts,
                     pa.array(np.diff(at[k : to + 1]).astype(np.int32)), pa.array([m[0] for m in made], pa.binary()),
-                    pa.array([[{"first": i, "word": w, "states": s} for i, w, s in m[1]] for m in made], points), pa.array(crcs, pa.int64()), pa.array([crc] * len(chosen), pa.int64()),
+                    pa.array([[{"first": i, "word": w, "states": s, "crc": _crc(own[i : i + STRIDE])} for i, w, s in m[1]] for m, own in zip(made, owns)], points), pa.array([_crc(own) for own in owns], pa.int64()), pa.array([crc] * len(chosen), pa.int64()),
                 ], NAMES)
                 number += len(chosen)
                 k = to
 
-    schema = f"block_id bigint, doc_ids array<{kind}>, parts array<int>, counts array<int>, n_tokens int, payload binary, checkpoints array<struct<first:int,word:int,states:binary>>, token_crc bigint, table_crc bigint"
+    schema = f"block_id bigint, doc_ids array<{kind}>, parts array<int>, counts array<int>, n_tokens int, payload binary, checkpoints array<struct<first:int,word:int,states:binary,crc:bigint>>, token_crc bigint, table_crc bigint"
     blocks = tokens.where("counts is null").select("doc_id", "ids", "null_text").mapInArrow(run, schema)
     head = spark.createDataFrame([(-1, [], [], [], 0, bytearray(table.dump()), [], 0, table.checksum)], schema)
     return head.unionByName(blocks)
@@ -291,7 +309,12 @@ NAMES = ["block_id", "doc_ids", "parts", "counts", "n_tokens", "payload", "check
 
 
 def decode_documents(blocks: DataFrame) -> DataFrame:
-    """(doc_id, part, token_ids) of blocks as encode_documents gives them; token_ids is null where the text was."""
+    """(doc_id, part, token_ids) of blocks as encode_documents gives them; token_ids is null where the text was.
+
+    Every entry of a block has a row: null ids and repeated rows too, an empty text with an empty list; of a very long text
+    each part is a row, to be joined in the order of part; blocks decode by themselves, in any order and on any executor;
+    blocks' other columns are not read; the table's row alone gives none, and without it there is nothing to decode with.
+    """
     table = Table.load(bytes(blocks.where("block_id = -1").select("payload").first()[0]))
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
