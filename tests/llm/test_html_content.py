@@ -53,14 +53,43 @@ def test_held_out_pages_and_pages_without_marks():
         assert right > 50 * max(missed, 1) / 2 and wrong <= 0.05 * right, (mark, right, missed, wrong)
 
 
+def test_texts_stand_in_document_order():
+    texts = lambda source: [t for t in h.parse(source).text if t]
+    assert texts("<p>a<p>b<div>c<b>d</div></i></b>e &amp; f<li>x<li>y<!-- <p>no --><script>if(a<b)</script><a href='>'>z</a><img src=x>q<br>w</td>") == ["a", "b", "cd", "e & f", "x", "yzq w"]
+    assert texts("<div>one<p>two</p>three</div>") == ["one", "two", "three"]
+    assert texts("<div>one<p>two</p>three <b>four</b><ul><li>five</ul>six</div>seven") == ["one", "two", "three four", "five", "six", "seven"]
+    assert texts("<pre>a\n  b  c\n\nd</pre>") == ["a\n  b  c\n\nd"] and texts("<pre>\n<code>x = 1\ny</code></pre> z  z") == ["x = 1\ny", "z z"]
+    assert texts("<p>a<b> </b>b <i>c</i>\n d</p>") == ["a b c d"]
+    p = h.parse("<nav class=menu>one<p>two</p><a href=x>three</a></nav>")
+    assert p.parent == [-1, 0, 1, 1] and p.names[1] == p.names[3] == 2 and p.link == [0, 0, 0, 5]
+
+
 def test_parser_survives():
-    t = h.parse("<p>a<p>b<div>c<b>d</div></i></b>e &amp; f<li>x<li>y<!-- <p>no --><script>if(a<b)</script><a href='>'>z</a><img src=x>q<br>w</td><unclosed")
-    assert [x for x in t.text if x] == ["a", "b", "cd", "x", "yzq w<unclosed"] or "e & f" in " ".join(t.text)
-    for s in ("", "   ", "plain words", "<", "<<<>>>", "<p" * 5000, "</p>" * 100, "<div>" * 20000 + "x", "<script>", "<!--", "<a title=\"" + "x" * 50_000):
-        assert h.parse(s).parent[0] == -1
+    for s in ("", "   ", "plain words", "<", "<<<>>>", "<p" * 5000, "</p>" * 100, "<div>" * 20000 + "x", "<script>", "<!--", "<a title=\"" + "x" * 50_000, "<div>" + "a<p>b</p>" * 5000):
+        t = h.parse(s)
+        assert t.parent[0] == -1 and all(u < i for i, u in enumerate(t.parent)) and len(t.parent) == len(t.text) == len(t.link)
     assert h.parse("plain words").text == ["plain words"]
 
 
+def test_pages_without_marks_and_ties(spark):
+    r = random.Random(6)
+    made = [page(r, "div") for _ in range(30)]
+    pages = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(made)], "page_id long, html string")
+    model = h.train(pages)
+    assert (model.weights == h._default().weights).all()
+    got = {x.page_id: x for x in h.extract(pages, model).collect()}
+    extra = 0
+    for i, (source, body) in enumerate(made):
+        lines = got[i].content.split("\n")
+        assert set(body) <= set(lines) and lines == [t for t in h.parse(source).text if t in set(lines)]
+        assert got[i].n_content == len(lines) < got[i].n_blocks - 4  # no line of the navigation
+        extra += len(lines) > len(body) + 1  # more than the heading
+    assert extra <= 3
+    even = h.Model(np.zeros(h.N_FEATURES), np.zeros((h.EDGES, 2, 2)))  # every marginal is one half
+    tie = {x.page_id: x for x in h.extract(pages, even).collect()}
+    assert all(x.n_content == x.n_blocks for x in tie.values())
+
+
 def test_odd_rows(spark):
     r = random.Random(3)
     rows = [(i, page(r)[0], "u") for i in range(40)]

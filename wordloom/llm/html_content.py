@@ -59,23 +59,51 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of block elements; inline elements' text belongs to the block around them. Any input gives a tree."""
-    parent, tag, names, marked, link = [-1], [_TAG["body"]], [0], [False], [0]
+    """The tree of block elements, and of runs of text that follow a block inside another; any input gives a tree.
+
+    Inline elements' text belongs to the block around them. Nodes stand in document order, and so do their texts: a block's
+    text up to its first inner block is its own, what follows an inner block is a node for itself below it. White space is
+    drawn together but for <pre>.
+    """
+    parent, tag, names, marked, link, verbatim = [-1], [_TAG["body"]], [0], [False], [0], [False]
     parts: list[list[str]] = [[]]
+    run = [0]  # by node: the node that takes its text now, -1 after an inner block
     stack: list[tuple[str, int]] = [("html", 0)]
     links = 0
     head = False
     has_mark = False
     at = 0
 
+    def add_node(up: int, kind: int, named: int, mark: bool, pre: bool) -> int:
+        node = len(parent)
+        parent.append(up)
+        tag.append(kind)
+        names.append(named)
+        marked.append(mark)
+        verbatim.append(pre)
+        link.append(0)
+        parts.append([])
+        run.append(node)
+        run[up] = -1
+        return node
+
     def add_text(t: str) -> None:
-        if t and not t.isspace():
-            node = stack[-1][1]
-            if "&" in t:
-                t = entities.unescape(t)
-            parts[node].append(t)
-            if links:
-                link[node] += len(t)
+        if not t:
+            return
+        node = stack[-1][1]
+        to = run[node]
+        if t.isspace():
+            if to >= 0 and parts[to]:  # blanks between inline elements
+                parts[to].append(t)
+            return
+        if to < 0:
+            to = add_node(node, tag[node], names[node], marked[node], verbatim[node])
+            run[node] = to
+        if "&" in t:
+            t = entities.unescape(t)
+        parts[to].append(t)
+        if links:
+            link[to] += len(t)
 
     for m in _TOKEN.finditer(source):
         if m.start() > at and not head:
@@ -95,7 +123,7 @@ def parse(source: str) -> Page:
             continue
         if name == "html" or name in _VOID:
             if name in ("br", "hr") and not head:
-                parts[stack[-1][1]].append("\n")
+                add_text("\n")
             continue
         if name in _INLINE:
             if name == "a":
@@ -122,26 +150,20 @@ def parse(source: str) -> Page:
             if found:
                 del stack[found:]
         up = stack[-1][1]
-        node = len(parent)
-        parent.append(up)
-        tag.append(_TAG.get(name, len(TAGS) - 1))
         mark = name in _MARKS
         has_mark |= mark
-        marked.append(marked[up] or mark)
         kind = 0
         attrs = m[4]
         if attrs and not attrs.isspace():
             said = " ".join(_NAMES.findall(attrs))
             if said:
                 kind = (1 if _GOOD.search(said) else 0) | (2 if _BAD.search(said) else 0)
-        names.append(kind)
-        link.append(0)
-        parts.append([])
+        node = add_node(up, _TAG.get(name, len(TAGS) - 1), kind, marked[up] or mark, verbatim[up] or name == "pre")
         if not attrs or not attrs.endswith("/"):
             stack.append((name, node))
     if at < len(source) and not head:
         add_text(source[at:])
-    text = [_SPACE.sub(" ", "".join(p)).strip() if p else "" for p in parts]
+    text = [("".join(p).strip("\r\n") if v else _SPACE.sub(" ", "".join(p)).strip()) if p else "" for p, v in zip(parts, verbatim)]
     return Page(parent, tag, text, link, names, marked, has_mark)
 
 
@@ -298,7 +320,11 @@ def fit(pages: list[Page], steps: int = 250, rate: float = 0.08, ridge: float =
 
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, id_col: str = "page_id", html_col: str = "html") -> Model:
-    """A model from at most max_pages pages that mark their content, chosen by a hash of the page."""
+    """A model from at most max_pages pages that mark their content, chosen by a hash of the page.
+
+    Null and empty pages mark nothing; repeated pages have one hash and count each; without marked pages, as in an empty
+    table, the model is a fixed one; pages are read whole; other columns are not read.
+    """
     h = F.col(f"`{html_col}`")
     some = bounded_sample(pages.where(h.rlike(r"(?i)<(article|main)[\s>]")).select(h.alias("h")), max_pages, F.xxhash64("h"))
     return fit([parse(r["h"]) for r in some.collect()])
@@ -308,8 +334,9 @@ def extract(pages: DataFrame, model: Model, threshold: float = 0.5, id_col: str
     """(page_id, content, n_blocks, n_content) for every row: texts of the blocks whose marginal reaches threshold, by line.
 
     One pass, no shuffle. A null page gives nulls, an empty one empty content; text without tags is one block; broken
-    markup gives some tree; repeated rows and null ids keep a row each; other columns are not read; an empty table gives
-    no rows.
+    markup gives some tree; a block at the threshold itself is content; very long pages are read whole; repeated rows and
+    null ids keep a row each; other columns are not read; an empty table gives no rows. Texts stand in document order; a
+    block of <pre> keeps its lines.
     """
     id_type = pages.schema[id_col].dataType.simpleString()
 
