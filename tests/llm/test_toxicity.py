@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -42,6 +43,75 @@ def test_obfuscated_words_are_read():
     assert (f[:5, k] > 0).all() and f[5, k] == 0
 
 
+def test_obfuscated_words_in_long_tokens():
+    c, k = t.Counter(), t.FEATURES.index("hidden")
+    long = ["quiet/" * 9 + "st*pid", "st" + "u" * 60 + "pid", "x=1;" * 30 + "1d10t", "walk_home_" * 20 + "m0r0n"]
+    assert (c.features(long)[:, k] == 1).all()
+    assert (c.features(["quiet/" * 50 + "walk", "a9" * 500, "https://example.org/idiot-walk/10"])[:, k] == 0).all()
+
+
+def plain_features(c, text):
+    """FEATURES of a text of plain words, sign by sign."""
+    words = re.findall(r"[^\W_]+", text)
+    low = [w.lower() for w in words]
+    n, chars = max(len(words), 1), max(len(text), 1)
+    lex, learned, you = set(t.LEXICON), set(c[1]), set(t.SECOND_PERSON)
+    hit = [i for i, w in enumerate(low) if w in lex or w in learned]
+    near = sum(any(low[j] in you for j in range(max(0, i - t.NEAR), min(len(low), i + t.NEAR + 1))) for i in hit)
+    letters = sum(x.isalpha() for x in text)
+    sign = [not x.isalnum() and not x.isspace() for x in text]
+    return {
+        "lexicon": sum(w in lex for w in low), "lexicon_density": sum(w in lex for w in low) / n, "learned": sum(w in learned for w in low), "learned_density": sum(w in learned for w in low) / n,
+        "near_you": near, "near_you_density": near / n, "you_density": sum(w in you for w in low) / n, "capitals": sum(x.isupper() for x in text) / max(letters, 1),
+        "capital_words": sum(len(w) > 1 and w.isupper() and w.isalpha() for w in words) / n, "exclaims": text.count("!") / chars, "questions": text.count("?") / chars, "punctuation": sum(sign) / chars,
+        "sign_runs": sum(a and b for a, b in zip(sign, sign[1:])) / chars, "digits": sum(x.isdigit() for x in text) / chars,
+        "drawn_out": sum(a.isalpha() and a.lower() == b.lower() == d.lower() for a, b, d in zip(text, text[1:], text[2:])) / n,
+    }
+
+
+def test_features_match_plain_counting():
+    r = random.Random(4)
+    c = ((), ("zorgle",))
+    counter = t.Counter(learned=c[1])
+    texts = [" ".join(r.choice([*FILL, "idiot", "You", "SCUM", "zorgle", "du", "sooo", "12", "Dumm", "you!!", "why?!", "é", "(x)", "WOW"]) for _ in range(r.randrange(0, 60))) for _ in range(80)]
+    got = counter.features(texts)
+    for x, text in zip(got, texts):
+        for name, want in plain_features(c, text).items():
+            assert x[t.FEATURES.index(name)] == pytest.approx(want), (name, text)
+
+
+def test_first_split_is_the_best_of_all():
+    r = np.random.default_rng(5)
+    x = np.round(r.random((300, 4)), 2)
+    y = (x[:, 2] + 0.3 * r.random(300) > 0.7).astype(float)
+    tree = t.boost(x, y, trees=1, depth=1, bins=10_000, rate=1.0)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    least = min(20.0, max(3.0, y.sum() / 4))
+    every = [(gain(x[:, j] <= c) + gain(x[:, j] > c), j, c) for j in range(4) for u in [np.unique(x[:, j])] for c in (u[1:] + u[:-1]) / 2 if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= least]
+    best = max(every)
+    assert tree.feature[0, 0] == best[1] and tree.cut[0, 0] == pytest.approx(best[2])
+    left = x[:, best[1]] <= best[2]
+    assert tree.leaf[0].tolist() == pytest.approx([g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+    assert tree.score(x) == pytest.approx(np.log(p / (1 - p)) + np.where(left, tree.leaf[0, 0], tree.leaf[0, 1]))
+
+
+def test_isotonic_is_the_min_of_maxima():
+    r = np.random.default_rng(2)
+    s = np.sort(r.permutation(60)[:40]).astype(float)
+    y = (r.random(40) < s / 60).astype(float)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert np.interp(s, *t.isotonic(s, y)) == pytest.approx(want)
+
+
+def test_a_score_at_the_threshold_is_toxic(spark, model):
+    docs = spark.createDataFrame([(1, "you idiot scum"), (2, "a quiet walk")], "doc_id long, text string")
+    p = {x.doc_id: x.toxicity for x in t.score(docs, model).collect()}
+    assert {x.doc_id: x.toxic for x in t.score(docs, model, threshold=p[2]).collect()} == {1: True, 2: True}
+    assert t.keep_clean(docs, model, threshold=p[2]).count() == 0
+
+
 def test_second_person_near():
     c, k = t.Counter(), t.FEATURES.index("near_you")
     f = c.features(["you are an idiot", "you " + "word " * 30 + "idiot"])

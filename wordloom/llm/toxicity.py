@@ -55,6 +55,8 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Signs that join words to one token and stand for no letter.
+_JOINTS = re.compile(r"[^\w*#@$!|€]+|_+")
 _LEET = str.maketrans("013457@$!|€", "oieastasiie")
 
 
@@ -69,10 +71,14 @@ class Counter:
             self.by_size.setdefault(len(w), []).append(w)
 
     def _reads(self, token: str) -> bool:
-        """Whether an obfuscated token can be read as a word of the lexicon."""
+        """Whether an obfuscated token, or a part of it between other signs, can be read as a word of the lexicon."""
         token = token.lower().strip(".,;:?!\"'()")
-        if len(token) > 40:
-            return False
+        if self._reads_whole(token):
+            return True
+        parts = _JOINTS.split(token)
+        return len(parts) > 1 and any(len(x) > 3 and x not in self.words and self._reads_whole(x) for x in parts)
+
+    def _reads_whole(self, token: str) -> bool:
         plain = token.translate(_LEET)
         for t in (plain, re.sub(r"[^\w]|_", "", plain), re.sub(r"(.)\1{2,}", r"\1", plain), re.sub(r"(.)\1{2,}", r"\1\1", plain)):
             if t in self.words:
@@ -121,7 +127,7 @@ class Counter:
             b = np.minimum(np.where(k < len(gap), gap[np.minimum(k, max(len(gap) - 1, 0))] if len(gap) else len(raw), len(raw)), at[own + 1])
             spans, first = np.unique(a, return_index=True)
             for s, e, o in zip(spans.tolist(), b[first].tolist(), own[first].tolist()):
-                if 3 < e - s <= 48 and self._reads(parts[o][s - at[o] : e - at[o]]):
+                if e - s > 3 and self._reads(parts[o][s - at[o] : e - at[o]]):
                     hidden.append(o)
         single = np.flatnonzero((size == 1) & letter[starts]) if len(starts) else np.zeros(0, np.int64)
         spaced = np.zeros(0, np.int64)
@@ -289,7 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     Three folds by hash: the first gives the learned lexicon (words many times as frequent in toxic rows, in three at
     least), the other two the trees and their calibration. Without labels of both kinds the model is a fixed rule on
-    the lexicon. Rows labelled twice count twice.
+    the lexicon. Rows labelled twice count twice; of equal hashes the rows come in the order of their columns; very long
+    texts are read whole, empty ones have no words; other columns are not read.
     """
     picked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
     picked = bounded_sample(picked, max_labelled, F.xxhash64("k"))
@@ -329,13 +336,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     """(doc_id, toxicity, toxic) for every row; one pass, no shuffle.
 
     A null text has null toxicity and isn't toxic; an empty one scores like any text without words; repeated rows and
-    null ids keep a row each; other columns are not read; an empty table gives no rows. Whole texts are read, in segments.
+    null ids keep a row each; a score at the threshold itself is toxic; other columns are not read; an empty table gives no
+    rows. Whole texts are read, in segments.
     """
     p = narrow(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), _scorer(model)(F.col(f"`{text_col}`")).alias("toxicity"))
     return p.withColumn("toxic", F.coalesce(F.col("toxicity") >= threshold, F.lit(False)))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows that aren't toxic, with docs' columns; rows with a null text stay. Only texts go to Python, only scores come back."""
+    """The rows that aren't toxic, with docs' columns; only texts go to Python and only scores come back.
+
+    Rows with a null text stay, empty texts are judged like any without words; repeated rows and null ids stay or go each by
+    its text; a score at the threshold itself goes; long texts are read whole; docs' columns may have any names; an empty
+    table gives no rows.
+    """
     p = free_name(docs, "toxicity")
     return docs.withColumn(p, _scorer(model)(F.col(f"`{text_col}`"))).where(F.col(p).isNull() | (F.col(p) < threshold)).drop(p)
