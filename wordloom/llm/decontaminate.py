@@ -29,8 +29,9 @@ from wordloom.llm.toxicity import _among
 EDITS = 0.2
 #: Sampled places in a key, and the share of copies at the largest distance that the tables must find.
 PLACES, RECALL = 3, 0.97
-#: Items whose tables go to the executors at once; more are done in turns, a pass over the documents each.
-ITEMS_A_PASS = 50_000
+#: Items, and bytes of their texts, whose tables go to the executors at once; more are done in turns, a pass over the
+#: documents each.
+ITEMS_A_PASS, BYTES_A_PASS = 50_000, 64_000_000
 
 
 def allowed(m: int, share: float = EDITS) -> int:
@@ -122,9 +123,9 @@ def repetitions(items: list[np.ndarray], size: int, share: float, places: int, r
     for t in range(trials):
         key = keys_of(flat, at[:-1], at[1:], first + t, _draw(first + t, size, places), size).reshape(-1, 2)
         hit += key[:, 0] == key[:, 1]
-    p = (hit + 0.5) / (trials + 1)
+    p = (hit + 0.5) / (trials + 1)  # never 0, so that some number of tables reaches any recall below 1
     n = 1
-    while n < 400 and (1 - (1 - p) ** n).mean() < recall:
+    while (1 - (1 - p) ** n).mean() < recall:
         n += 1
     return n
 
@@ -279,10 +280,11 @@ def _matches(matcher: Matcher, id_type: pa.DataType, spark_type: str):
 
 
 def _passes(benchmark: DataFrame, share: float, places: int, recall: float, item_col: str, text_col: str, items_a_pass: int):
-    """A matcher for each items_a_pass items with a text. Equal texts under several identifiers are items each."""
+    """A matcher for each turn of items with a text. Equal texts under several identifiers are items each."""
     kind = benchmark.schema[item_col].dataType
     items = narrow(benchmark, item_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
-    turns = -(-items.count() // items_a_pass)
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("bytes")).first()
+    turns = max(-(-size["n"] // items_a_pass), -(-(size["bytes"] or 0) // BYTES_A_PASS))
     for n in range(turns):
         part = items.where(F.pmod(F.xxhash64(F.col(f"`{item_col}`")), F.lit(turns)) == n).orderBy(item_col, text_col).collect() if turns > 1 else items.orderBy(item_col, text_col).collect()
         from pyspark.sql.pandas.types import to_arrow_type
@@ -294,9 +296,10 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, places: in
     """(doc_id, item_id, edits, first_word, n_words): every item found in every document, at its best place.
 
     Words are runs of letters and digits in lower case. An item of m words is found where a run of words lies within
-    share * m edits of words. Null and empty texts hold nothing and, as items, are in nothing; null identifiers and
-    repeated rows count like others; other columns are not read; an empty table of either kind gives no rows. No
-    shuffle: items go to the executors, items_a_pass at a time.
+    share * m edits of words; of equally good places the first is given. Null and empty texts hold nothing and, as items,
+    are in nothing; null identifiers and repeated rows count like others, of documents and of items; long texts are searched
+    whole; other columns are not read; an empty table of either kind gives no rows. No shuffle: items go to the executors,
+    items_a_pass at a time.
     """
     d = narrow(docs, id_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
     parts = [d.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(m(F.col(f"`{text_col}`"))).alias("m")).select("doc_id", "m.*") for m in _passes(benchmark, share, places, recall, item_col, item_text_col, items_a_pass)]
@@ -308,7 +311,12 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, places: in
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, places: int = PLACES, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """docs' rows and columns without those that hold an item; rows with a null text stay."""
+    """docs' rows and columns without those that hold an item.
+
+    Rows with a null or empty text stay; repeated rows and null ids stay or go each by its text; an item at the largest
+    distance itself counts; long texts are searched whole; docs' columns may have any names; an empty table of documents
+    gives no rows, one of items takes none away.
+    """
     for m in _passes(benchmark, share, places, recall, item_col, item_text_col, items_a_pass):
         p = free_name(docs, "leaks")
         held: Column = F.coalesce(F.size(F.col(p)), F.lit(0))

@@ -141,7 +141,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text
 
     Groups are the rows equal in group_cols, by default equal in text, so that copies stay together. A null or empty
     text has 0 bytes; null texts are one group, so are rows whose group columns are all null; null ids and repeated
-    rows keep a row each; equal sizes go in the order of the groups' hashes, so that the result is always the same; a
+    rows keep a row each; very long texts are only measured; equal sizes go in the order of the groups' hashes, so that the result is always the same; a
     group larger than a shard's share has a shard to itself; other columns are not read; an empty table gives no rows.
     """
     key = [F.col(f"`{c}`") for c in group_cols or (text_col,)]

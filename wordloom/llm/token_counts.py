@@ -62,7 +62,7 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col: str
     Count = initial symbols (bytes) minus merges, summed over the pieces of the text; a worker merges each distinct
     piece once. A null text gives null, an empty one 0; repeated rows and null ids keep a row each; other columns,
     whatever their names, are not read; an empty table gives no rows. A very long text is handled in segments that
-    end where pieces end, so that its count is exact and memory stays bounded.
+    end where pieces end, so that its count is exact and memory stays bounded. Of pairs of equal rank the leftmost merges.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -209,7 +209,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, text_col
     One pass, no shuffle. A null text gives nulls, an empty one an empty array; repeated rows and null ids keep a
     row each; an empty table gives none. New columns that would clash with one of docs get a leading underscore.
     A very long text is handled in segments that end where pieces end; a very long piece streams through the
-    transducer. A lone surrogate can't be UTF-8 and is encoded as "?".
+    transducer. Of pairs of equal rank the leftmost merges. A lone surrogate can't be UTF-8 and is encoded as "?".
     """
     names = [free_name(docs, c) for c in (ids_col, count_col, match_col)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
