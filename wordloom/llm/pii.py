@@ -4,12 +4,15 @@ Everything that looks like an identifier (it has a digit, an at sign, or follows
 instance. Those of unmistakable form are seeds, of a kind each; dates, times, versions and plain amounts are counter-
 examples. An instance occurs with lexical patterns: its own shape, the one and two words before it, and the words on both
 sides. Over the graph of instances and patterns, rounds of scoring give a pattern the share of its instances that are
-held to be of one kind, and an instance what its patterns say together, until no pattern changes. Patterns of high
-confidence then find identifiers that no seed form covers.
+held to be of one kind, and an instance what its patterns say together, until no pattern changes its kind, or its
+confidence by more than SETTLED. Patterns of high confidence then find identifiers that no seed form covers.
+
+A value of any length is taken whole; CONTEXT and LONG bound only what a pattern says of the words around it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import free_name, saved
+from wordloom.llm.common import discard, free_name, saved
 
 #: What a pattern of each family counts for at full confidence.
 WEIGHTS = {"S": 0.9, "L": 0.9, "C": 0.7, "l": 0.5}
@@ -25,19 +28,25 @@ WEIGHTS = {"S": 0.9, "L": 0.9, "C": 0.7, "l": 0.5}
 THRESHOLD = 0.85
 #: Different seeds that a pattern needs, and the confidence below which it says nothing.
 SUPPORT, CONFIDENT = 3, 0.6
-ROUNDS = 6
+#: Rounds end when no confidence moves by more than this, and at the latest after so many.
+SETTLED, ROUNDS = 0.001, 20
 #: Patterns that go to the executors at once for masking; beyond it, found places are joined to the texts.
-MAX_PATTERNS = 200_000
+MAX_PATTERNS = 50_000
+#: What a lexical pattern is made of: the words within so many signs before and after a value, and of each the signs nearest
+#: to it. Shapes of more signs keep their first ones and a hash of the whole.
+CONTEXT, LONG = 120, 40
 
 _ANCHOR = re.compile(r"[0-9@=:]")
 _NAME = r"(?i:\b(?:api[_\-]?key|access[_\-]?key|private[_\-]?key|secret|token|passw(?:or)?d|passwd|pwd|auth[_\-]?token)\w{0,12})\s{0,3}"
 _NAMED = re.compile(_NAME + ":$")
+_NAME_ENDS, _ASSIGNS = re.compile(_NAME + "$"), re.compile(r"\s{0,3}[:=]")
+#: How far a name may stand before its sign of assignment.
 _REACH = 72
-#: Longer than any form but a secret's, and what must or must not follow it.
+#: Longer than any form with inner blanks, and what must or must not follow it.
 _LONGEST = 700
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CANDIDATE = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8})"
+    r"(?P<email>(?<![\w.%+\-])[\w.%+\-]++@[\w\-]++(?:\.[\w\-]++)++)"
     rf"|(?:{_NAME}[:=]\s{{0,3}}[\"']?)(?P<secret>[^\s\"'<>,;]{{6,}}+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d))"
@@ -45,13 +54,19 @@ _CANDIDATE = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|\+\d{9,14})(?![\w]))"
     r"|(?P<number>(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w]|[.\-]\d))"
     r"|(?P<no>(?<![\w.])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{1,2}:\d{2}(?::\d{2})?|[vV]?\d{1,3}(?:\.\d{1,3}){1,3}|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,4})(?![\w]|[.\-/]\d))"
-    r"|(?P<other>[A-Za-z0-9][A-Za-z0-9_\-./+#]{0,199})"
+    r"|(?P<other>(?<![^\W_])[^\W_][\w\-./+#]*+)"
 )
 #: Every form has one of these in its first word.
-_START = re.compile(r"[A-Za-z\d]")
+_START = re.compile(r"\w")
 _VALUE = re.compile(r"[^\s\"'<>,;]+")
+_DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "secret", "iban", "ip", "ssn", "phone", "number")
 _WORD = re.compile(r"\S+")
+_BLANK = re.compile(r"\s")
+
+
+def _short(s: str) -> str:
+    return s if len(s) <= LONG else f"{s[:LONG]}~{hashlib.blake2b(s.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
 
 
 def _iban(v: str) -> bool:
@@ -63,7 +78,7 @@ def shape(value: str) -> str:
     """Digits as 9, lower-case letters as a, others as A, runs of letters drawn together; the rest stands."""
     s = re.sub(r"\d", "9", value)
     s = re.sub(r"[^\W\d_]+", lambda m: "a" if m[0].islower() else "A", s)
-    return re.sub(r"9{20,}", "9+", s)[:80]
+    return _short(re.sub(r"9{20,}", "9+", s))
 
 
 def _bucket(value: str) -> str:
@@ -72,9 +87,13 @@ def _bucket(value: str) -> str:
 
 
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
-    """(start, stop, kind, patterns) of every instance; kind is a seed's, "no" for counterexamples, "" for unknown ones."""
+    """(start, stop, kind, patterns) of every instance; kind is a seed's, "no" for counterexamples, "" for unknown ones.
+
+    The text is read around its anchors only, each place once: from the word of an anchor (or a name that stands before it)
+    to that word's end, and on to the end of what starts in between.
+    """
     out: list[tuple[int, int, str, list[str]]] = []
-    at = done = 0
+    at = done = read = 0  # done: the last instance's end; read: no form but a secret's starts before it
     n = len(text)
     while True:
         m = _ANCHOR.search(text, at)
@@ -84,48 +103,50 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             at = m.end()
             continue
         lo = max(done, m.start() - _REACH)
-        while lo > done and not text[lo - 1].isspace() and m.start() - lo < 600:
+        edge = max(done, read)
+        while lo > edge and not text[lo - 1].isspace():
             lo -= 1
-        hi = min(n, m.end() + _REACH)
-        while hi < n and not text[hi].isspace() and hi - m.end() < 600:
-            hi += 1
-        upto = m.end()
-        # what starts before hi is read on beyond it, as blanks may stand inside
+        end = _BLANK.search(text, m.end())
+        hi = end.start() if end else n
         while _START.search(text, lo, hi):
             c = _CANDIDATE.search(text, lo, min(n, hi + _LONGEST))
             if c is None or c.start() >= hi:
                 break
-            lo = c.end()
             kind = c.lastgroup
             a, b = c.span(kind)
+            if c.start() < read and kind != "secret":
+                lo = max(lo + 1, min(b, read))
+                continue
+            lo = b
             if kind == "secret":
                 b = lo = _VALUE.match(text, a).end()
             if kind == "other":
+                name = _NAME_ENDS.search(text, max(a, b - 40), b)
+                if name and name.start() > a and _ASSIGNS.match(text, b):
+                    b = lo = name.start()  # what follows has the name before it
                 b = a + len(text[a:b].rstrip("./+-#_"))
-                if b - a < 5 or not any(x.isdigit() for x in text[a:b]):
+                if b - a < 5 or not _DIGIT.search(text, a, b):
                     continue
                 kind = ""
-            elif kind == "secret" and b - a < 20 and not any(x.isdigit() for x in text[a:b]):
+            elif kind == "secret" and b - a < 20 and not _DIGIT.search(text, a, b):
                 continue  # a word in prose
             elif kind == "iban" and not _iban(text[a:b]):
                 kind = ""
-            if b > upto:
-                upto = b
             done = b
             value = text[a:b]
-            left = _WORD.findall(text, max(0, a - 60), a)[-2:]
-            left = [w.lower()[-30:] for w in left]
-            right = _WORD.search(text, b, min(n, b + 40))
+            left = [w.lower()[-LONG:] for w in _WORD.findall(text, max(0, a - CONTEXT), a)[-2:]]
+            right = _WORD.search(text, b, b + CONTEXT)
             size = _bucket(value)
             patterns = ["S|" + shape(value)]
             if left:
                 patterns.append(f"l|{left[-1]}|{size}")
                 if right:
-                    patterns.append(f"C|{left[-1]}|{right[0].lower()[:30]}|{size}")
+                    patterns.append(f"C|{left[-1]}|{right[0].lower()[:LONG]}|{size}")
             if len(left) == 2:
                 patterns.append(f"L|{left[0]} {left[1]}|{size}")
             out.append((a, b, kind, patterns))
-        at = upto
+        read = max(read, hi)
+        at = max(m.end(), hi, done)
 
 
 def _instances(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,26 +181,34 @@ def bootstrap(instances: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT
     """(pattern, kind, says): patterns of high confidence, the kind that they point to and how strongly.
 
     A round scores patterns by the instances and then the instances that are neither seeds nor counterexamples by the
-    patterns; it ends when the patterns stay as they are. An instance that is a seed in one place is one everywhere.
+    patterns; it ends when the patterns stay as they are (see SETTLED). An instance that is a seed in one place is one
+    everywhere. Patterns stand in the shared folder; those of a tie between kinds go to the later kind by name.
     """
     edges = saved(instances.select("value", F.explode("patterns").alias("pattern")).distinct())
     start = instances.groupBy("value").agg(F.max("kind").alias("most"), F.max(F.when(F.col("kind").isin(*KINDS), F.col("kind"))).alias("seed"))
     label = saved(start.select("value", F.coalesce("seed", "most").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score"), (F.coalesce("seed", "most") != "").alias("fixed")))
-    before: tuple = ()
+    before = None
     for _ in range(rounds):
         held = edges.join(label, "value")
         of_kind = held.groupBy("pattern", "kind").agg(F.sum("score").alias("yes"), F.sum((F.col("score") > 0).cast("int")).alias("n"), F.count(F.lit(1)).alias("every"))
         of_kind = of_kind.groupBy("pattern").agg(F.max(F.struct("yes", "n", F.when(F.col("kind").isin(*KINDS), F.col("kind")).alias("kind"))).alias("top"), F.sum("every").alias("every"))
         patterns = of_kind.where((F.col("top.n") >= support) & F.col("top.kind").isNotNull()).select("pattern", F.col("top.kind").alias("kind"), (F.col("top.yes") / F.col("every")).alias("confidence"))
         patterns = saved(patterns.where(F.col("confidence") >= confident).select("pattern", "kind", (F.col("confidence") * _weight()).alias("says")))
-        now = tuple(patterns.agg(F.count(F.lit(1)), F.round(F.sum("says"), 6)).first())
-        if now == before:
-            break
-        before = now
+        if before is not None:
+            both = patterns.join(before.select("pattern", F.col("kind").alias("k"), F.col("says").alias("s")), "pattern", "full")
+            same = F.col("kind").eqNullSafe(F.col("k")) & (F.abs(F.col("says") - F.col("s")) <= SETTLED)
+            settled = both.where(~F.coalesce(same, F.lit(False))).isEmpty()
+            discard(before)
+            if settled:
+                break
+        before = patterns
         said = edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("says"))))).alias("score"))
         said = said.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("new"))
         accepted = F.coalesce(F.col("new.score"), F.lit(0.0)) >= THRESHOLD
+        old = label
         label = saved(label.join(said, "value", "left").select("value", F.when(F.col("fixed"), F.col("kind")).when(accepted, F.col("new.kind")).otherwise("").alias("kind"), F.when(F.col("fixed"), F.col("score")).when(accepted, F.col("new.score")).otherwise(0.0).alias("score"), "fixed"))
+        discard(old)
+    discard(edges, label)
     return patterns
 
 
@@ -239,8 +268,10 @@ def _masked(text: str, places: list[tuple[int, int, str]]) -> str:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """docs' rows and columns, every identifier in the text replaced by its kind's name in angle brackets.
 
-    Null texts stay null. Up to max_patterns patterns go to the executors and the texts don't move; of more than that,
-    the places found are joined to the texts by the texts' hashes.
+    Null texts stay null, empty ones empty; null ids and repeated rows are masked like others, a row each; texts are read
+    whole; of instances that could be of two kinds the later by name is taken; docs' columns may have any names; an empty
+    table gives no rows. Up to max_patterns patterns go to the executors and the texts don't move; of more than that, the
+    places found are joined to the texts by the texts' hashes. Both ways give the same.
     """
     instances = saved(_instances(docs, id_col, text_col))
     patterns = bootstrap(instances)
