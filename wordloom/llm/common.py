@@ -77,6 +77,17 @@ def bounded_sample(df: DataFrame, most: int, by: Column, total: int | None = Non
     return df.orderBy(by, *df.columns).limit(most)
 
 
+def shared_hashes(one: DataFrame) -> DataFrame:
+    """(h1, keep): first hashes that several of one's rows (h1, h2) have, and the second hash of the row that keeps it as its name."""
+    return saved(one.groupBy("h1").agg(F.min("h2").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "keep"))
+
+
+def with_vertex(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (h1, h2, ...) with the bigint id of their content: h1, or a hash of both where another content keeps h1."""
+    named = rows.join(shared, "h1", "left")
+    return named.withColumn("id", F.when(F.col("keep").isNull() | (F.col("keep") == F.col("h2")), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("keep")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

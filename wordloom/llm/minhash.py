@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import discard, free_name, mix64, saved, shingle_hashes, word_batches
+from wordloom.llm.common import discard, free_name, mix64, saved, shared_hashes, shingle_hashes, with_vertex, word_batches
 
 SLOTS, ROWS = 128, 3
 BANDS = SLOTS // ROWS
@@ -162,15 +162,13 @@ class Texts:
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows (h1, h2, ...) with their vertex as id."""
-        with_keep = rows.join(self.shared, "h1", "left")
-        return with_keep.withColumn("id", F.when(F.col("keep").isNull() | (F.col("keep") == F.col("h2")), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("keep")
+        return with_vertex(rows, self.shared)
 
 
 def different_texts(docs: DataFrame, id_col: str, text_col: str, slots: int = SLOTS, k: int = SHINGLE) -> Texts:
     one = _sketches(docs, id_col, text_col, slots, k).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
     one = saved(one)
-    shared = saved(one.groupBy("h1").agg(F.min("h2").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "keep"))
-    texts = Texts(one, shared)
+    texts = Texts(one, shared_hashes(one))
     texts.reps = texts.named(one)
     return texts
 
