@@ -29,7 +29,8 @@ from wordloom.llm.common import discard, free_name, mix64, saved, shared_hashes,
 SLOTS, ROWS = 128, 3
 BANDS = SLOTS // ROWS
 SHINGLE = 3
-THRESHOLD = 0.5
+#: J_P from which two texts are near-duplicates, and how far a sum of shares may be off.
+THRESHOLD, EPSILON = 0.5, 1e-9
 #: An estimate from SLOTS slots is this far off, at most, in all but one of 30,000 pairs; nearer ones are verified.
 MARGIN = 0.18
 #: Rows of each unconnected group of a bucket that are held against other groups' at first, and how many times more next.
@@ -178,7 +179,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: fl
     near = pairs.join(sigs.withColumnRenamed("sig", "sa"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
     near = near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead")
     near = near.join(texts.withColumnRenamed("text", "ta"), "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
-    return near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+    return near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
 
 
 def _several(rows: DataFrame) -> DataFrame:

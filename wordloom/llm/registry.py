@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, html_content, minhash, nn_descent, pii, rans, sharding, toxicity, transducer
+from wordloom.llm import decontaminate, html_content, minhash, nn_descent, pii, rans, sharding, sql, toxicity, transducer
 from wordloom.llm import token_counts as token_counts_module
 from wordloom.llm.common import table
 
@@ -44,8 +45,10 @@ def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers as text, blanks between them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return transducer.encode_documents(docs).drop("text")
+    made = transducer.encode_documents(docs)
+    return made.select("doc_id", F.array_join(F.col("token_ids").cast("array<string>"), " ").alias("token_ids"), "n_tokens", "round_trip")
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """By SQL's own ways; the other operators' results are tested against brute force."""
+    return dict(sql.ORACLE)
