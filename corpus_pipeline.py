@@ -3,8 +3,13 @@
 toxicity drops documents that a model trained on `labels` rejects; minhash keeps one document of each group of near-
 duplicates; decontamination drops documents that hold a passage of `benchmark`; pii replaces identifiers by their kind's
 name in the text (n_chars follows it); bpe adds token_ids, n_tokens and round_trip. All stages but the last return the
-columns of documents. Every stage works on all rows of the one before; what a stage does with nulls, empty and long
-texts, repeated rows and empty tables is said at its operator.
+columns of documents. Every stage works on all rows of the one before.
+
+Null texts pass through every stage and have null token_ids; null ids pass, masked and encoded like others; empty texts are
+one document each id, of which minhash keeps one; of rows with the same id and text one stays; an id's texts that aren't
+alike stay; texts are read whole, however long; of a group the smallest id stays, and a toxicity score at the threshold
+goes; other columns, whatever their names, are carried along, and n_chars is set anew where there is one; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kind = docs.schema["n_chars"].dataType
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast(kind))
+    masked = pii.mask(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
