@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.analysis import let
 from wordloom.operators import query as Q
 from wordloom.sources.corpus import Corpus
 
@@ -71,22 +72,19 @@ def shingles(text: Column, size: int = 2) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def simhash(features: Column, weights: Column | None = None) -> Column:
-    """64-bit simhash of an array of strings, by xxhash64: each bit is what most of the weight has."""
-    hashes = F.transform(features, lambda x: F.xxhash64(x))
-    w = weights if weights is not None else F.transform(features, lambda x: F.lit(1.0))
-    return let(F.zip_with(hashes, w, lambda h, x: F.struct(h.alias("h"), x.alias("w"))), _bits)
-
+def md5_hash(x: Column) -> Column:
+    """The first 64 bits of a string's MD5, as other systems have them too."""
+    return F.conv(F.substring(F.md5(x), 1, 16), 16, -10).cast("bigint")
 
-def _bits(both: Column) -> Column:
-    def bit(i: int) -> Column:
-        total = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + F.when(F.shiftright(x["h"], i).bitwiseAND(F.lit(1)) == 1, x["w"]).otherwise(-x["w"]))
-        return F.when(total > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
 
-    out = bit(0)
-    for i in range(1, 64):
-        out = out.bitwiseOR(bit(i))
-    return out
+def simhash(features: Column, weights: Column | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """64-bit simhash of an array of strings: each bit is what most of the weight has. One fold over 64 sums."""
+    hashes = F.transform(features, lambda x: hashed(x))
+    w = weights if weights is not None else F.transform(features, lambda x: F.lit(1.0))
+    both = F.zip_with(hashes, w, lambda h, x: F.struct(h.alias("h"), x.cast("double").alias("w")))
+    sums = F.aggregate(both, F.array_repeat(F.lit(0.0), 64), lambda acc, x: F.transform(acc, lambda v, i: v + F.when(F.getbit(x["h"], i) == 1, x["w"]).otherwise(-x["w"])))
+    powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
+    return F.aggregate(F.zip_with(sums, powers, lambda v, p: F.when(v > 0, p).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, p: acc.bitwiseOR(p))
 
 
 def hamming_distance(a: Column, b: Column) -> Column:
@@ -122,10 +120,17 @@ def variance(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
 
 
 def swin(df: DataFrame, value: str, size: float, partition: str | None = None) -> DataFrame:
-    """For each value the window from it to the first value size or further on: (start, stop, n)."""
+    """(start, stop, n) for every different value, by partition if one is given: the window from it on, the last value within
+    size, and how many rows lie in between.
+
+    Equal values are counted first; the values are dealt to buckets of the window's size, each of which also gets those of
+    the next, so that no task sees more than two buckets.
+    """
     keys = [partition] if partition else []
-    w = Window.partitionBy(*keys).orderBy(value)
-    rows = df.withColumn("row", F.row_number().over(w))
-    later = Window.partitionBy(*keys).orderBy(value).rangeBetween(0, size)
-    near = rows.withColumn("n_within", F.count(F.lit(1)).over(later))
-    return near.select(*keys, F.col(value).alias("start"), "n_within")
+    x = F.col(value)
+    one = df.where(x.isNotNull()).groupBy(*keys, x.alias("start")).agg(F.count(F.lit(1)).alias("k"))
+    own = F.floor(F.col("start") / size) if size > 0 else F.col("start")
+    dealt = one.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") - 1) if size > 0 else F.array("own")))
+    near = Window.partitionBy(*keys, "bucket").orderBy("start").rangeBetween(0, size)
+    counted = dealt.withColumns({"stop": F.max("start").over(near), "n": F.sum("k").over(near)})
+    return counted.where(F.col("bucket") == F.col("own")).select(*keys, "start", "stop", "n")

@@ -49,6 +49,7 @@ class Compiler:
     scored: bool = True
     leaves: list[Leaf] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)
+    flags: list[DataFrame] = field(default_factory=list)
     columns: bool = False
 
     def leaf(self, name: str, where: Callable[[Column], Column], boost: float, constant: bool, weighting: Weighting, places: bool) -> Node:
@@ -115,8 +116,12 @@ class Compiler:
             a, b = self.walk(q.a, w, places), self.walk(q.b, w)
             return Node(a.match & b.match, a.score * q.boost, a.places, a.own or b.own)
         if isinstance(q, Q.Otherwise):
-            first = compiled(q.a, self.corpus, self.weighting)
-            return self.walk(q.b if first.isEmpty() else q.a, w, places)
+            k = len(self.flags)
+            first = compiled(q.a, self.corpus, self.weighting, scored=False).limit(1)
+            self.flags.append(first.agg((F.count(F.lit(1)) > 0).alias(f"any{k}")))  # one row
+            any_of, a, b = F.col(f"any{k}"), self.walk(q.a, w, places), self.walk(q.b, w, places)
+            pick = lambda x, y: F.when(any_of, x).otherwise(y)
+            return Node(pick(a.match, b.match), pick(a.score, b.score), pick(a.places, b.places) if places else spans.none(), a.own and b.own)
         if isinstance(q, Q.Not):
             k = self.walk(q.query, w)
             self.columns = True
@@ -271,6 +276,8 @@ def compiled(q: Q.Query, corpus: Corpus, weighting: Weighting | None = None, sco
         rows = docs if rows is None else docs.join(rows, "doc_id", how)
     for f in c.frames:
         rows = f if rows is None else rows.join(f, "doc_id", "full_outer" if not c.columns else "left")
+    for f in c.flags:
+        rows = rows.crossJoin(F.broadcast(f))
     score = w.final(node.score) if scored else F.lit(0.0)
     out = [F.col("doc_id"), score.alias("score")]
     if places:

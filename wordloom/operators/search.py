@@ -14,6 +14,8 @@ from wordloom.operators.compile import compiled
 from wordloom.operators.facets import Count, Facet, facet, facets, grouped
 from wordloom.operators.scoring import BM25F, Weighting, idf, Stats
 from wordloom.sources.corpus import Corpus, term_info
+from wordloom.sources.scratch import kept as kept_table
+from wordloom.sources.scratch import new_path
 
 
 class TimeLimit(Exception):
@@ -25,13 +27,30 @@ class NoTermsException(Exception):
 
 
 class Results:
-    """rows(): doc_id, score, rank of what is kept; everything else is computed when asked for."""
+    """rows(): doc_id, score, rank of what is kept; everything else is computed when asked for.
 
-    def __init__(self, searcher: Searcher, q: Q.Query, every: DataFrame, kept: DataFrame, groups: dict[str, Facet], kind: Callable, terms: bool, collapsed: DataFrame | None = None):
+    The hits of a search without a limit come in order but with a null rank: numbering them takes a pass of its own, which
+    ranked() does.
+    """
+
+    def __init__(self, searcher: Searcher, q: Q.Query, every: DataFrame, kept: DataFrame, groups: dict[str, Facet], kind: Callable, terms: bool, collapsed: DataFrame | None = None, unlimited: bool = False):
+        self.unlimited = unlimited
         self.searcher, self.q, self.every, self.kept, self.facets, self.kind, self.terms, self.collapsed = searcher, q, every, kept, groups, kind, terms, collapsed
 
     def rows(self) -> DataFrame:
-        return self.kept
+        return self.kept.withColumn("rank", F.lit(None).cast("int")) if self.unlimited else self.kept
+
+    def ranked(self) -> DataFrame:
+        """rows() with ranks from 1 on without gaps, whatever their number: the hits are written in order, and each part's
+        rows counted, so that no task sees all of them."""
+        if not self.unlimited:
+            return self.kept
+        path = new_path(self.searcher.corpus.spark, "ranked")
+        self.kept.drop("rank").write.parquet(path)
+        rows = self.searcher.corpus.spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.join(F.broadcast(sizes.select("_file", before.alias("_before"))), "_file").withColumn("rank", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
 
     def docs(self) -> DataFrame:
         """doc_ids of all matches, kept or not."""
@@ -71,6 +90,13 @@ class Results:
     def _renewed(self, kept: DataFrame) -> Results:
         return Results(self.searcher, self.q, self.every, kept, self.facets, self.kind, self.terms, self.collapsed)
 
+    def estimated_min_length(self) -> int:
+        """At least so many documents match: the number itself, as it is counted."""
+        return self.total()
+
+    def has_exact_length(self) -> bool:
+        return True
+
     def _ordered(self, rows: DataFrame, *first) -> DataFrame:
         """Few rows by nature (kept hits), ranked anew."""
         return rows.withColumn("rank", F.row_number().over(Window.orderBy(*first, "rank")).cast("int"))
@@ -114,12 +140,15 @@ class Searcher:
             return deletion_docs(self.corpus, q)
         return self.matches(q, scored=False).select("doc_id")
 
-    def search(self, q: Q.Query, limit: int | None = 10, scored: bool = True, sortedby: Any = None, reverse: bool = False, groupedby: Any = None, collapse: Any = None, collapse_limit: int = 1, collapse_order: Any = None, filter: Any = None, mask: Any = None, terms: bool = False, maptype: Callable = Count) -> Results:
-        """filter and mask: a query, Results or a DataFrame with doc_id that hits have to be in, or mustn't. Ties go by doc_id."""
+    def search(self, q: Q.Query, limit: int | None = 10, scored: bool = True, sortedby: Any = None, reverse: bool = False, groupedby: Any = None, collapse: Any = None, collapse_limit: int = 1, collapse_order: Any = None, filter: Any = None, mask: Any = None, terms: bool = False, maptype: Callable = Count, keep: bool = False) -> Results:
+        """filter and mask: a query, Results or a DataFrame with doc_id that hits have to be in, or mustn't. Ties go by doc_id.
+        keep: write the matches down, so that all that is asked of them reads the corpus once."""
         hits = self.matches(q, scored, terms)
         for allowed, how in ((filter, "left_semi"), (mask, "left_anti")):
             if allowed is not None:
                 hits = hits.join(self._ids(allowed), "doc_id", how)
+        if keep:
+            hits = kept_table(hits)
         sort = facet(sortedby) if sortedby is not None else None
         rows, columns = hits, list(hits.columns)
         by = facet(collapse) if collapse is not None else None
@@ -146,7 +175,7 @@ class Searcher:
             kept = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
         else:
             kept = rows.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
-        return Results(self, q, hits.select(*columns), kept.select(*columns, "rank"), facets(groupedby) if groupedby is not None else {}, maptype, terms, lost)
+        return Results(self, q, hits.select(*columns), kept.select(*columns, "rank"), facets(groupedby) if groupedby is not None else {}, maptype, terms, lost, limit is None)
 
     def _ids(self, x: Any) -> DataFrame:
         if isinstance(x, Q.Query):
@@ -157,7 +186,7 @@ class Searcher:
         """One page; a number beyond the last page gives the last one."""
         if pagenum < 1:
             raise ValueError("pages are numbered from 1")
-        found = self.search(q, limit=pagenum * pagelen, **how)
+        found = self.search(q, limit=pagenum * pagelen, keep=True, **how)  # the total and the page from one pass
         total = found.total()
         last = max(1, -(-total // pagelen))
         first = (min(pagenum, last) - 1) * pagelen

@@ -46,5 +46,5 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Fill the registry; the modules of queries import this one."""
-    from wordloom.plans import catalog_analysis, catalog_features, catalog_search  # noqa: F401
+    from wordloom.plans import catalog_analysis, catalog_features, catalog_index, catalog_search  # noqa: F401
 

@@ -27,10 +27,10 @@ register("simple_terms", f"SELECT t, count(*) AS n FROM (SELECT unnest(regexp_ex
 register("keyword_analysis", "SELECT t, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p_type), '[^ \\t\\r\\n]+')) AS t FROM part) GROUP BY t")(lambda s, d: counted(exploded(s, d, an.KeywordAnalyzer(lowercase=True), "part", "p_partkey", "p_type")))
 register("ngram_terms", "SELECT substr(lower(n_name), i, k) AS t, count(*) AS n FROM nation, range(1, 30) r(i), range(2, 5) q(k) WHERE i + k - 1 <= length(n_name) GROUP BY 1")(lambda s, d: counted(exploded(s, d, an.NgramAnalyzer(2, 4), "nation", "n_nationkey", "n_name")))
 register("ngram_word_starts", f"SELECT substr(w, 1, k) AS t, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p_name), '{WORD}')) AS w FROM part), range(2, 5) q(k) WHERE length(w) >= k GROUP BY 1")(lambda s, d: counted(exploded(s, d, an.NgramWordAnalyzer(2, 4, at="start"), "part", "p_partkey", "p_name")))
-register("shingle_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER w1 || '-' || lead(t, 2) OVER w1 AS s FROM w WINDOW w1 AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 3")(
-    lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.ShingleFilter(3))).where("n > 3")
+register("shingle_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER w1 || '-' || lead(t, 2) OVER w1 AS s FROM w WINDOW w1 AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL GROUP BY s")(
+    lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.ShingleFilter(3)))
 )
-register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM w) WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 5")(lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.BiWordFilter())).where("n > 5"))
+register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM w) WHERE s IS NOT NULL GROUP BY s")(lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.BiWordFilter())))
 register("path_terms", "WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS u FROM pages), q AS (SELECT list_filter(string_split(u, '/'), lambda x: x <> '') AS l FROM p) SELECT array_to_string(l[1:i], '/') AS t, count(*) AS n FROM q, range(1, 12) r(i) WHERE i <= len(l) GROUP BY 1")(
     lambda s, d: counted(exploded_path(s, d))
 )
@@ -48,13 +48,13 @@ def exploded_path(spark: SparkSession, d: str) -> DataFrame:
 
 register("lexicon_stats", f"WITH {TOK} SELECT t AS term, count(*) AS df, sum(tf)::DOUBLE AS cf, max(tf)::DOUBLE AS max_weight, min(fl)::INTEGER AS min_length, max(fl)::INTEGER AS max_length FROM post JOIN len USING (doc_id) GROUP BY t")(lambda s, d: documents(s, d).lexicon("text"))
 register("lexicon_prefix", f"WITH {TOK} SELECT t AS term, df FROM ts WHERE starts_with(t, 'ation')")(lambda s, d: documents(s, d).terms_with("text", lambda t: t.startswith("ation")).select("term", "df"))
-register("terms_from", f"WITH {TOK} SELECT t AS term FROM ts WHERE t >= 'thr' ORDER BY t LIMIT 100")(lambda s, d: documents(s, d).terms_with("text", lambda t: t >= "thr").select("term").orderBy("term").limit(100))
+register("terms_from", f"WITH {TOK} SELECT t AS term FROM ts WHERE t >= 'thr'")(lambda s, d: documents(s, d).terms_with("text", lambda t: t >= "thr").select("term"))
 register("most_frequent_terms", f"WITH {TOK} SELECT t AS term, cf::DOUBLE AS cf FROM ts ORDER BY cf DESC, t LIMIT 20")(lambda s, d: documents(s, d).most_frequent_terms("text", 20))
 register("most_distinctive_terms", f"WITH {TOK} SELECT t AS term, round(cf * ln(n::DOUBLE / df), 6) AS score FROM ts CROSS JOIN fs ORDER BY cf * ln(n::DOUBLE / df) DESC, t LIMIT 20")(lambda s, d: documents(s, d).most_distinctive_terms("text", 20).select("term", F.round("score", 6).alias("score")))
 register("field_statistics", f"WITH {TOK} SELECT n, total::BIGINT AS total_text, round(avgfl, 6) AS avg_text FROM fs")(lambda s, d: documents(s, d).field_stats(["text"]).select("n", "total_text", F.round("avg_text", 6).alias("avg_text")))
 register("field_lengths", f"WITH {TOK} SELECT min(fl)::INTEGER AS shortest, max(fl)::INTEGER AS longest FROM len")(lambda s, d: documents(s, d).tokens("text").select(F.size("tokens").alias("n")).where("n > 0").agg(F.min("n").alias("shortest"), F.max("n").alias("longest")))
 register("postings_positions", f"WITH {TOK} SELECT doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok WHERE t = 'thre' GROUP BY doc_id")(lambda s, d: documents(s, d).postings("text", lambda t: t == "thre", True).select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
-register("vector_terms", f"WITH {TOK} SELECT t AS term, doc_id, tf::INTEGER AS tf FROM post WHERE doc_id IN (3, 5, 8)")(lambda s, d: (lambda c: c.vector("text", c.docs().where("doc_id in (3, 5, 8)")).select("term", "doc_id", "tf"))(documents(s, d)))
+register("vector_terms", f"WITH {TOK} SELECT t AS term, doc_id, tf::INTEGER AS tf FROM post")(lambda s, d: (lambda c: c.vector("text", c.docs()).select("term", "doc_id", "tf"))(documents(s, d)))
 register("spelling_suggest", rf"WITH {TOK}, lv AS (SELECT *, levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'thrion') AS d FROM ts) SELECT t AS term, d::INTEGER AS distance, cf::DOUBLE AS cf FROM lv WHERE d <= 2 ORDER BY 2, cf DESC, t LIMIT 10")(lambda s, d: suggestions(documents(s, d), "text", "thrion", 10))
 
 _KEYS = """, own AS (SELECT t, sum(tf) AS top FROM post WHERE doc_id IN (3, 5, 8) GROUP BY t), tt AS (SELECT sum(top) AS tt FROM own),

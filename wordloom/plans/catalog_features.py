@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import analysis as an
@@ -43,46 +43,42 @@ register("highlight_excerpts")(excerpts)
 
 
 def simhashes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", classify.simhash(F.array_distinct(an.SimpleAnalyzer().terms(F.col("text")))).alias("h"))
+    rows = table(spark, d, "documents").select("doc_id", classify.simhash(F.array_distinct(an.SimpleAnalyzer().terms(F.col("text"))), hashed=classify.md5_hash).alias("h"))
     return rows.select("doc_id", F.lower(F.hex("h")).alias("simhash"))
 
 
-register("simhash_documents")(simhashes)
+register("simhash_documents", f"""WITH term AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS t FROM documents),
+bit AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM (SELECT doc_id, ('0x' || substr(md5(t), 1, 16))::UBIGINT AS h FROM term), range(64) r(i) GROUP BY doc_id, i)
+SELECT doc_id, coalesce(lower(to_hex(sum(CASE WHEN s > 0 THEN 1::UHUGEINT << i ELSE 0 END)::UBIGINT)), '0') AS simhash FROM documents LEFT JOIN bit USING (doc_id) GROUP BY doc_id""")(simhashes)
 register("hamming_distance", "SELECT o_orderkey AS doc_id, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS distance FROM orders")(lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), classify.hamming_distance(F.col("o_orderkey"), F.col("o_custkey")).cast("int").alias("distance")))
 register("shingles_of_names", "SELECT n_name, substr(n_name, i, 3) AS shingle, count(*) AS n FROM nation, range(1, 40) r(i) WHERE i + 2 <= length(n_name) GROUP BY 1, 2")(lambda s, d: table(s, d, "nation").select("n_name", F.explode(classify.shingles(F.col("n_name"), 3)).alias("shingle")).groupBy("n_name", "shingle").agg(F.count(F.lit(1)).alias("n")))
-register("kmeans_clusters", "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 250000 THEN 1 ELSE 2 END AS cluster FROM orders")(
-    lambda s, d: classify.kmeans(table(s, d, "orders"), "o_totalprice", 3, centers=[50000.0, 150000.0, 350000.0], maxiter=0).select("o_orderkey", "cluster")
+register("kmeans_clusters", """WITH RECURSIVE it AS (SELECT 0 AS n, 60000.0::DOUBLE AS a, 140000.0::DOUBLE AS b, 380000.0::DOUBLE AS c, 1e9::DOUBLE AS moved
+  UNION ALL SELECT n + 1, x, y, z, greatest(abs(x - a), abs(y - b), abs(z - c)) FROM (SELECT n, a, b, c,
+    coalesce(avg(o_totalprice) FILTER (WHERE o_totalprice <= (a + b) / 2), a) AS x, coalesce(avg(o_totalprice) FILTER (WHERE o_totalprice > (a + b) / 2 AND o_totalprice <= (b + c) / 2), b) AS y,
+    coalesce(avg(o_totalprice) FILTER (WHERE o_totalprice > (b + c) / 2), c) AS z FROM it, orders WHERE moved > 1e-4 AND n < 50 GROUP BY n, a, b, c))
+SELECT o_orderkey, CASE WHEN o_totalprice <= (a + b) / 2 THEN 0 WHEN o_totalprice <= (b + c) / 2 THEN 1 ELSE 2 END AS cluster FROM orders, (SELECT * FROM it ORDER BY n DESC LIMIT 1)""")(
+    lambda s, d: classify.kmeans(table(s, d, "orders"), "o_totalprice", 3, centers=[60000.0, 140000.0, 380000.0]).select("o_orderkey", "cluster")
 )
 register("sample_variance", "SELECT round(var_samp(o_totalprice), 2) AS variance FROM orders")(lambda s, d: classify.variance(table(s, d, "orders"), "o_totalprice").select(F.round("variance", 2).alias("variance")))
 register("weighted_variance", "SELECT round(sum(l_quantity * (l_discount - m) * (l_discount - m)) / (sum(l_quantity) - 1), 8) AS variance FROM lineitem, (SELECT sum(l_quantity * l_discount) / sum(l_quantity) AS m FROM lineitem)")(lambda s, d: classify.variance(table(s, d, "lineitem"), "l_discount", "l_quantity").select(F.round("variance", 8).alias("variance")))
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
-    return part.join(classify.swin(part, "p_size", 5, "p_brand").distinct().withColumnRenamed("start", "p_size"), ["p_brand", "p_size"]).select("p_size", "p_partkey", "n_within")
+    return part.join(classify.swin(part, "p_size", 5, "p_brand").withColumnRenamed("start", "p_size"), ["p_brand", "p_size"]).select("p_size", "p_partkey", "stop", F.col("n").alias("n_within"))
 
 
-register("sliding_windows", "SELECT p_size, p_partkey, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS n_within FROM part p")(_windows)
-register("natural_order", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 50")(lambda s, d: table(s, d, "customer").orderBy(tx.natural_sort_key(F.col("c_name"))).limit(50).select("c_name"))
-
-
-def upserted(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers with those of even nations replaced and some deleted, through the index's own steps on frames."""
-    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name", "s_nationkey")
-    new = old.where("s_nationkey % 2 = 0").withColumn("s_name", F.concat(F.lit("new "), "s_name"))
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new).where("doc_id % 7 <> 3")
-
-
-register("upsert_result", "SELECT s_suppkey AS doc_id, CASE WHEN s_nationkey % 2 = 0 THEN 'new ' || s_name ELSE s_name END AS s_name, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 3")(upserted)
+register("sliding_windows", "SELECT p_size, p_partkey, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS n_within, (SELECT max(q.p_size) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS stop FROM part p")(_windows)
+register("sliding_windows_all", "SELECT DISTINCT l_extendedprice AS start, (SELECT max(q.l_extendedprice) FROM lineitem q WHERE q.l_extendedprice BETWEEN p.l_extendedprice AND p.l_extendedprice + 10) AS stop, (SELECT count(*) FROM lineitem q WHERE q.l_extendedprice BETWEEN p.l_extendedprice AND p.l_extendedprice + 10) AS n FROM lineitem p")(lambda s, d: classify.swin(table(s, d, "lineitem"), "l_extendedprice", 10))
+register("natural_order", "SELECT c_custkey, 'c' || c_custkey % 1000 AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 1000, c_custkey)::INTEGER AS place FROM customer")(
+    lambda s, d: table(s, d, "customer").withColumn("name", F.concat(F.lit("c"), F.col("c_custkey") % 1000)).select("c_custkey", "name", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(tx.natural_sort_key(F.col("name")), "c_custkey")).alias("place"))
+)
 
 
 def stemmed(spark: SparkSession, d: str) -> DataFrame:
     analyzer = an.RegexAnalyzer(r"[a-z]+") | an.StemFilter()
-    return table(spark, d, "documents").where("lang = 'en'").select(F.explode(analyzer.terms(F.lower("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").select(F.explode(analyzer.terms(F.lower("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
 register("stemmed_terms")(stemmed)
-register("events_by_window", "SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events GROUP BY 1, 2")(
-    lambda s, d: table(s, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n")
-)
 register("results_upgrade", f"WITH {BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM bm WHERE t = 'tion' ORDER BY r LIMIT 10) SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id IN (SELECT doc_id FROM bm WHERE t = 'thre') THEN 0 ELSE 1 END, r)::INTEGER AS rank FROM a")(
     lambda s, d: (lambda x: x.search(T("tion")).upgrade(x.search(T("thre"), limit=None)).rows().select("doc_id", "rank"))(documents(s, d).searcher())
 )

@@ -82,6 +82,7 @@ register("or_minmatch", f"WITH {BM25} SELECT doc_id, round(sum(s), 6) AS score F
 register("or_coordination", f"WITH {BM25} SELECT doc_id, round((sum(s) + (count(*) - 1) / pow(3 - 0.9, 2)) * 2 / 3, 6) AS score FROM bm WHERE t IN ('thre', 'tion', 'ble') GROUP BY doc_id")(lambda s, d: every(s, d, Q.Or(OR3.subs, scale=0.9)))
 register("not_complement", f"WITH {TOK} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE t = 'tion')")(lambda s, d: ids(s, d, Q.Not(T("tion"))))
 register("otherwise_fallback", f"WITH {BM25} SELECT doc_id, round(s, 6) AS score FROM bm WHERE t = 'tion'")(lambda s, d: every(s, d, Q.Otherwise(T("nosuchterm"), T("tion"))))
+register("otherwise_first", f"WITH {BM25} SELECT doc_id, round(s, 6) AS score FROM bm WHERE t = 'thre'")(lambda s, d: every(s, d, Q.Otherwise(T("thre"), T("tion"))))
 register("every_document", "SELECT doc_id, 2.0::DOUBLE AS score FROM documents")(lambda s, d: every(s, d, Q.Every(boost=2.0)))
 register("every_field", f"WITH {TOK} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM tok")(lambda s, d: every(s, d, Q.Every("text")))
 register("constant_score", f"WITH {TOK} SELECT DISTINCT doc_id, 3.5::DOUBLE AS score FROM post WHERE t IN ('thre', 'tion', 'ble')")(lambda s, d: every(s, d, Q.ConstantScore(OR3, 3.5)))
@@ -94,7 +95,7 @@ register("wildcard_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE r
 register("regex_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE regexp_matches(t, '^(?:th(re|at)+n)')")(lambda s, d: ids(s, d, Q.Regex("text", "th(re|at)+n")))
 register("fuzzy_terms", rf"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE starts_with(t, 't') AND levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'thren') <= 1")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "thren")))
 register("fuzzy_distance_two", rf"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'ation') <= 2")(lambda s, d: ids(s, d, Q.FuzzyTerm("text", "ation", maxdist=2, prefixlength=0)))
-register("variations_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE t IN ('tion', 'tions', 'tioned', 'tioning', 'tioner', 'tioners', 'tionly')")(lambda s, d: ids(s, d, Q.Or(tuple(T(x) for x in ("tion", "tions", "tioned", "tioning", "tioner", "tioners", "tionly")))))
+register("variations_terms", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE t IN ('tion', 'tions', 'tioned', 'tioning', 'tioner', 'tioners', 'tionest', 'tionly', 'tionness', 'tionable', 'tionful', 'tionless')")(lambda s, d: ids(s, d, Q.Variations("text", "tion")))
 register("term_range", f"WITH {TOK} SELECT DISTINCT doc_id FROM post WHERE t >= 'thre' AND t < 'throu'")(lambda s, d: ids(s, d, Q.TermRange("text", "thre", "throu", endexcl=True)))
 register("numeric_range_price", "SELECT o_orderkey AS doc_id FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 150000.5")(lambda s, d: orders(s, d).searcher().docs_for_query(Q.NumericRange("o_totalprice", 1000, 150000.5, startexcl=True)))
 register("date_range_orders", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderdate >= TIMESTAMP '1994-03-01' AND o_orderdate < TIMESTAMP '1996-07-01'")(lambda s, d: orders(s, d).searcher().docs_for_query(Q.DateRange("o_orderdate", dt.datetime(1994, 3, 1), dt.datetime(1996, 7, 1), endexcl=True)))

@@ -50,11 +50,14 @@ class Corpus:
         return term_info(self.postings(field, where))
 
     def most_frequent_terms(self, field: str, number: int = 5, prefix: str = "") -> DataFrame:
-        return self.terms_with(field, lambda t: t.startswith(prefix)).orderBy(F.desc("cf"), "term").limit(number).select("term", "cf")
+        return self._prefixed(field, prefix).orderBy(F.desc("cf"), "term").limit(number).select("term", "cf")
+
+    def _prefixed(self, field: str, prefix: str) -> DataFrame:
+        return self.terms_with(field, lambda t: t.startswith(prefix)) if prefix else self.lexicon(field)
 
     def most_distinctive_terms(self, field: str, number: int = 5, prefix: str = "") -> DataFrame:
         n = self.field_stats([field]).select("n")
-        terms = self.terms_with(field, lambda t: t.startswith(prefix)).crossJoin(F.broadcast(n))
+        terms = self._prefixed(field, prefix).crossJoin(F.broadcast(n))
         score = F.col("cf") * F.ln(F.col("n") / F.col("df"))
         return terms.select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(number)
 
@@ -65,6 +68,53 @@ class Corpus:
     def doc_count(self) -> int:
         return self.docs().count()
 
+    def doc_count_all(self) -> int:
+        """Documents with those that are deleted and not yet taken out."""
+        return self.doc_count()
+
+    def has_deletions(self) -> bool:
+        return self.doc_count_all() != self.doc_count()
+
+    def first_id(self, field: str, text: str) -> int | None:
+        """The smallest doc_id that has a term; None if no document has it."""
+        return self.postings(field, lambda t: t == text).agg(F.min("doc_id")).first()[0]
+
+    def frequency(self, field: str, text: str) -> float:
+        r = self.terms_with(field, lambda t: t == text).first()
+        return r["cf"] if r else 0.0
+
+    def doc_frequency(self, field: str, text: str) -> int:
+        r = self.terms_with(field, lambda t: t == text).first()
+        return r["df"] if r else 0
+
+    def has_vector(self, doc_id: int, field: str) -> bool:
+        """Whether a document has terms in a field, which can be read by document."""
+        own = self.docs().where(F.col("doc_id") == doc_id).select("doc_id")
+        return self.kind(field).indexed and not self.vector(field, own).isEmpty()
+
+    def vector_as(self, aspect: str, doc_id: int, field: str) -> DataFrame:
+        """(term, value) of one document; aspect: "frequency", "weight" or "positions"."""
+        column = {"frequency": "tf", "weight": "weight", "positions": "positions"}[aspect]
+        return self.vector(field, self.docs().where(F.col("doc_id") == doc_id).select("doc_id")).select("term", F.col(column).alias("value"))
+
+    def min_field_length(self, field: str) -> int:
+        return self.field_lengths(field)["shortest"] or 0
+
+    def max_field_length(self, field: str) -> int:
+        return self.field_lengths(field)["longest"] or 0
+
+    def doc_field_length(self, doc_id: int, field: str) -> int:
+        r = self.lengths(field).where(F.col("doc_id") == doc_id).first()
+        return r["length"] if r else 0
+
+    def lengths(self, field: str) -> DataFrame:
+        """(doc_id, length) of every document."""
+        raise NotImplementedError
+
+    def field_lengths(self, field: str):
+        """The shortest and the longest of the documents that have terms in a field."""
+        return self.lengths(field).where("length > 0").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).first()
+
     def document_ids(self, **values) -> DataFrame:
         """doc_ids of documents that have all the values, by the field's terms where it is indexed, else by the column."""
         out = self.docs()
@@ -83,28 +133,47 @@ def term_info(postings: DataFrame) -> DataFrame:
 
 
 def gathered(tokens: Column, where: Predicate | None, boost: float) -> Column:
-    """Tokens of one document drawn together by term."""
-    return let(tokens if where is None else F.filter(tokens, lambda x: where(x["t"])), lambda chosen: _by_term(chosen, boost))
+    """Tokens of one document drawn together by term, in the time that sorting them takes."""
+    chosen = tokens if where is None else F.filter(tokens, lambda x: where(x["t"]))
+    return let(F.array_sort(F.transform(chosen, lambda x: F.struct(x["t"].alias("t"), x["pos"].alias("pos"), x["b"].alias("b")))), lambda own: let(_edges(own, lambda x: x["t"]), lambda at: _by_term(own, at, boost)))
+
+
+def _edges(ordered: Column, key: Callable[[Column], Column]) -> Column:
+    """Where another key begins in an ordered array, and its size at the end."""
+    inner = F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    starts = F.filter(inner, lambda i: (i == 0) | (key(F.get(ordered, i)) != key(F.get(ordered, F.greatest(i - 1, F.lit(0))))))
+    return F.when(F.size(ordered) > 0, F.concat(starts, F.array(F.size(ordered)))).otherwise(F.array().cast("array<int>"))
 
 
-def _by_term(chosen: Column, boost: float) -> Column:
-    terms = F.array_distinct(F.transform(chosen, lambda x: x["t"]))
+def _runs(at: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(start, size) of every run between edges."""
+    return F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, i: made(a, F.get(at, i + 1) - a))
 
-    def one(t: Column) -> Column:
-        return let(F.filter(chosen, lambda x: x["t"] == t), lambda own: made(t, own))
 
-    def made(t: Column, own: Column) -> Column:
-        weight = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["b"]) * boost
-        return F.struct(t.alias("term"), F.size(own).alias("tf"), weight.alias("weight"), F.array_sort(F.transform(own, lambda x: x["pos"])).alias("positions"))
+def _by_term(own: Column, at: Column, boost: float) -> Column:
+    def one(a: Column, n: Column) -> Column:
+        return let(F.slice(own, a + 1, n), lambda run: F.struct(
+            F.get(own, a)["t"].alias("term"), n.cast("int").alias("tf"), (F.aggregate(run, F.lit(0.0), lambda acc, x: acc + x["b"]) * boost).alias("weight"), F.transform(run, lambda x: x["pos"]).alias("positions"),
+        ))
 
-    return F.transform(terms, one)
+    return _runs(at, one)
+
+
+def counted_terms(strings: Column, where: Predicate | None) -> Column:
+    """array<struct<term, tf>> of an array of strings."""
+    chosen = strings if where is None else F.filter(strings, lambda x: where(x))
+    runs = lambda own, at: _runs(at, lambda a, n: F.struct(F.get(own, a).alias("term"), n.cast("int").alias("tf")))
+    return let(F.array_sort(chosen), lambda own: let(_edges(own, lambda x: x), lambda at: runs(own, at)))
+
+
+#: Tables up to so many bytes are dealt to all cores before they are analysed, as their few files would keep few busy.
+SPREAD_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes from fewer files than there are cores: analysis costs more than moving the rows.
-    Tables of many files stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """df over all cores where the optimizer knows it for a small table; others stay as they are read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SPREAD_BYTES else df
 
 
 class FrameCorpus(Corpus):
@@ -127,32 +196,20 @@ class FrameCorpus(Corpus):
         if strings is not None:
             return self._counted(field, strings, where, kind.field_boost)
         rows = self.tokens(field).withColumn("length", F.size("tokens"))
-        if where is not None:
-            p = rows.select("doc_id", "length", F.explode(gathered(F.col("tokens"), where, kind.field_boost)).alias("p"))
-            out = p.select(F.lit(field).alias("field"), "p.term", "doc_id", "p.tf", "p.weight", "length", "p.positions")
-        else:  # all terms: drawing them together within a row would be quadratic in its length
-            flat = rows.select("doc_id", "length", F.explode("tokens").alias("x"))
-            aggs = [F.count(F.lit(1)).cast("int").alias("tf"), (F.sum("x.b") * kind.field_boost).alias("weight"), F.first("length").alias("length")]
-            if positions:
-                aggs.append(F.array_sort(F.collect_list("x.pos")).alias("positions"))
-            out = flat.groupBy("doc_id", F.col("x.t").alias("term")).agg(*aggs).withColumn("field", F.lit(field))
-            return out.select("field", "term", "doc_id", "tf", "weight", "length", *(["positions"] if positions else []))
+        p = rows.select("doc_id", "length", F.explode(gathered(F.col("tokens"), where, kind.field_boost)).alias("p"))
+        out = p.select(F.lit(field).alias("field"), "p.term", "doc_id", "p.tf", "p.weight", "length", "p.positions")
         return out if positions else out.drop("positions")
 
     def _counted(self, field: str, strings: Column, where: Predicate | None, boost: float) -> DataFrame:
         """Postings without positions: terms and how often each stands, from strings alone."""
         rows = self.frame.select("doc_id", strings.alias("x")).withColumn("length", F.size("x"))
-        if where is None:
-            flat = rows.select("doc_id", "length", F.explode("x").alias("term"))
-            out = flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"))
-        else:
-            def by_term(chosen: Column) -> Column:
-                return F.transform(F.array_distinct(chosen), lambda t: F.struct(t.alias("term"), F.size(F.filter(chosen, lambda y: y == t)).alias("tf")))
-
-            p = rows.select("doc_id", "length", F.explode(let(F.filter("x", lambda x: where(x)), by_term)).alias("p"))
-            out = p.select("doc_id", "p.term", "p.tf", "length")
+        p = rows.select("doc_id", "length", F.explode(counted_terms(F.col("x"), where)).alias("p"))
+        out = p.select("doc_id", "p.term", "p.tf", "length")
         return out.select(F.lit(field).alias("field"), "term", "doc_id", "tf", (F.col("tf") * F.lit(float(boost))).alias("weight"), "length")
 
+    def lengths(self, field: str) -> DataFrame:
+        return self.frame.select("doc_id", self.kind(field).analyzer.size(F.col(field)).alias("length"))
+
     def vector(self, field: str, ids: DataFrame) -> DataFrame:
         own = FrameCorpus(self.frame.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), self.schema)
         return own.postings(field, positions=self.kind(field).positions)

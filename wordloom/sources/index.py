@@ -9,6 +9,7 @@ vacuum() removes what no manifest names.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.formats import FieldType, Schema
+from wordloom.functions.formats import FieldType, Schema, merge_schemas
 from wordloom.operators import query as Q
 from wordloom.sources.corpus import Corpus, FrameCorpus, Predicate, summed
 
@@ -95,6 +96,35 @@ def create_in(spark: SparkSession, path: str, schema: Schema) -> Index:
     return Index(spark, path, schema)
 
 
+def exists(spark: SparkSession, path: str, generation: int | None = None) -> bool:
+    """Whether a folder holds an index, or a generation of it that wasn't removed."""
+    found = _generations(_Files(spark, path))
+    return bool(found) if generation is None else generation in found
+
+
+def version_in(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(format, generation) of the index in a folder, without opening its tables."""
+    files = _Files(spark, path)
+    last = _generations(files)
+    if not last:
+        raise EmptyIndexError(path)
+    return json.loads(files.read(f"manifest-{last[-1]:08d}.json"))["version"], last[-1]
+
+
+def copy_to(spark: SparkSession, path: str, to: str) -> None:
+    """All that the latest generation names, copied to another folder or file system."""
+    src, dst = _Files(spark, path), _Files(spark, to)
+    last = _generations(src)
+    if not last:
+        raise EmptyIndexError(path)
+    name = f"manifest-{last[-1]:08d}.json"
+    dst.fs.mkdirs(dst._path(to))
+    m = json.loads(src.read(name))
+    for part in (*m["segments"], *m["deletions"]):
+        src.jvm.org.apache.hadoop.fs.FileUtil.copy(src.fs, src._path(f"{src.root}/{part}"), dst.fs, dst._path(f"{dst.root}/{part}"), False, spark._jsc.hadoopConfiguration())
+    dst.create(name, src.read(name))  # last, so that no reader sees a part of it
+
+
 def open_dir(spark: SparkSession, path: str, schema: Schema) -> Index:
     if not exists_in(spark, path):
         raise EmptyIndexError(path)
@@ -167,6 +197,19 @@ class Index(Corpus):
             return self.spark.createDataFrame([(0, *([0] * len(fields)), *([1.0] * len(fields)))], "n bigint" + "".join(f", total_{f} bigint" for f in fields) + "".join(f", avg_{f} double" for f in fields))
         return summed(live, {f: LENGTH + f for f in fields})
 
+    def lengths(self, field: str) -> DataFrame:
+        live = self._live("docs", lambda d: d.select("doc_id", F.col(LENGTH + field).alias("length")))
+        return live if live is not None else self.spark.createDataFrame([], "doc_id bigint, length int")
+
+    def doc_count_all(self) -> int:
+        return sum(self.spark.read.parquet(f"{self.path}/{s}/docs").count() for s in self.manifest.segments)  # by the files' footers
+
+    def is_deleted(self, doc_id: int) -> bool:
+        """Whether a document was written and has been deleted since."""
+        own = F.col("doc_id") == doc_id
+        written = any(not self.spark.read.parquet(f"{self.path}/{s}/docs").where(own).isEmpty() for s in self.manifest.segments)
+        return written and self.docs().where(own).isEmpty()
+
     # changes
 
     def writer(self) -> Writer:
@@ -180,6 +223,15 @@ class Index(Corpus):
         w.delete_by_query(q)
         w.commit()
 
+    def delete_document(self, doc_id: int) -> None:
+        w = self.writer()
+        w.delete_documents(self.spark.createDataFrame([(doc_id,)], "doc_id bigint"))
+        w.commit()
+
+    def to_frame(self) -> FrameCorpus:
+        """The live documents as a corpus of their own, apart from the index's postings; the caller may cache its frame."""
+        return FrameCorpus(self.docs(), self.schema)
+
     def optimize(self) -> None:
         """One segment of all live documents."""
         w = self.writer()
@@ -218,6 +270,7 @@ class Writer:
         self.index = index
         self.added: list[DataFrame] = []
         self.gone: list[DataFrame] = []
+        self.columns: dict[str, Column] = {}
 
     def add_documents(self, df: DataFrame) -> None:
         """Rows with doc_id and the schema's columns."""
@@ -243,10 +296,19 @@ class Writer:
         self.gone.append(ids.select("doc_id"))
 
     def cancel(self) -> None:
-        self.added, self.gone = [], []
+        self.added, self.gone, self.columns = [], [], {}
+
+    def add_reader(self, corpus: Corpus) -> None:
+        """All live documents of another corpus."""
+        self.added.append(corpus.docs())
 
-    def commit(self, optimize: bool = False, clear: bool = False) -> None:
-        """optimize: fold all segments into one. clear: only what was added stays."""
+    def add_column(self, name: str, value: Column) -> None:
+        """A column for every document, worked out from its others when the changes are committed, which folds the segments."""
+        self.columns[name] = value
+
+    def commit(self, optimize: bool = False, clear: bool = False, merge_below: int = 0, fan: int = 4) -> None:
+        """optimize: fold all segments into one. clear: only what was added stays. merge_below: fold segments of fewer
+        documents than that into one where there are at least fan of them."""
         ix = self.index
         if not ix.up_to_date():
             raise OutOfDateError(f"generation {ix.manifest.generation}")
@@ -262,12 +324,16 @@ class Writer:
             name = f"{n:08d}-b@{uuid.uuid4().hex[:8]}"
             self._segment(name, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.added))
             segments.append(name)
-        if optimize and (segments or deletions):
-            ix.manifest = Manifest(ix.manifest.generation, segments, deletions, ix.schema.names())
-            live = ix.docs()
+        small = [s for s in segments if ix.spark.read.parquet(f"{ix.path}/{s}/docs").count() < merge_below] if merge_below and not optimize else []
+        if self.columns or optimize and (segments or deletions):
+            small = segments
+        if small and (small is segments or len(small) >= fan):
+            # the fold's name is later than all deletions so far, which have been taken out of it
+            ix.manifest = Manifest(ix.manifest.generation, small, deletions, ix.schema.names())
             name = f"{n:08d}-c@{uuid.uuid4().hex[:8]}"
-            self._segment(name, live)
-            segments, deletions = [name], []
+            self._segment(name, ix.docs().withColumns(self.columns) if self.columns else ix.docs())
+            segments = [*(s for s in segments if s not in small), name]
+            deletions = [] if small is segments or len(segments) == 1 else deletions
         ix._publish(segments, deletions)
         self.cancel()
 
@@ -280,3 +346,120 @@ class Writer:
         for f in indexed:
             p = frame.postings(f, positions=ix.schema[f].positions).drop("field")
             p.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{ix.path}/{name}/postings_{f}")
+
+
+class QueuedWriter:
+    """Changes that wait until the index can be written: commit() takes them to the latest generation, again and again while
+    other writers come first."""
+
+    def __init__(self, index: Index, tries: int = 20, wait: float = 0.25):
+        self.index, self.tries, self.wait = index, tries, wait
+        self.queue: list[tuple[str, tuple]] = []
+
+    def __getattr__(self, name: str) -> Callable[..., None]:
+        if name not in ("add_documents", "update_documents", "delete_by_query", "delete_by_term", "delete_documents", "add_reader", "add_column"):
+            raise AttributeError(name)
+        return lambda *args: self.queue.append((name, args))
+
+    def cancel(self) -> None:
+        self.queue = []
+
+    def commit(self, **how: bool | int) -> None:
+        for left in reversed(range(self.tries)):
+            self.index = self.index.refresh()
+            w = self.index.writer()
+            for name, args in self.queue:
+                getattr(w, name)(*args)
+            try:
+                w.commit(**how)
+            except OutOfDateError:
+                if not left:
+                    raise
+                time.sleep(self.wait)
+            else:
+                self.queue = []
+                return
+
+
+class BufferedWriter(QueuedWriter):
+    """A queue that commits itself once it holds limit frames or is period seconds old, and before it is searched."""
+
+    def __init__(self, index: Index, limit: int = 100, period: float | None = 60.0, **how: int | float):
+        super().__init__(index, **how)
+        self.limit, self.period, self.began = limit, period, time.monotonic()
+
+    def __getattr__(self, name: str) -> Callable[..., None]:
+        push = super().__getattr__(name)
+
+        def pushed(*args: object) -> None:
+            push(*args)
+            if len(self.queue) >= self.limit or self.period is not None and time.monotonic() - self.began >= self.period:
+                self.commit()
+
+        return pushed
+
+    def commit(self, **how: bool | int) -> None:
+        if self.queue:
+            super().commit(**how)
+        self.began = time.monotonic()
+
+    def searcher(self, weighting=None):
+        self.commit()
+        return self.index.searcher(weighting)
+
+    def close(self) -> None:
+        self.commit()
+
+    def __enter__(self) -> BufferedWriter:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def add_sortable(index: Index, name: str, value: Column) -> None:
+    """Give every document of an index a column to sort and group by."""
+    w = index.writer()
+    w.add_column(name, value)
+    w.commit()
+
+
+def add_spelling(index: Index, names: list[str]) -> None:
+    """Let fields of an index serve for suggestions."""
+    for n in names:
+        index.schema[n].spelling = True
+    index._publish(index.manifest.segments, index.manifest.deletions)
+
+
+class Together(Corpus):
+    """Several corpora as one; with overlay, a document of a later one hides those of the same doc_id before it."""
+
+    def __init__(self, corpora: list[Corpus], overlay: bool = False):
+        self.corpora, self.overlay = corpora, overlay
+        self.schema, self.spark = merge_schemas([c.schema for c in corpora]), corpora[0].spark
+
+    def _all(self, read: Callable[[Corpus], DataFrame | None]) -> DataFrame:
+        parts = []
+        for k, c in enumerate(self.corpora):
+            df = read(c)
+            if df is None:
+                continue
+            for later in self.corpora[k + 1 :] if self.overlay else ():
+                df = df.join(later.docs().select("doc_id"), "doc_id", "left_anti")
+            parts.append(df)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def docs(self) -> DataFrame:
+        return self._all(lambda c: c.docs())
+
+    def postings(self, field: str, where: Predicate | None = None, positions: bool = False) -> DataFrame:
+        return self._all(lambda c: c.postings(field, where, positions) if field in c.schema else None)
+
+    def lengths(self, field: str) -> DataFrame:
+        return self._all(lambda c: c.lengths(field) if field in c.schema else c.docs().select("doc_id", F.lit(0).alias("length")))
+
+    def field_stats(self, fields: list[str]) -> DataFrame:
+        own = self.docs().select("doc_id")
+        for f in fields:
+            own = own.join(self.lengths(f).withColumnRenamed("length", LENGTH + f), "doc_id", "left")
+        return summed(own, {f: LENGTH + f for f in fields})
