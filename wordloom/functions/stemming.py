@@ -6,6 +6,11 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+from wordloom.functions import snowball
+from wordloom.functions.regions import by_size as _by_size
+from wordloom.functions.regions import regions as _regions
+from wordloom.functions.regions import second_letter_region as _rv
+
 # Porter's first algorithm
 
 
@@ -79,18 +84,6 @@ def porter(w: str) -> str:
 # Snowball's regions: R1 after the first consonant that follows a vowel, R2 the same within R1
 
 
-def _regions(w: str, vowels: str, least: int = 0) -> tuple[int, int]:
-    def after(start: int) -> int:
-        for i in range(start + 1, len(w)):
-            if w[i] not in vowels and w[i - 1] in vowels:
-                return i + 1
-        return len(w)
-
-    r1 = after(0)
-    r2 = after(r1)
-    return max(r1, least), r2
-
-
 _EN_V = "aeiouy"
 _EN_SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"} | {w: w for w in "sky news howe atlas cosmos bias andes".split()}
 _EN_STAY = set("inning outing canning herring earring proceed exceed succeed".split())
@@ -228,10 +221,6 @@ def _longest(w: str, endings: list[str], start: int) -> str | None:
     return next((e for e in endings if w.endswith(e) and len(w) - len(e) >= start), None)
 
 
-def _by_size(text: str) -> list[str]:
-    return sorted(text.split(), key=len, reverse=True)
-
-
 _SV1 = _by_size("a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast")
 _DA1 = _by_size("hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret")
 _NO1 = _by_size("a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast")
@@ -289,17 +278,6 @@ def norwegian(w: str) -> str:
     return w[: -len(e)] if e else w
 
 
-def _rv(w: str, v: str) -> int:
-    """Spanish and Portuguese region: by the second letter."""
-    if len(w) < 3:
-        return len(w)
-    if w[1] not in v:
-        return next((i + 1 for i in range(2, len(w)) if w[i] in v), len(w))
-    if w[0] in v:
-        return next((i + 1 for i in range(2, len(w)) if w[i] not in v), len(w))
-    return 3
-
-
 _ES_PRON = _by_size("me se sela selo selas selos la le lo las les los nos")
 _ES_VERB_Y = _by_size("ya ye yan yen yeron yendo yo yó yas yes yais yamos")
 _ES_VERB_E = _by_size("en es éis emos")
@@ -365,30 +343,14 @@ def spanish(w: str) -> str:
     return w.translate(plain)
 
 
-def _light(endings: str, least: int = 3, fold: str = "", to: str = "") -> Callable[[str], str]:
-    """A light stemmer: the longest of some endings is cut where enough of the word is left."""
-    ordered, table = _by_size(endings), str.maketrans(fold, to)
-
-    @lru_cache(maxsize=100_000)
-    def stem(w: str) -> str:
-        e = next((e for e in ordered if w.endswith(e) and len(w) - len(e) >= least), "")
-        return (w[: -len(e)] if e else w).translate(table)
-
-    return stem
-
+@lru_cache(maxsize=100_000)
+def arabic(w: str) -> str:
+    """A light stemmer: the longest of some endings is cut where three letters are left."""
+    e = next((e for e in ("ات", "ان", "ون", "ين", "ية", "ها", "هم", "كم", "ة", "ه", "ي") if w.endswith(e) and len(w) - len(e) >= 3), "")
+    return w[: -len(e)] if e else w
 
-#: Languages without a full algorithm here have a light one.
-french = _light("issements issement atrices atrice ateurs ateur ations ation logies logie ements ement ances ance ences ence ités ité ives ive ifs if euses euse eux aient erions eraient erait erez erons eront ions aient ais ait ant ez er ées ée és é es e s", 3, "éèêàâîôûç", "eeeaaiouc")
-italian = _light("azioni azione amenti amento imenti imento mente atrici atori atore anze anza iche ichi ità ivo iva ivi ive ando endo are ere ire ato ata ati ate uto uta uti ute ano ono i e a o", 3, "àèéìòù", "aeeiou")
-portuguese = _light("amentos amento imentos imento adoras adora adores ador ações ação mente idades idade ivas iva ivos ivo ando endo indo ar er ir ados adas ado ada idos idas ido ida amos emos imos ou as os es a o e", 3, "áâãàéêíóôõúç", "aaaaeeiooouc")
-dutch = _light("heden heid ingen ing lijk baar end ten en je s e", 3, "äëïöüáéíóú", "aeiouaeiou")
-finnish = _light("issa issä ista istä illa illä ilta iltä ssa ssä sta stä lla llä lta ltä lle ksi iin een aan ään ien den jen t n a ä i", 3)
-hungarian = _light("okat eket ban ben ból ből hoz hez nak nek val vel ról ről tól től nál nél ért kor ok ek ak ot et at t k", 3)
-romanian = _light("elor ilor lor ului ele ile uri ea ul ii ei ie e i a u", 3, "ăâîşţșț", "aaistst")
-russian = _light("иями ями ами ого его ому ему ыми ими ая яя ое ее ые ие ый ий ой ей ов ев ах ях ам ям ом ем ть ла ло ли ешь ет ют ут а я о е ы и у ю ь", 3, "ё", "е")
-arabic = _light("ات ان ون ين ية ها هم كم ة ه ي", 3)
 
-_STEMMERS: dict[str, Callable[[str], str]] = {"en": english, "de": german, "sv": swedish, "da": danish, "no": norwegian, "es": spanish, "fr": french, "it": italian, "pt": portuguese, "nl": dutch, "fi": finnish, "hu": hungarian, "ro": romanian, "ru": russian, "ar": arabic, "porter": porter}
+_STEMMERS: dict[str, Callable[[str], str]] = {"en": english, "de": german, "sv": swedish, "da": danish, "no": norwegian, "es": spanish, "fr": snowball.french, "it": snowball.italian, "pt": snowball.portuguese, "nl": snowball.dutch, "fi": snowball.finnish, "hu": snowball.hungarian, "ro": snowball.romanian, "ru": snowball.russian, "ar": arabic, "porter": porter}
 _CODES = dict(x.split(":") for x in "english:en german:de swedish:sv danish:da norwegian:no spanish:es french:fr italian:it portuguese:pt dutch:nl finnish:fi hungarian:hu romanian:ro russian:ru arabic:ar eng:en deu:de ger:de swe:sv dan:da nor:no spa:es fra:fr fre:fr ita:it por:pt nld:nl fin:fi hun:hu ron:ro rus:ru ara:ar".split())
 _STOPS = {
     "de": "der die das und in den von zu mit sich auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei",
