@@ -108,3 +108,11 @@ def test_highlighting():
     assert '<strong class="match term0">Alfa</strong>' in hl.Highlighter(hl.WholeFragmenter()).excerpt("an Alfa & b", known) and "&amp;" in hl.Highlighter(hl.WholeFragmenter()).excerpt("an Alfa & b", known)
     assert hl.Highlighter(top=1).excerpt(body, known).count("<strong") == 2
     assert hl.Highlighter(hl.WholeFragmenter(), hl.UppercaseFormatter()).excerpt("alfa x bravo alfa bravo", known, [("alfa", "bravo")]) == "alfa x bravo ALFA BRAVO"
+
+
+def test_phonetic_codes():
+    from wordloom.functions.phonetic import soundex_ar, soundex_en, soundex_esp
+
+    assert soundex_en("robert") == soundex_en("rupert") == "r01063" and soundex_en("-aab") == "a1" and soundex_en("") == ""
+    assert soundex_esp("calle") == "ks" and soundex_esp("vino") == soundex_esp("bino") == "bn" and soundex_esp("niño") == "n" and soundex_esp("ciudad") == "sdt"
+    assert soundex_ar("محمد") == "053" and soundex_ar("أحمد") == "053" and soundex_ar("كتاب") == "031" and soundex_ar("شمس") == "052" and soundex_ar("") == "0"

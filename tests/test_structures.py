@@ -48,6 +48,8 @@ def test_predicate_on_terms(spark):
     df = spark.createDataFrame([(w,) for w in [*WORDS, None]], "term string")
     got = {r.term for r in df.where(au.term_predicate(au.levenshtein_automaton("abca", 1))(df.term)).collect()}
     assert got == {w for w in WORDS if levenshtein(w, "abca") <= 1}
+    glob = {r.term for r in df.where(au.term_predicate(au.glob_automaton("a*[!b]"))(df.term)).collect()}
+    assert glob == {w for w in WORDS if re.fullmatch("a.*[^b]", w)} and glob
 
 
 KINDS = [ids.SortedIntSet, ids.BitSet, ids.RoaringIdSet]

@@ -383,6 +383,50 @@ def _python(tokens: Column, fn: Callable[[list[tuple[str, int, float]]], list[tu
     return run(tokens)
 
 
+def each_word(words: Column, fn: Callable[[str], str]) -> Column:
+    """A column of strings through a Python function, once for each different one of an Arrow batch."""
+
+    @F.arrow_udf("string")
+    def run(c: pa.Array) -> pa.Array:
+        d = c.dictionary_encode()
+        return pa.array([None if t is None else fn(t) for t in d.dictionary.to_pylist()], pa.string()).take(d.indices)
+
+    return run(words)
+
+
+def stopped(tokens: Column) -> Column:
+    """Tokens that a StopFilter would take out, beside those that it leaves: array<struct<t, pos, b, stopped>>."""
+    return F.transform(tokens, lambda x: F.struct(x["t"].alias("t"), x["pos"].alias("pos"), x["b"].alias("b"), x["t"].isin(*sorted(STOP_WORDS)).alias("stopped")))
+
+
+def unstopped(tokens: Column) -> Column:
+    """Of stopped()'s tokens those that stay."""
+    return F.transform(F.filter(tokens, lambda x: ~x["stopped"]), lambda x: _token(x["t"], x["pos"], x["b"]))
+
+
+def entoken(terms: Column, boost: float = 1.0) -> Column:
+    """Tokens from an array of strings, numbered in order."""
+    return F.transform(terms, lambda x, i: _token(x, i, F.lit(boost)))
+
+
+class LoggingFilter(Step):
+    """Passes tokens on and counts them in an accumulator: a way to see how many reach a place of a chain."""
+
+    python = True
+
+    def __init__(self, counter: object):
+        self.counter = counter
+
+    def apply(self, tokens: Column, mode: str) -> Column:
+        counter = self.counter
+
+        def count(ts: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+            counter.add(len(ts))  # type: ignore[attr-defined]
+            return ts
+
+        return _python(tokens, count)
+
+
 class MapFilter(Step):
     """Each token's text through a Python function, once for each different text of a batch."""
 

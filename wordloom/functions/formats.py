@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fnmatch import fnmatchcase
 
 from wordloom.functions import analysis as an
@@ -130,6 +130,40 @@ class Schema:
         return out
 
 
+class SchemaClass:
+    """A schema as a class: attributes that are field types are its fields, those of base classes too. Names may begin or
+    end with an underscore where the plain one is taken.
+
+        class Mail(SchemaClass):
+            title = TEXT(stored=True)
+            sent = DATETIME()
+
+        Mail.schema()
+    """
+
+    @classmethod
+    def schema(cls) -> Schema:
+        out = Schema()
+        for base in reversed(cls.__mro__):
+            for name, kind in vars(base).items():
+                if isinstance(kind, FieldType):
+                    out.add(name.strip("_"), kind)
+        return out
+
+
+def ensure_schema(x: Schema | type[SchemaClass]) -> Schema:
+    if isinstance(x, type) and issubclass(x, SchemaClass):
+        return x.schema()
+    if not isinstance(x, Schema):
+        raise TypeError(f"{x!r} is no schema")
+    return x
+
+
+def wrapped(kind: FieldType, **changes: object) -> FieldType:
+    """A field type like another but for some of its settings."""
+    return replace(kind, **changes)
+
+
 def merge_schemas(schemas: list[Schema]) -> Schema:
     out = Schema()
     for s in schemas:

@@ -8,48 +8,43 @@ _GROUPS = {c: str(k) for k, g in enumerate(("aeiouyhw", "bfpv", "cgjkqsxz", "dt"
 
 
 def soundex_en(word: str) -> str:
-    """First letter, then a digit for each run of letters of a group; vowels give 0; no fixed length."""
-    word = word.lower()
-    if not word:
-        return ""
-    out, last = word[0], _GROUPS.get(word[0])
-    for c in word[1:]:
-        d = _GROUPS.get(c)
-        if d is not None and d != last:
-            out += d
-        last = d if d is not None else last
-    return out
+    """First letter, then a digit for each run of letters of a group; vowels give 0; no fixed length; only a to z count."""
+    letters = [c for c in word.lower() if c in _GROUPS]
+    return letters[0] + "".join(_GROUPS[b] for a, b in zip(letters, letters[1:]) if _GROUPS[a] != _GROUPS[b]) if letters else ""
 
 
-_ES = (("qu", "k"), ("gü", "w"), ("ll", "y"), ("ch", "X"), ("h", ""), ("v", "b"), ("z", "s"), ("ñ", "N"), ("ce", "se"), ("ci", "si"), ("c", "k"), ("ge", "je"), ("gi", "ji"), ("w", "u"))
-_ES_GROUPS = {c: d for g, d in (("bp", "1"), ("f", "2"), ("td", "3"), ("sX", "4"), ("yi", "5"), ("lr", "6"), ("mnN", "7"), ("kgj", "8")) for c in g}
+#: Sounds of Spanish, tried in this order at each place: what is read, and the letter that it gives.
+_ES_SOUNDS = [(re.compile(read), gives) for read, gives in (
+    (r"\A(?:w[uh]|[wuh])?[aeiou]", ""), (r"sch|ch|sh|ll|cc|ps|bs|c[eiéí]|g[eiéí]|y[aeiouáéíóú]|[zxj]", "s"), (r"[aeiouáéíóúühw]+", ""), (r"y", ""), (r"gn|ñ", "n"), (r"[cdp]t", "t"), (r"ck|q|c[aouáóú]", "k"), (r"v", "b"), (r"d\Z", "t"),
+)]
 
 
 def soundex_esp(word: str) -> str:
-    """Spanish: spellings of one sound drawn together, then a digit for each group of consonants."""
-    w = word.lower().translate(str.maketrans("áéíóúü", "aeiouu"))
-    for a, b in _ES:
-        w = w.replace(a, b)
-    out = ""
-    for c in w:
-        d = _ES_GROUPS.get(c)
-        if d and (not out or out[-1] != d):
-            out += d
-    return out
+    """Spanish: a letter for each sound, none for vowels and h; a sound like the one before it is left out. Other letters stand."""
+    w, at, out, last = word.lower(), 0, [], None
+    while at < len(w):
+        gives, to = next(((x, m.end()) for p, x in _ES_SOUNDS if (m := p.match(w, at))), (w[at], at + 1))
+        if gives != last:
+            out.append(gives)
+        at, last = to, gives
+    return "".join(out)
 
 
-_AR_GROUPS = {c: d for g, d in (("بف", "1"), ("جخزسصظقكغش", "2"), ("تثدذضط", "3"), ("ل", "4"), ("من", "5"), ("ر", "6")) for c in g}
+_AR_CODES = {c: d for g, d in (("اأإآحخهعغشوي", "0"), ("بف", "1"), ("قكجزسصظ", "2"), ("تثدذضط", "3"), ("ل", "4"), ("من", "5"), ("ر", "6")) for c in g}
 
 
 def soundex_ar(word: str) -> str:
-    """Arabic: digits of consonant groups, without leading alifs and repeated groups, in four places."""
-    word = re.sub("^[اأإآ]+", "", word)
-    out = ""
-    for c in word:
-        d = _AR_GROUPS.get(c)
-        if d and (not out or out[-1] != d):
-            out += d
-    return (out + "0000")[:4]
+    """Arabic: 0, then digits of consonant groups from the second letter on (a leading alif isn't counted as the first); a
+    group's letter after one of the same is left out, those of group 0 are silent. A letter without a group counts as the
+    one before it."""
+    letters = word[1:] if word[:1] in tuple("اأإآ") else word
+    out, last = "0", "0"
+    for c in letters[1:]:
+        code = _AR_CODES.get(c, last)
+        if code not in (last, "0"):
+            out += code
+        last = code
+    return out
 
 
 def double_metaphone(word: str) -> tuple[str, str]:

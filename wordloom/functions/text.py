@@ -12,6 +12,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def tiered_ranges(low: int, high: int, bits: int = 64, step: int = 4) -> list[tuple[int, int, int]]:
+    """(shift, first, last): ranges of numbers without their last shift bits that together cover low to high, coarse ones in
+    the middle; step 0 is the range itself."""
+    if step == 0:
+        return [(0, low, high)]
+    out, shift = [], 0
+    while low <= high:
+        mask = (1 << step) - 1
+        if shift + step >= bits or (low >> step) == (high >> step):
+            out.append((shift, low, high))
+            break
+        if low & mask:
+            out.append((shift, low, low | mask))
+            low = (low | mask) + 1
+        if high & mask != mask:
+            first = high & ~mask
+            out.append((shift, first, high))
+            high = first - 1
+        low, high, shift = low >> step, high >> step, shift + step
+    return out
+
+
+def lfu_cache(size: int):
+    """A decorator that keeps a function's most used results; of equally used ones the oldest goes first."""
+    def around(fn):
+        kept: dict = {}
+        used: dict = {}
+
+        def call(*args):
+            if args not in kept:
+                if len(kept) >= size:
+                    least = min(kept, key=used.__getitem__)
+                    del kept[least], used[least]
+                kept[args], used[args] = fn(*args), 0
+            used[args] += 1
+            return kept[args]
+
+        call.cache = kept
+        return call
+
+    return around
+
+
+def try_for(fn, timeout: float = 5.0, delay: float = 0.1) -> bool:
+    """Call until it gives something true or the time is over."""
+    import time
+
+    until = time.monotonic() + timeout
+    while not (got := fn()) and time.monotonic() < until:
+        time.sleep(delay)
+    return bool(got)
+
+
 def levenshtein(a: str, b: str, limit: int | None = None) -> int:
     """Edit distance; limit + 1 at most where a limit is given."""
     prev = list(range(len(b) + 1))

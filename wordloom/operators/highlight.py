@@ -77,6 +77,69 @@ class ContextFragmenter:
         return out
 
 
+@dataclass
+class PinpointFragmenter:
+    """Fragments by the matches' character offsets alone: from one match to the last that still fits, with an even margin,
+    trimmed to white space where there is some."""
+
+    maxchars: int = 200
+    surround: int = 20
+    trim: bool = True
+
+    def fragments(self, text: str, matches: list[tuple[int, int, str]]) -> list[Fragment]:
+        out: list[Fragment] = []
+        i = 0
+        while i < len(matches):
+            j = i
+            while j + 1 < len(matches) and matches[j + 1][1] - matches[i][0] <= self.maxchars - 2 * self.surround:
+                j += 1
+            a, b = matches[i][0], max(m[1] for m in matches[i : j + 1])
+            lo, hi = max(a - self.surround, out[-1].end if out else 0), min(matches[j + 1][0] if j + 1 < len(matches) else len(text), b + self.surround)
+            if self.trim:
+                if 0 < lo < a and not text[lo - 1].isspace():
+                    lo = next((k + 1 for k in range(lo, a) if text[k].isspace()), lo)
+                if b < hi < len(text) and not text[hi].isspace():
+                    hi = next((k for k in range(hi, b, -1) if text[k].isspace()), hi)
+            out.append(Fragment(lo, hi, matches[i : j + 1]))
+            i = j + 1
+        return out
+
+
+def offsets(text: Column, expression: str = WORD, lower: bool = True) -> Column:
+    """array<struct<t, pos, startchar, endchar>>: words with their places in the text, in Arrow batches."""
+    kind = pa.list_(pa.struct([("t", pa.string()), ("pos", pa.int32()), ("startchar", pa.int32()), ("endchar", pa.int32())]))
+
+    @F.arrow_udf("array<struct<t:string,pos:int,startchar:int,endchar:int>>")
+    def run(c: pa.Array) -> pa.Array:
+        every = regex.compile(expression)
+        return pa.array([None if t is None else [{"t": m[0].lower() if lower else m[0], "pos": i, "startchar": m.start(), "endchar": m.end()} for i, m in enumerate(every.finditer(t))] for t in c.to_pylist()], kind)
+
+    return run(text)
+
+
+@dataclass
+class EventFormatter:
+    """Fragments as a stream of markup events for template engines: ("TEXT", text), ("START", (tag, class)), ("END", tag)."""
+
+    tag: str = "strong"
+    classname: str = "match"
+    between: str = "..."
+
+    def write(self, text: str, fragments: list[Fragment]) -> list[tuple[str, object]]:
+        out: list[tuple[str, object]] = []
+        for k, f in enumerate(fragments):
+            if k:
+                out.append(("TEXT", self.between))
+            at = f.start
+            for a, b, _ in f.matches:
+                if a >= at:
+                    out += [("TEXT", text[at:a])] if a > at else []
+                    out += [("START", (self.tag, self.classname)), ("TEXT", text[a:b]), ("END", self.tag)]
+                    at = b
+            out += [("TEXT", text[at : f.end])] if f.end > at else []
+        return out
+
+
 @dataclass
 class HtmlFormatter:
     tag: str = "strong"

@@ -76,6 +76,34 @@ class Query:
     def normalize(self) -> Query:
         return self
 
+    def simplify(self, corpus: Any) -> Query:
+        """The tree without leaves that no document of a corpus can match: terms that it lacks."""
+        have = self.existing_terms(corpus)
+        return self.accept(lambda q: NullQuery() if isinstance(q, Term) and corpus.kind(q.field).indexed and (q.field, q.text) not in have else q).normalize()
+
+    def existing_terms(self, corpus: Any) -> set[tuple[str, str]]:
+        """Those of all_terms that a corpus has; one lookup a field."""
+        terms = self.all_terms()
+        out: set[tuple[str, str]] = set()
+        for field in sorted({f for f, _ in terms if f in corpus.schema and corpus.kind(f).indexed}):
+            own = [t for f, t in terms if f == field]
+            out |= {(field, r["term"]) for r in corpus.terms_with(field, lambda t, own=own: t.isin(own)).select("term").collect()}  # the query's terms at most
+        return out
+
+    def estimate_size(self, corpus: Any) -> int:
+        """At most so many documents match: document frequencies added up where one of several may match, the least where all must."""
+        if isinstance(self, Term) and corpus.kind(self.field).indexed:
+            return corpus.doc_frequency(self.field, self.text)
+        if isinstance(self, And):
+            return min((c.estimate_size(corpus) for c in self.subs if not isinstance(c, Not)), default=corpus.doc_count())
+        if isinstance(self, (Or, DisjunctionMax)):
+            return min(sum(c.estimate_size(corpus) for c in self.subs), corpus.doc_count())
+        if isinstance(self, (AndNot, AndMaybe)):
+            return self.a.estimate_size(corpus)
+        if isinstance(self, Require):
+            return min(self.a.estimate_size(corpus), self.b.estimate_size(corpus))
+        return 0 if isinstance(self, NullQuery) else corpus.doc_count()
+
     def __str__(self) -> str:
         return self.text_form()
 
@@ -94,6 +122,11 @@ class NullQuery(Query):
     error: str = ""
 
 
+def error_query(error: Exception | str, q: Query | None = None) -> Query:
+    """A query that stands for one that can't be read; what q would match if it is given, else nothing."""
+    return q if q is not None else NullQuery(str(error))
+
+
 @dataclass(frozen=True)
 class Every(Query):
     """All documents, or those that have a term (or value) in a field; the score is the boost."""

@@ -115,6 +115,23 @@ class MultiWeighting(Weighting):
         return self.by.get(s.field, self.default).of(s)
 
 
+class DebugModel(Weighting):
+    """Another model, or the term's weight, with each posting's statistics beside the score: explain() for reading, score()
+    as that model scores."""
+
+    def __init__(self, weighting: Weighting | None = None):
+        self.inner = weighting or Frequency()
+
+    def score(self, s: Stats) -> Column:
+        return self.inner.score(s)
+
+    def of(self, s: Stats) -> Column:
+        return self.inner.of(s)
+
+    def explain(self, s: Stats) -> Column:
+        return F.struct(s.w.alias("weight"), s.length.alias("length"), s.df.alias("df"), s.cf.alias("cf"), s.n.alias("n"), s.avg.alias("avg"), self.of(s).alias("score"))
+
+
 class ReverseWeighting(Weighting):
     def __init__(self, weighting: Weighting):
         self.inner = weighting

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import query as Q
 from wordloom.operators.compile import compiled
 from wordloom.operators.facets import Count, Facet, facet, facets, grouped
-from wordloom.operators.scoring import BM25F, Weighting, idf, Stats
+from wordloom.operators.scoring import BM25F, FunctionWeighting, Stats, Weighting, idf
 from wordloom.sources.corpus import Corpus, term_info
 from wordloom.sources.scratch import kept as kept_table
 from wordloom.sources.scratch import new_path
@@ -177,6 +177,22 @@ class Searcher:
             kept = rows.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
         return Results(self, q, hits.select(*columns), kept.select(*columns, "rank"), facets(groupedby) if groupedby is not None else {}, maptype, terms, lost, limit is None)
 
+    def collector(self, limit: int | None = 10, **how) -> Callable[[Q.Query], Results]:
+        """A search with its settings made, to be run with one query after the other."""
+        return lambda q: self.search(q, limit=limit, **how)
+
+    def search_with_collector(self, q: Q.Query, collect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What a function of the scored matches (doc_id, score) gives: a way to collect that search() doesn't have."""
+        return collect(self.matches(q))
+
+    def context(self, weighting: Weighting | None = None) -> Searcher:
+        """A searcher of the same corpus with another model."""
+        return Searcher(self.corpus, weighting or self.weighting)
+
+    def boolean_context(self) -> Searcher:
+        """A searcher that counts every match as 1."""
+        return Searcher(self.corpus, FunctionWeighting(lambda s: F.lit(1.0)))
+
     def _ids(self, x: Any) -> DataFrame:
         if isinstance(x, Q.Query):
             return self.docs_for_query(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from wordloom.functions.analysis import let
 NONE = "array<struct<s:int,e:int>>"
 
 
+def before_place(spans: list[tuple[int, int]], place: int) -> int:
+    """How many spans of a list sorted by start begin before a place."""
+    return bisect.bisect_left([s for s, _ in spans], place)
+
+
 def none() -> Column:
     return F.array().cast(NONE)
 

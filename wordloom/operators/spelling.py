@@ -29,6 +29,15 @@ def list_suggestions(words: DataFrame, text: str, limit: int = 5, maxdist: int =
     return words.where(F.col("term").startswith(text[:prefix]) & (d >= 0)).select("term", d.alias("distance")).distinct().orderBy("distance", "term").limit(limit)
 
 
+def multi_suggestions(sources: list[tuple[DataFrame, float]], limit: int = 5) -> DataFrame:
+    """The best of several suggestion frames (term, distance, ...), each with a weight by which its distances are multiplied."""
+    parts = [df.select("term", (F.col("distance") * w).alias("distance")) for df, w in sources]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("term").agg(F.min("distance").alias("distance")).orderBy("distance", "term").limit(limit)
+
+
 @dataclass
 class Correction:
     query: Q.Query

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import analysis as an
+from wordloom.functions import automata as au
+from wordloom.functions import phonetic
 from wordloom.operators import classify
+from wordloom.operators.highlight import offsets
 from wordloom.operators.spelling import suggestions
 from wordloom.plans.catalog import TOK, WORD, register
 from wordloom.plans.catalog_search import documents, table
@@ -30,7 +33,7 @@ register("ngram_word_starts", f"SELECT substr(w, 1, k) AS t, count(*) AS n FROM
 register("shingle_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER w1 || '-' || lead(t, 2) OVER w1 AS s FROM w WINDOW w1 AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL GROUP BY s")(
     lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.ShingleFilter(3)))
 )
-register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM w) WHERE s IS NOT NULL GROUP BY s")(lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.BiWordFilter())))
+register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN t ELSE t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) END AS s FROM w) WHERE s IS NOT NULL GROUP BY s")(lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.BiWordFilter())))
 register("path_terms", "WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS u FROM pages), q AS (SELECT list_filter(string_split(u, '/'), lambda x: x <> '') AS l FROM p) SELECT array_to_string(l[1:i], '/') AS t, count(*) AS n FROM q, range(1, 12) r(i) WHERE i <= len(l) GROUP BY 1")(
     lambda s, d: counted(exploded_path(s, d))
 )
@@ -84,3 +87,19 @@ k AS (SELECT t, raw / max(raw) OVER () AS w FROM b)
 SELECT doc_id, round(sum(w * (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * fl / avgfl))), 6) AS score
 FROM post JOIN ts USING (t) JOIN len USING (doc_id) JOIN k USING (t) CROSS JOIN fs WHERE doc_id <> 48 GROUP BY doc_id ORDER BY sum(w * (ln(n / (df + 1.0)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * fl / avgfl))) DESC, doc_id LIMIT 10""",
 )(more_like)
+
+
+register("character_offsets", f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS t, regexp_split_to_array(text, '{WORD}') AS g FROM documents),
+r AS (SELECT doc_id, unnest(t) AS t, unnest(g[1:len(t)]) AS g, generate_subscripts(t, 1) AS i FROM l)
+SELECT doc_id, lower(t) AS t, (i - 1)::INTEGER AS pos, (sum(length(g) + length(t)) OVER w - length(t))::INTEGER AS startchar, (sum(length(g) + length(t)) OVER w)::INTEGER AS endchar FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")(
+    lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.inline(offsets(F.col("text")))).select("doc_id", "t", "pos", "startchar", "endchar")
+)
+register("automaton_terms", rf"WITH {TOK} SELECT t AS term, df FROM ts WHERE levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'ation') <= 1 AND starts_with(t, 'a')")(
+    lambda s, d: documents(s, d).lexicon("text").where(au.term_predicate(au.levenshtein_automaton("ation", 1, prefix=1).to_dfa())(F.col("term"))).select("term", "df")
+)
+register("glob_terms", f"WITH {TOK} SELECT t AS term, df FROM ts WHERE regexp_full_match(t, 't.*r[^ei].')")(lambda s, d: documents(s, d).lexicon("text").where(au.term_predicate(au.glob_automaton("t*r[!ei]?"))(F.col("term"))).select("term", "df"))
+register("phonetic_codes", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT w, translate(w, 'aeiouyhwbfpvcgjkqsxzdtlmnr', '00000000111122222222334556') AS c FROM w),
+k AS (SELECT w, c, unnest(range(2, length(c) + 1)) AS i FROM c)
+SELECT w.w AS t, substr(w.w, 1, 1) || coalesce((SELECT string_agg(substr(k.c, i, 1), '' ORDER BY i) FROM k WHERE k.w = w.w AND substr(k.c, i, 1) <> substr(k.c, i - 1, 1)), '') AS code FROM w""")(
+    lambda s, d: spread(table(s, d, "documents")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("t")).distinct().select("t", an.each_word(F.col("t"), phonetic.soundex_en).alias("code"))
+)

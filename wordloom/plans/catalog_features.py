@@ -49,7 +49,7 @@ def simhashes(spark: SparkSession, d: str) -> DataFrame:
 
 register("simhash_documents", f"""WITH term AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS t FROM documents),
 bit AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM (SELECT doc_id, ('0x' || substr(md5(t), 1, 16))::UBIGINT AS h FROM term), range(64) r(i) GROUP BY doc_id, i)
-SELECT doc_id, coalesce(lower(to_hex(sum(CASE WHEN s > 0 THEN 1::UHUGEINT << i ELSE 0 END)::UBIGINT)), '0') AS simhash FROM documents LEFT JOIN bit USING (doc_id) GROUP BY doc_id""")(simhashes)
+SELECT doc_id, coalesce(lower(to_hex(sum(CASE WHEN s > 0 THEN pow(2.0, i)::HUGEINT ELSE 0 END)::UBIGINT)), '0') AS simhash FROM documents LEFT JOIN bit USING (doc_id) GROUP BY doc_id""")(simhashes)
 register("hamming_distance", "SELECT o_orderkey AS doc_id, bit_count(xor(o_orderkey, o_custkey))::INTEGER AS distance FROM orders")(lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), classify.hamming_distance(F.col("o_orderkey"), F.col("o_custkey")).cast("int").alias("distance")))
 register("shingles_of_names", "SELECT n_name, substr(n_name, i, 3) AS shingle, count(*) AS n FROM nation, range(1, 40) r(i) WHERE i + 2 <= length(n_name) GROUP BY 1, 2")(lambda s, d: table(s, d, "nation").select("n_name", F.explode(classify.shingles(F.col("n_name"), 3)).alias("shingle")).groupBy("n_name", "shingle").agg(F.count(F.lit(1)).alias("n")))
 register("kmeans_clusters", """WITH RECURSIVE it AS (SELECT 0 AS n, 60000.0::DOUBLE AS a, 140000.0::DOUBLE AS b, 380000.0::DOUBLE AS c, 1e9::DOUBLE AS moved
@@ -67,7 +67,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("sliding_windows", "SELECT p_size, p_partkey, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS n_within, (SELECT max(q.p_size) FROM part q WHERE q.p_brand = p.p_brand AND q.p_size BETWEEN p.p_size AND p.p_size + 5) AS stop FROM part p")(_windows)
-register("sliding_windows_all", "SELECT DISTINCT l_extendedprice AS start, (SELECT max(q.l_extendedprice) FROM lineitem q WHERE q.l_extendedprice BETWEEN p.l_extendedprice AND p.l_extendedprice + 10) AS stop, (SELECT count(*) FROM lineitem q WHERE q.l_extendedprice BETWEEN p.l_extendedprice AND p.l_extendedprice + 10) AS n FROM lineitem p")(lambda s, d: classify.swin(table(s, d, "lineitem"), "l_extendedprice", 10))
+register("sliding_windows_all", "WITH v AS (SELECT DISTINCT o_custkey AS start FROM orders) SELECT start, max(o_custkey) AS stop, count(*) AS n FROM v JOIN orders ON o_custkey BETWEEN start AND start + 10 GROUP BY start")(lambda s, d: classify.swin(table(s, d, "orders"), "o_custkey", 10))
 register("natural_order", "SELECT c_custkey, 'c' || c_custkey % 1000 AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 1000, c_custkey)::INTEGER AS place FROM customer")(
     lambda s, d: table(s, d, "customer").withColumn("name", F.concat(F.lit("c"), F.col("c_custkey") % 1000)).select("c_custkey", "name", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(tx.natural_sort_key(F.col("name")), "c_custkey")).alias("place"))
 )

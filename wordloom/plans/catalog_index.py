@@ -194,7 +194,7 @@ register("streamed_phrase", f"WITH {_STREAM}, {tokens_sql('live')} SELECT DISTIN
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     def build(path: str) -> None:
-        events = table(spark, d, "events").select("event_type", "ts")
+        events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
         source = new_path(spark, "events")
         events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
