@@ -9,7 +9,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
@@ -18,6 +18,9 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling would take most of the time
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -81,6 +81,22 @@ def test_groups_match_brute_force(spark, corpus, rows):
     assert {tuple(r) for r in got.collect()} == brute_groups(ids, texts, m.THRESHOLD)
 
 
+def test_hot_bands(spark, corpus, monkeypatch):
+    ids, texts = corpus
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    rows = spark.createDataFrame([(b, i) for b in range(5) for i in range(200 if b < 2 else 1 + b)] + [(9, 7)] * 300, "band long, id long")
+    monkeypatch.setattr(m, "SEEN", 1)
+    hot = m._hot(rows, 200)
+    assert {x.band for x in hot.collect()} == {0, 1, 9}
+    want = sorted((b, i, 0) for b in range(5) for i in range(200 if b < 2 else 1 + b))
+    for h in (hot, None):
+        assert sorted(map(tuple, m._several(rows, h).select("band", "id", "lead").collect())) == want
+    every = m._hot
+    monkeypatch.setattr(m, "_hot", lambda rows, n: rows.select("band").distinct().where("band % 2 = 0"))
+    assert {tuple(r) for r in m.near_duplicates(df).collect()} == brute_groups(ids, texts, m.THRESHOLD)
+    assert every(rows, 10**9) is None
+
+
 def test_rows_tied_through_one_that_a_leader_settled(spark):
     r = random.Random(3)
     own = lambda n, i: [f"t{i}x{j}" for j in range(n)]

@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker's table holds before it starts anew; bounds memory, changes no result.
 TABLE_ROWS = 800_000
 #: And signs of pieces that it holds.
-TABLE_SIGNS = 10_000_000
+TABLE_SIGNS = 8_000_000
 
 
 @lru_cache(maxsize=4)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised step handles; bounds a Python worker's memory whatever the batch.
-CHUNK_CHARS = 800_000
+CHUNK_CHARS = 400_000
 
 _WRITTEN: dict[int, list[tuple[SparkSession, str]]] = {}
 
@@ -297,6 +297,14 @@ def shingle_hashes(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, n
     return row[start], mix64(out)
 
 
+def in_parts(texts: pa.Array, limit: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts of an array, about limit bytes at a time: what is made of a batch's texts stays small. What Arrow has set
+    free goes back to the system at the end, as idle workers keep it otherwise."""
+    for part in sliced(pa.RecordBatch.from_arrays([texts], ["t"]), "t", limit):
+        yield part.column(0).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def sliced(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about limit bytes in a column, so that what is made of them stays small."""
     import pyarrow.compute as pc

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import free_name, mix64, narrow, word_batches
+from wordloom.llm.common import free_name, in_parts, mix64, narrow, word_batches
 from wordloom.llm.toxicity import _among
 
 #: Edits allowed, as a share of an item's words.
@@ -273,7 +273,7 @@ def _matches(matcher: Matcher, id_type: pa.DataType, spark_type: str):
 
     @F.arrow_udf(f"array<struct<item_id:{spark_type},edits:int,first_word:bigint,n_words:bigint>>")
     def matches(t: pa.Array) -> pa.Array:
-        got = matcher.find(t.to_pylist())
+        got = [m for part in in_parts(t) for m in matcher.find(part)]
         return pa.array([[{"item_id": matcher.ids[i], "edits": e, "first_word": s, "n_words": n} for i, e, s, n in m] for m in got], pa.list_(kind))
 
     return matches

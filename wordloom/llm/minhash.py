@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import discard, free_name, mix64, saved, shared_hashes, shingle_hashes, with_vertex, word_batches
+from wordloom.llm.common import discard, free_name, in_parts, mix64, saved, shared_hashes, shingle_hashes, with_vertex, word_batches
 
 SLOTS, ROWS = 128, 3
 BANDS = SLOTS // ROWS
@@ -35,6 +35,10 @@ THRESHOLD, EPSILON = 0.5, 1e-9
 MARGIN = 0.18
 #: Rows of each unconnected group of a bucket that are held against other groups' at first, and how many times more next.
 FIRST = 8
+#: Pairs whose identifiers (16 bytes each) go to all executors, so that signatures and texts that they don't need stay where they are.
+FEW = 200_000
+#: A band is hot from one in HOT of the ids on; one in SEEN of the ids are looked at to tell.
+HOT, SEEN = 10_000, 64
 
 
 def weighted(h: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +150,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, slots: int, k: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sketch(b.column(1).to_pylist(), slots, k), pa.binary())], ["doc_id", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([x for part in in_parts(b.column(1)) for x in sketch(part, slots, k)], pa.binary())], ["doc_id", "h1", "h2", "sig"])
 
     return _hashed(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint, sig binary")
 
@@ -174,18 +178,48 @@ def different_texts(docs: DataFrame, id_col: str, text_col: str, slots: int = SL
     return texts
 
 
+def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (id, ...) that pairs (id, lead) need. Few pairs are told to the table's scan, so that only those rows move."""
+    if pairs.count() > FEW:
+        return table
+    ids = pairs.select("id").unionByName(pairs.select(F.col("lead").alias("id")))
+    return table.join(F.broadcast(ids), "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """(id, lead, similarity) of the pairs (id, lead) that reach the threshold, by signatures first and then exactly."""
-    near = pairs.join(sigs.withColumnRenamed("sig", "sa"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
-    near = near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead")
-    near = near.join(texts.withColumnRenamed("text", "ta"), "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
-    return near.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
+    pairs = saved(pairs)
+    own = _of(sigs, pairs)
+    near = pairs.join(own.withColumnRenamed("sig", "sa"), "id").join(own.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
+    near = saved(near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead"))
+    discard(pairs)
+    own = _of(texts, near)
+    both = near.join(own.withColumnRenamed("text", "ta"), "id").join(own.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
+    return both.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
+
 
+def _hot(rows: DataFrame, n: int) -> DataFrame | None:
+    """(band) of bands that a share of n / HOT of the ids or more fall into, as a share of them, chosen by hash, shows; None
+    where there are none. At most 2 * HOT * BANDS bands can be such: small enough to send to all executors."""
+    seen = rows.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(SEEN)) == 0).groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    hot = saved(seen.where(F.col("k") >= max(32, n // (2 * HOT * SEEN))).select("band"))
+    return None if hot.isEmpty() else hot
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Rows (band, id) of bands that hold different ids; counted by partial sums, so that a hot band meets in no task."""
-    mixed = rows.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    return rows.join(mixed.select("band", "lead"), "band")
+
+def _several(rows: DataFrame, hot: DataFrame | None, of: str = "id") -> DataFrame:
+    """rows (band, id, ...) of bands that hold different values, with the least one as lead.
+
+    The rows of a band meet by one shuffle; those of hot bands don't: their values are counted by partial sums and told to
+    the rows where they are.
+    """
+    bucket = Window.partitionBy("band")
+    cold = rows if hot is None else rows.join(F.broadcast(hot), "band", "left_anti")
+    cold = cold.withColumn("lead", F.min(of).over(bucket)).withColumn("last", F.max(of).over(bucket)).where("lead <> last").drop("last")
+    if hot is None:
+        return cold
+    warm = rows.join(F.broadcast(hot), "band")
+    mixed = warm.groupBy("band").agg(F.min(of).alias("lead"), F.max(of).alias("last")).where("lead <> last")
+    return cold.unionByName(warm.join(F.broadcast(mixed.select("band", "lead")), "band"))
 
 
 def _first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
@@ -193,7 +227,7 @@ def _first(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("n") <= n)
 
 
-def _across(open_rows: DataFrame, known: DataFrame, tested: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+def _across(open_rows: DataFrame, known: DataFrame, tested: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int, hot: DataFrame | None = None) -> DataFrame:
     """known, and the verified pairs of rows of one bucket that known doesn't connect and that weren't held against each other.
 
     Only pairs of different groups are made, so that a large group costs nothing by itself. Groups meet by their first rows
@@ -201,8 +235,7 @@ def _across(open_rows: DataFrame, known: DataFrame, tested: DataFrame, sigs: Dat
     """
     root = components(known.select(F.col("lead").alias("a"), F.col("id").alias("b")))
     rows = open_rows.select("band", "id").join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("g"))
-    mixed = rows.groupBy("band").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most")
-    rows = saved(rows.join(mixed.select("band"), "band", "left_semi"))
+    rows = saved(_several(rows, hot, "g").drop("lead"))
     of_id = rows.select("id", "g").distinct()
     size = rows.groupBy("band", "g").agg(F.count(F.lit(1)).alias("size"))
     duos = size.select("band", F.col("g").alias("ga"), F.col("size").alias("sa")).join(size.select("band", F.col("g").alias("gb"), F.col("size").alias("sb")), "band")
@@ -234,7 +267,9 @@ def near_pairs(docs: DataFrame, vertices: Texts, threshold: float = THRESHOLD, i
     reps = vertices.reps.where("sig is not null").select("id", "sig")
     size = 4 * rows
     bands = F.array(*(F.xxhash64(F.substring("sig", 1 + i * size, size), F.lit(i)) for i in range(slots // rows)))
-    open_rows = saved(_several(reps.select("id", F.explode(bands).alias("band"))))
+    rows_of = reps.select("id", F.explode(bands).alias("band"))
+    hot = _hot(rows_of, reps.count())
+    open_rows = saved(_several(rows_of, hot))
     ids = open_rows.select("id").distinct()
     firsts = vertices.reps.join(ids, "id", "left_semi").select("h1", "h2", F.col("first_id").alias("doc_id"), "id")
     texts = saved(_hashed(docs, id_col, text_col).join(firsts, ["doc_id", "h1", "h2"]).select("id", "text").dropDuplicates(["id"]))
@@ -259,10 +294,10 @@ def near_pairs(docs: DataFrame, vertices: Texts, threshold: float = THRESHOLD, i
         left = joined.groupBy("band", "id").agg(F.max("ok").alias("ok")).where("ok is null").select("band", "id")
         if lead is not None:
             left = left.join(lead.select("band", F.col("lead").alias("id")), ["band", "id"], "left_anti")
-        known, pending, leaders = edges, saved(_several(left)), leaders * 2
+        known, pending, leaders = edges, saved(_several(left, hot)), leaders * 2
         if pending.isEmpty():
             break
-    known = _across(open_rows, known, reduce(DataFrame.unionByName, tested), sigs, texts, threshold, k)
+    known = _across(open_rows, known, reduce(DataFrame.unionByName, tested), sigs, texts, threshold, k, hot)
     return known.select(F.col("lead").alias("a"), F.col("id").alias("b"), "similarity")
 
 

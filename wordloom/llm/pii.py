@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import discard, free_name, saved
+from wordloom.llm.common import discard, free_name, in_parts, saved
 
 #: What a pattern of each family counts for at full confidence.
 WEIGHTS = {"S": 0.9, "L": 0.9, "C": 0.7, "l": 0.5}
@@ -159,7 +159,7 @@ def _instances(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, found = [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(x for part in in_parts(b.column(2)) for x in part):
                 for a, z, k, p in candidates(text):
                     rows.append(i)
                     found.append((a, z, k, text[a:z], p))
@@ -283,7 +283,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pa
         @F.arrow_udf("string")
         def masked(c: pa.Array) -> pa.Array:
             out = []
-            for text in c.to_pylist():
+            for text in (x for part in in_parts(c) for x in part):
                 if text is not None:
                     got = [(a, b, judge(k, p, known)[0]) for a, b, k, p in candidates(text)]
                     text = _masked(text, [x for x in got if x[2]])

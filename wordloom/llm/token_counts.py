@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wordloom.llm import bpe
-from wordloom.llm.common import narrow, pylist, segments
+from wordloom.llm.common import narrow, pylist, segments, sliced
 
 
 def merge_count(piece: bytes, ranks: dict[bytes, int]) -> int:
@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, id_col: str
             ranks = bpe.load_ranks(vocabulary)
             _TABLE = (vocabulary, bpe.Pieces(lambda b: (len(b) - merge_count(b, ranks),)))
         table = _TABLE[1]
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, text_col)):
             texts = pylist(batch, text_col)
             count = np.zeros(len(texts), np.int64)
             for rows, parts in segments(texts):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LETTER, SPACE, bounded_sample, char_classes, code_points, free_name, narrow, saved, segments, span_hashes, words
+from wordloom.llm.common import LETTER, SPACE, bounded_sample, char_classes, code_points, free_name, in_parts, narrow, saved, segments, span_hashes, words
 
 #: Hostile words of four languages, a parameter of train(); words that the labels show are added to them.
 LEXICON = tuple(
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     @F.arrow_udf("array<double>")
     def features(t: pa.Array) -> pa.Array:
-        return pa.array(list(counter.features(t.to_pylist())), pa.list_(pa.float64()))
+        return pa.array([x for part in in_parts(t) for x in counter.features(part)], pa.list_(pa.float64()))
 
     rows = sample.where("fold > 0").select("k", "y", "fold", features("t").alias("x")).orderBy("k", "y").collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
@@ -327,7 +327,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def _scorer(model: Model):
     @F.arrow_udf("double")
     def score(t: pa.Array) -> pa.Array:
-        return pa.array(model.predict(t.to_pylist()), mask=t.is_null().to_numpy(zero_copy_only=False))
+        made = [model.predict(part) for part in in_parts(t)]
+        return pa.array(np.concatenate(made) if made else np.zeros(0), mask=t.is_null().to_numpy(zero_copy_only=False))
 
     return score
 

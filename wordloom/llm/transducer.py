@@ -225,5 +225,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, text_col
                 arr = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids), mask=pa.array(null))
                 more = [arr, pa.array(np.diff(off), mask=null), pa.array(same, pa.bool_(), mask=null)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, f"{schema}, `{names[0]}` array<int>, `{names[1]}` bigint, `{names[2]}` boolean")
