@@ -131,10 +131,18 @@ def _verifier(k: int):
     return exact
 
 
+@F.arrow_udf(T.BinaryType())
+def _short(sig: pa.Array) -> pa.Array:
+    """A byte of each slot. Equal slots have equal bytes, so no pair agrees in fewer of them than in its slots; of other
+    slots one in 256 does, and what that lets through is verified like the rest."""
+    low = np.ascontiguousarray(np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), -1)[:, ::4])
+    return pa.array([x.tobytes() for x in low], pa.binary())
+
+
 @F.arrow_udf(T.DoubleType())
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(len(b), -1)
+    x = np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(len(a), -1)
+    y = np.frombuffer(b"".join(b.to_pylist()), np.uint8).reshape(len(b), -1)
     return pa.array((x == y).mean(axis=1))
 
 
@@ -178,24 +186,23 @@ def different_texts(docs: DataFrame, id_col: str, text_col: str, slots: int = SL
     return texts
 
 
-def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows (id, ...) that pairs (id, lead) need. Few pairs are told to the table's scan, so that only those rows move."""
+def _beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """pairs (id, lead) with both rows' value in table (id, value) as a and b. Few pairs are told to the table's scans, so
+    that only rows of pairs move, and once."""
+    one, other = table.select("id", F.col(value).alias("a")), table.select(F.col("id").alias("lead"), F.col(value).alias("b"))
     if pairs.count() > FEW:
-        return table
-    ids = pairs.select("id").unionByName(pairs.select(F.col("lead").alias("id")))
-    return table.join(F.broadcast(ids), "id", "left_semi")
+        return pairs.join(one, "id").join(other, "lead")
+    needed = other.join(F.broadcast(pairs.select("lead").distinct()), "lead", "left_semi")
+    return one.join(F.broadcast(pairs), "id").join(needed, "lead")
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
     """(id, lead, similarity) of the pairs (id, lead) that reach the threshold, by signatures first and then exactly."""
     pairs = saved(pairs)
-    own = _of(sigs, pairs)
-    near = pairs.join(own.withColumnRenamed("sig", "sa"), "id").join(own.select(F.col("id").alias("lead"), F.col("sig").alias("sb")), "lead")
-    near = saved(near.where(_agreement("sa", "sb") >= threshold - MARGIN).select("id", "lead"))
+    near = saved(_beside(pairs, sigs, "sig").where(_agreement("a", "b") >= threshold - MARGIN).select("id", "lead"))
     discard(pairs)
-    own = _of(texts, near)
-    both = near.join(own.withColumnRenamed("text", "ta"), "id").join(own.select(F.col("id").alias("lead"), F.col("text").alias("tb")), "lead")
-    return both.select("id", "lead", _verifier(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
+    both = _beside(near, texts, "text")
+    return both.select("id", "lead", _verifier(k)("a", "b").alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
 
 
 def _hot(rows: DataFrame, n: int) -> DataFrame | None:
@@ -272,8 +279,9 @@ def near_pairs(docs: DataFrame, vertices: Texts, threshold: float = THRESHOLD, i
     open_rows = saved(_several(rows_of, hot))
     ids = open_rows.select("id").distinct()
     firsts = vertices.reps.join(ids, "id", "left_semi").select("h1", "h2", F.col("first_id").alias("doc_id"), "id")
-    texts = saved(_hashed(docs, id_col, text_col).join(firsts, ["doc_id", "h1", "h2"]).select("id", "text").dropDuplicates(["id"]))
-    sigs = saved(reps.join(ids, "id", "left_semi"))
+    key = ["doc_id", "h1", "h2"]  # of one vertex at most, so that repeated rows fall away where the join has put them
+    texts = saved(_hashed(docs, id_col, text_col).join(firsts, key).dropDuplicates(key).select("id", "text"))
+    sigs = saved(reps.select("id", _short("sig").alias("sig")).join(ids, "id", "left_semi"))
     known, leaders, pending, tested = None, 1, open_rows, []
     while True:
         if leaders > 1:
