@@ -35,7 +35,7 @@ THRESHOLD, EPSILON = 0.5, 1e-9
 MARGIN = 0.18
 #: Rows of each unconnected group of a bucket that are held against other groups' at first, and how many times more next.
 FIRST = 8
-#: Pairs whose identifiers (16 bytes each) go to all executors, so that signatures and texts that they don't need stay where they are.
+#: Pairs (16 bytes each) or keys of rows (24) that go to all executors, so that signatures and texts that they don't need stay where they are.
 FEW = 200_000
 #: A band is hot from one in HOT of the ids on; one in SEEN of the ids are looked at to tell.
 HOT, SEEN = 10_000, 64
@@ -371,7 +371,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.withColumns(dict(zip(key, (i, F.xxhash64(t), F.xxhash64(t, F.lit(7)))))).where(i.isNotNull() & t.isNotNull())
     apart = gone.select("doc_id", "h1", "h2").unionByName(several).toDF(*key)
-    rest = named.join(apart, key, "left_anti").select(*columns)
+    # few keys go to the documents; of more, which move with them, the join is by shuffle
+    told = F.broadcast if apart.count() <= FEW else (lambda keys: keys)
+    rest = named.join(told(apart), key, "left_anti").select(*columns)
     row = free_name(docs, "row")
-    one = named.join(several.toDF(*key), key, "left_semi").groupBy(*(F.col(f"`{x}`") for x in key)).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
+    one = named.join(told(several.toDF(*key)), key, "left_semi").groupBy(*(F.col(f"`{x}`") for x in key)).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
     return rest.unionByName(one.select(*(F.col(f"`{row}`.`{c}`") for c in docs.columns))).unionByName(docs.where(i.isNull() | t.isNull()))
