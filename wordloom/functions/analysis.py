@@ -101,6 +101,23 @@ class Analyzer(Step):
                 return None
         return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(out)
 
+    def numbered(self, text: Column) -> Column | None:
+        """struct<x array<string>, first int> of the terms in index mode where their places run on from the first's; None
+        where they don't, or a step needs more than strings."""
+        out, steps = self._lowered(F.coalesce(text.cast("string"), F.lit("")))
+        stops = [s for s in steps[1:] if isinstance(s, StopFilter)]
+        if self.strings(text) is None or len(stops) > 1 or any(s is not steps[-1] or not s.renumber for s in stops):
+            return None
+        out = steps[0].split(out)
+        for s in steps[1:]:
+            out = out if s in stops else s.on_strings(out)
+        made = lambda x, first: F.struct(x.alias("x"), F.coalesce(first.cast("int"), F.lit(0)).alias("first"))
+        if not stops:
+            return made(F.when(text.isNull(), F.array().cast("array<string>")).otherwise(out), F.lit(0))
+        # what a stop filter keeps goes by the text: where the first kept text stands first, it is kept
+        placed = let(out, lambda every: let(stops[0].on_strings(every), lambda kept: made(kept, F.array_position(every, F.get(kept, F.lit(0))) - 1)))
+        return F.when(text.isNull(), made(F.array().cast("array<string>"), F.lit(0))).otherwise(placed)
+
     def size(self, text: Column) -> Column:
         """How many terms tokens() gives."""
         s = self.strings(text)

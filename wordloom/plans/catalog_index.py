@@ -26,8 +26,8 @@ def once(spark: SparkSession, d: str, what: str, build) -> str:
     """The path of something that is written once a session and folder."""
     key = (spark.sparkContext.applicationId, d, what)
     if key not in _BUILT:
-        _BUILT[key] = new_path(spark, f"index-{what}")
-        build(_BUILT[key])
+        build(path := new_path(spark, f"index-{what}"))
+        _BUILT[key] = path  # not before it is whole
     return _BUILT[key]
 
 
@@ -175,11 +175,11 @@ register("overlaid_bm25", f"WITH {_BOTH}, {tokens_sql('live')} SELECT doc_id, ro
 
 
 def _streamed(spark: SparkSession, d: str) -> Index:
-    """Documents from a stream of three files, the last of which replaces some of the first."""
+    """Documents from a stream of three folders, the last of which replaces some of the first."""
     def build(path: str) -> None:
         source, docs = new_path(spark, "stream"), documents(spark, d)
         for k, part in enumerate((docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), docs.where("doc_id % 10 = 4").withColumn("text", F.lit("tion streamed anew")))):
-            part.coalesce(1).write.mode("append").parquet(f"{source}/{k}")
+            part.write.mode("append").parquet(f"{source}/{k}")
         ix = create_in(spark, path, schema())
         for k in range(3):
             stream_into(ix, spark.readStream.schema(docs.schema).parquet(f"{source}/{k}"), f"{path}-checkpoint-{k}", optimize_every=2).awaitTermination()

@@ -170,10 +170,10 @@ def counted_terms(strings: Column, where: Predicate | None) -> Column:
 SPREAD_BYTES = 256 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where the optimizer knows it for a small table; others stay as they are read."""
+def spread(df: DataFrame, least: int = 0) -> DataFrame:
+    """df over all cores where the optimizer knows it for a small table, of `least` bytes at least; others stay as they are read."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SPREAD_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if least <= int(str(size)) <= SPREAD_BYTES else df
 
 
 class FrameCorpus(Corpus):

@@ -1,9 +1,9 @@
 """An index on disk: segments of Parquet tables under a folder, published by generations of a JSON manifest.
 
 A segment holds docs (doc_id, columns, a length for each scored field), and postings by field, range-partitioned and
-sorted by term, so that a query's terms are found by row-group statistics. Deletions are written beside the segments and
-taken out when they are read; optimize() folds everything into one segment. Nothing that is published is written again;
-vacuum() removes what no manifest names.
+sorted by term, so that a query's terms are found by row-group statistics. Its texts are analysed once for lengths and once
+for postings. Deletions are written beside the segments and taken out when they are read; optimize() folds everything into
+one segment by merging postings. Nothing that is published is written again; vacuum() removes what no manifest names.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.formats import FieldType, Schema, merge_schemas
 from wordloom.operators import query as Q
-from wordloom.sources.corpus import Corpus, FrameCorpus, Predicate, summed
+from wordloom.sources.corpus import Corpus, FrameCorpus, Predicate, spread, summed
+from wordloom.sources.postings import by_ranges
 
 LENGTH = "_length_"
+#: Deletions of up to so many documents are sent to the tables that they are taken out of; more meet them by shuffle.
+SENT_DELETIONS = 1_000_000
+#: Tables from so many bytes on are dealt to all cores (see spread) before they are analysed.
+DEALT_BYTES = 4 << 20
 
 
 class EmptyIndexError(Exception):
@@ -135,6 +140,7 @@ class Index(Corpus):
     def __init__(self, spark: SparkSession, path: str, schema: Schema):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.files = _Files(spark, path)
+        self._sizes: dict[tuple[str, ...], int] = {}
         self.manifest = self._latest()
 
     def _latest(self) -> Manifest:
@@ -158,16 +164,21 @@ class Index(Corpus):
     def _deleted(self, segment: str) -> DataFrame | None:
         """doc_ids deleted after the segment was written."""
         own = [p for p in self.manifest.deletions if p.split("@")[0] >= segment.split("@")[0]]
-        return self.spark.read.parquet(*(f"{self.path}/{p}" for p in own)).select("doc_id").distinct() if own else None
+        if not own:
+            return None
+        gone = self.spark.read.parquet(*(f"{self.path}/{p}" for p in own)).select("doc_id")
+        key = tuple(own)
+        if key not in self._sizes:
+            self._sizes[key] = gone.count()  # by the files' footers
+        return F.broadcast(gone) if self._sizes[key] <= SENT_DELETIONS else gone
+
+    def _live_of(self, segment: str, what: str, use: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+        df = use(self.spark.read.parquet(f"{self.path}/{segment}/{what}"))
+        gone = self._deleted(segment)
+        return df if gone is None else df.join(gone, "doc_id", "left_anti")
 
     def _live(self, what: str, use: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame | None:
-        parts = []
-        for s in self.manifest.segments:
-            if what.startswith("postings") and f"{what}" not in self._tables(s):
-                continue
-            df = use(self.spark.read.parquet(f"{self.path}/{s}/{what}"))
-            gone = self._deleted(s)
-            parts.append(df if gone is None else df.join(gone, "doc_id", "left_anti"))
+        parts = [self._live_of(s, what, use) for s in self.manifest.segments if not what.startswith("postings") or what in self._tables(s)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def _tables(self, segment: str) -> set[str]:
@@ -331,7 +342,7 @@ class Writer:
             # the fold's name is later than all deletions so far, which have been taken out of it
             ix.manifest = Manifest(ix.manifest.generation, small, deletions, ix.schema.names())
             name = f"{n:08d}-c@{uuid.uuid4().hex[:8]}"
-            self._segment(name, ix.docs().withColumns(self.columns) if self.columns else ix.docs())
+            self._fold(name)
             segments = [*(s for s in segments if s not in small), name]
             deletions = [] if small is segments or len(segments) == 1 else deletions
         ix._publish(segments, deletions)
@@ -339,13 +350,46 @@ class Writer:
 
     def _segment(self, name: str, df: DataFrame) -> None:
         ix = self.index
-        indexed = [f for f in ix.schema.names(df.columns) if f in df.columns and ix.schema[f].indexed]
-        frame = FrameCorpus(df, ix.schema)
+        indexed = self._indexed(df)
         lengths: list[Column] = [ix.schema[f].analyzer.size(F.col(f)).alias(LENGTH + f) for f in indexed]
-        df.select("*", *lengths).write.parquet(f"{ix.path}/{name}/docs")
+        spread(df, DEALT_BYTES).select("*", *lengths).write.parquet(f"{ix.path}/{name}/docs")
+        docs = ix.spark.read.schema(df.schema).parquet(f"{ix.path}/{name}/docs")
+        for f in indexed:
+            self._postings(name, f, by_ranges(docs, f, ix.schema[f]))
+
+    def _indexed(self, df: DataFrame) -> list[str]:
+        schema = self.index.schema
+        return [f for f in schema.names(df.columns) if f in df.columns and schema[f].indexed]
+
+    def _postings(self, name: str, f: str, parted: DataFrame) -> None:
+        parted.sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{self.index.path}/{name}/postings_{f}")
+
+    def _fold(self, name: str) -> None:
+        """The manifest's segments as one, of live documents: lengths and postings are taken over, and made only where a
+        segment lacks them (of fields that the schema got later, of columns that are added now)."""
+        ix = self.index
+        columns = [c for c in ix.docs().columns if not c.startswith(LENGTH)]
+        indexed = self._indexed(ix.docs().withColumns(self.columns))
+        kept: dict[str, list[DataFrame]] = {f: [] for f in indexed}
+        docs = []
+        for s in ix.manifest.segments:
+            own, tables = ix._live_of(s, "docs"), ix._tables(s)
+            lacking = []
+            for f in indexed:
+                there = ix.spark.read.parquet(f"{ix.path}/{s}/postings_{f}").columns if f"postings_{f}" in tables and f not in self.columns else []
+                if LENGTH + f in own.columns and there and ("positions" in there or not ix.schema[f].positions):
+                    use = lambda p, f=f: p if ix.schema[f].positions else p.drop("positions")
+                    kept[f].append(ix._live_of(s, f"postings_{f}", use))
+                else:
+                    lacking.append(f)
+            rows = own.withColumns({c: F.lit(None).cast(ix.docs().schema[c].dataType) for c in columns if c not in own.columns}).withColumns(self.columns)
+            for f in lacking:
+                kept[f].append(FrameCorpus(rows, ix.schema).postings(f, positions=ix.schema[f].positions).drop("field"))
+            docs.append(rows.withColumns({LENGTH + f: ix.schema[f].analyzer.size(F.col(f)) for f in lacking}))
+        names = [*columns, *(c for c in self.columns if c not in columns), *(LENGTH + f for f in indexed)]
+        reduce(DataFrame.unionByName, (d.select(*names) for d in docs)).write.parquet(f"{ix.path}/{name}/docs")
         for f in indexed:
-            p = frame.postings(f, positions=ix.schema[f].positions).drop("field")
-            p.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{ix.path}/{name}/postings_{f}")
+            self._postings(name, f, reduce(DataFrame.unionByName, kept[f]).repartitionByRange("term", "doc_id"))
 
 
 class QueuedWriter:
