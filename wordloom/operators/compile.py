@@ -204,9 +204,6 @@ class Compiler:
         per_field: dict[str, list[int]] = {}
         for k, leaf in enumerate(self.leaves):
             per_field.setdefault(leaf.field, []).append(k)
-        stats = None
-        if self.scored and any(not x.constant for x in self.leaves):
-            stats = F.broadcast(self.corpus.field_stats([f for f in per_field if self.corpus.kind(f).scorable]))  # one row
         parts = []
         for name, own in per_field.items():
             kind = self.corpus.kind(name)
@@ -215,11 +212,13 @@ class Compiler:
             def any_leaf(t: Column, own: list[int] = own) -> Column:
                 return reduce(lambda a, b: a | b, (self.leaves[k].where(t) for k in own))
 
-            p = self.corpus.postings(name, any_leaf, places)
             scores = self.scored and any(not self.leaves[k].constant for k in own)
             if scores:
-                # as many rows as the query has terms; AQE broadcasts them by their measured size
-                p = p.join(term_info(p).select("term", "df", "cf"), "term").crossJoin(stats)
+                p, stats = self.corpus.matched(name, any_leaf, places)
+                # as many rows as the query has terms, which AQE broadcasts by their measured size; one row of statistics
+                p = p.join(term_info(p).select("term", "df", "cf"), "term").crossJoin(F.broadcast(stats))
+            else:
+                p = self.corpus.postings(name, any_leaf, places)
             aggs = []
             for k, leaf in enumerate(self.leaves):
                 if k not in own:

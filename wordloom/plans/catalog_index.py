@@ -90,7 +90,7 @@ register("index_lexicon", f"{_TOK} SELECT t AS term, count(*) AS df, sum(tf)::DO
 register("index_postings", f"{_TOK} SELECT doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok WHERE t = 'tion' GROUP BY doc_id")(
     lambda s, d: index(s, d).postings("text", lambda t: t == "tion", True).select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 )
-register("index_vectors", f"{_TOK} SELECT doc_id, t AS term, tf::INTEGER AS tf FROM post")(lambda s, d: (lambda c: c.vector("text", c.docs()).select("doc_id", "term", "tf"))(index(s, d)))
+register("index_vectors", f"{_TOK} SELECT doc_id, t AS term, tf::INTEGER AS tf FROM post")(lambda s, d: (lambda c: c.vector("text", positions=False).select("doc_id", "term", "tf"))(index(s, d)))
 register("index_field_statistics", f"{_TOK} SELECT n, total::BIGINT AS total_text, round(avgfl, 6) AS avg_text FROM fs")(lambda s, d: index(s, d).field_stats(["text"]).select("n", "total_text", F.round("avg_text", 6).alias("avg_text")))
 register("index_lengths", f"{_TOK} SELECT live.doc_id, coalesce(fl, 0)::INTEGER AS length FROM live LEFT JOIN len USING (doc_id)")(lambda s, d: index(s, d).lengths("text"))
 register("index_filter_sorted", f"{_TOK} SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id)::INTEGER AS rank FROM live WHERE lang = 'de' AND doc_id IN (SELECT doc_id FROM post WHERE t = 'tion') ORDER BY rank LIMIT 40")(lambda s, d: index(s, d).searcher().search(T("tion"), limit=40, filter=Q.Term("lang", "de"), sortedby="n_chars").rows().select("doc_id", "rank"))

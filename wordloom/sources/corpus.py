@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.analysis import let
 from wordloom.functions.formats import FieldType, Schema
+from wordloom.sources.scratch import NoScratchError, kept
 
 Predicate = Callable[[Column], Column]
 POSTING = "array<struct<term:string,tf:int,weight:double,positions:array<int>>>"
@@ -61,9 +62,14 @@ class Corpus:
         score = F.col("cf") * F.ln(F.col("n") / F.col("df"))
         return terms.select("term", score.alias("score")).orderBy(F.desc("score"), "term").limit(number)
 
-    def vector(self, field: str, ids: DataFrame) -> DataFrame:
-        """Postings of some documents (a frame with doc_id): the forward index."""
-        return self.postings(field, positions=self.kind(field).positions).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    def matched(self, field: str, where: Predicate, positions: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Postings of the terms for which where(term) holds, and the field's statistics."""
+        return self.postings(field, where, positions), self.field_stats([field] if self.kind(field).scorable else [])
+
+    def vector(self, field: str, ids: DataFrame | None = None, positions: bool = True) -> DataFrame:
+        """Postings of some documents (a frame with doc_id) or of all: the forward index."""
+        own = self.postings(field, positions=positions and self.kind(field).positions)
+        return own if ids is None else own.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def doc_count(self) -> int:
         return self.docs().count()
@@ -135,7 +141,7 @@ def term_info(postings: DataFrame) -> DataFrame:
 def gathered(tokens: Column, where: Predicate | None, boost: float) -> Column:
     """Tokens of one document drawn together by term, in the time that sorting them takes."""
     chosen = tokens if where is None else F.filter(tokens, lambda x: where(x["t"]))
-    return let(F.array_sort(F.transform(chosen, lambda x: F.struct(x["t"].alias("t"), x["pos"].alias("pos"), x["b"].alias("b")))), lambda own: let(_edges(own, lambda x: x["t"]), lambda at: _by_term(own, at, boost)))
+    return let(F.sort_array(F.transform(chosen, lambda x: F.struct(x["t"].alias("t"), x["pos"].alias("pos"), x["b"].alias("b")))), lambda own: let(_edges(own, lambda x: x["t"]), lambda at: _by_term(own, at, boost)))
 
 
 def _edges(ordered: Column, key: Callable[[Column], Column]) -> Column:
@@ -163,7 +169,7 @@ def counted_terms(strings: Column, where: Predicate | None) -> Column:
     """array<struct<term, tf>> of an array of strings."""
     chosen = strings if where is None else F.filter(strings, lambda x: where(x))
     runs = lambda own, at: _runs(at, lambda a, n: F.struct(F.get(own, a).alias("term"), n.cast("int").alias("tf")))
-    return let(F.array_sort(chosen), lambda own: let(_edges(own, lambda x: x), lambda at: runs(own, at)))
+    return let(F.sort_array(chosen), lambda own: let(_edges(own, lambda x: x), lambda at: runs(own, at)))
 
 
 #: Tables up to so many bytes are dealt to all cores before they are analysed, as their few files would keep few busy.
@@ -210,9 +216,25 @@ class FrameCorpus(Corpus):
     def lengths(self, field: str) -> DataFrame:
         return self.frame.select("doc_id", self.kind(field).analyzer.size(F.col(field)).alias("length"))
 
-    def vector(self, field: str, ids: DataFrame) -> DataFrame:
-        own = FrameCorpus(self.frame.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), self.schema)
-        return own.postings(field, positions=self.kind(field).positions)
+    def matched(self, field: str, where: Predicate, positions: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The texts are analysed once: each document's length and chosen postings are written and read back."""
+        kind = self.kind(field)
+        strings = None if positions else kind.analyzer.strings(F.col(field))
+        x = kind.analyzer.tokens(F.col(field)) if strings is None else strings
+        m = gathered(F.col("x"), where, kind.field_boost) if strings is None else counted_terms(F.col("x"), where)
+        rows = self.frame.select("doc_id", x.alias("x")).select("doc_id", F.size("x").alias("length"), m.alias("m"))
+        try:
+            rows = kept(rows, "matched")
+        except NoScratchError:
+            return super().matched(field, where, positions)
+        p = rows.select("doc_id", "length", F.explode("m").alias("p"))
+        weight = F.col("p.weight") if strings is None else F.col("p.tf") * F.lit(float(kind.field_boost))
+        out = p.select(F.lit(field).alias("field"), "p.term", "doc_id", "p.tf", weight.alias("weight"), "length", *(["p.positions"] if positions else []))
+        return out, summed(rows, {field: "length"} if kind.scorable else {})
+
+    def vector(self, field: str, ids: DataFrame | None = None, positions: bool = True) -> DataFrame:
+        own = self if ids is None else FrameCorpus(self.frame.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), self.schema)
+        return own.postings(field, positions=positions and self.kind(field).positions)
 
     def field_stats(self, fields: list[str]) -> DataFrame:
         sizes = self.frame.select(*(self.kind(f).analyzer.size(F.col(f)).alias(f) for f in fields)) if fields else self.frame.select("doc_id")

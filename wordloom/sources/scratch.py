@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoScratchError(RuntimeError):
+    """A cluster whose configuration names no folder that all executors share."""
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; unset, a local master gets a folder of its own, while a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            raise NoScratchError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
