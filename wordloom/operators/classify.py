@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,20 @@ def kl(top: Column, collection: Column, top_total: Column, n: Column, total: Col
 MODELS = {"bo1": bo1, "bo2": bo2, "kl": kl}
 
 
+#: Up to so many terms of the documents at hand are told to the scan; more meet it by a join.
+LISTED = 10_000
+
+
 def _ranked(corpus: Corpus, own: DataFrame, field: str, numterms: int, model: str) -> DataFrame:
     """own (term, top): the weights of terms in the documents at hand."""
-    stats = corpus.field_stats([field])
-    # the few documents' terms are told to the scan's side before anything is counted
-    every = corpus.postings(field).join(own.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("weight").alias("cf"))
+    listed = own.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED and corpus.kind(field).scorable:
+        # the few documents' terms are told to the scan, which gives the statistics as well
+        own, names = corpus.spark.createDataFrame(listed, own.schema), [r["term"] for r in listed]
+        every, stats = corpus.matched(field, lambda t: t.isin(names))
+    else:
+        every, stats = corpus.postings(field).join(own.select("term"), "term", "left_semi"), corpus.field_stats([field])
+    every = every.groupBy("term").agg(F.sum("weight").alias("cf"))
     top_total = own.agg(F.sum("top").alias("top_total"))
     rows = own.join(every, "term").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(top_total))  # a row each
     score = MODELS[model](F.col("top"), F.col("cf"), F.col("top_total"), F.col("n"), F.col(f"total_{field}"))
@@ -77,11 +89,31 @@ def md5_hash(x: Column) -> Column:
     return F.conv(F.substring(F.md5(x), 1, 16), 16, -10).cast("bigint")
 
 
+#: Hashes whose bits are counted at once.
+AT_ONCE = 1 << 17
+
+
+def _majority(c: pa.Array) -> pa.Array:
+    """The bits that most hashes of each list have."""
+    sizes = pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = c.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    ones, owner = np.zeros((len(sizes), 64), "int32"), np.repeat(np.arange(len(sizes)), sizes)
+    for a in range(0, len(flat), AT_ONCE):
+        own = owner[a : a + AT_ONCE]
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits = np.unpackbits(flat[a : a + AT_ONCE].astype("<i8").view("uint8").reshape(-1, 8), axis=1, bitorder="little")
+        ones[own[start]] += np.add.reduceat(bits, start, axis=0, dtype="int32")
+    most = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").reshape(-1).view("<i8")
+    return pa.array(most, mask=c.is_null().to_numpy(zero_copy_only=False))
+
+
 def simhash(features: Column, weights: Column | None = None, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
-    """64-bit simhash of an array of strings: each bit is what most of the weight has. One fold over 64 sums."""
+    """64-bit simhash of an array of strings: each bit is what most of the weight has. Without weights bits are counted in
+    Arrow batches; with them it is one fold over 64 sums."""
     hashes = F.transform(features, lambda x: hashed(x))
-    w = weights if weights is not None else F.transform(features, lambda x: F.lit(1.0))
-    both = F.zip_with(hashes, w, lambda h, x: F.struct(h.alias("h"), x.cast("double").alias("w")))
+    if weights is None:
+        return F.arrow_udf(_majority, "bigint")(hashes)
+    both = F.zip_with(hashes, weights, lambda h, x: F.struct(h.alias("h"), x.cast("double").alias("w")))
     sums = F.aggregate(both, F.array_repeat(F.lit(0.0), 64), lambda acc, x: F.transform(acc, lambda v, i: v + F.when(F.getbit(x["h"], i) == 1, x["w"]).otherwise(-x["w"])))
     powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
     return F.aggregate(F.zip_with(sums, powers, lambda v, p: F.when(v > 0, p).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, p: acc.bitwiseOR(p))
