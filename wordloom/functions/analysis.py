@@ -106,7 +106,7 @@ class Analyzer(Step):
         where they don't, or a step needs more than strings."""
         out, steps = self._lowered(F.coalesce(text.cast("string"), F.lit("")))
         stops = [s for s in steps[1:] if isinstance(s, StopFilter)]
-        if self.strings(text) is None or len(stops) > 1 or any(s is not steps[-1] or not s.renumber for s in stops):
+        if self.strings(text) is None or any(isinstance(s, ShingleFilter) for s in steps) or len(stops) > 1 or any(s is not steps[-1] or not s.renumber for s in stops):
             return None
         out = steps[0].split(out)
         for s in steps[1:]:
@@ -310,6 +310,13 @@ class ShingleFilter(Step):
     def apply(self, tokens: Column, mode: str) -> Column:
         return let(tokens, self._joined)
 
+    def on_strings(self, strings: Column) -> Column | None:
+        return let(strings, self._of_strings)
+
+    def _of_strings(self, x: Column) -> Column:
+        starts = F.slice(x, F.lit(1), F.greatest(F.size(x) - self.size + 1, F.lit(0)))
+        return F.transform(starts, lambda t, i: F.concat_ws(self.sep, t, *(F.get(x, i + k) for k in range(1, self.size))))
+
     def _joined(self, tokens: Column) -> Column:
         return let(F.transform(tokens, lambda x: x["t"]), lambda text: self._of(tokens, text))
 
@@ -328,6 +335,9 @@ class BiWordFilter(ShingleFilter):
     def apply(self, tokens: Column, mode: str) -> Column:
         return let(tokens, lambda t: F.when(F.size(t) < 2, t).otherwise(self._joined(t)))
 
+    def on_strings(self, strings: Column) -> Column | None:
+        return let(strings, lambda x: F.when(F.size(x) < 2, x).otherwise(self._of_strings(x)))
+
 
 class NgramFilter(Step):
     """Character n-grams of each token, at its start, its end or all over; in query mode of the largest size that fits."""

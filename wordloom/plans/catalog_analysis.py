@@ -21,6 +21,11 @@ def exploded(spark: SparkSession, d: str, analyzer: an.Analyzer, name: str = "do
     return rows.select("doc_id", F.col("x.t").alias("t"), F.col("x.pos").alias("pos"))
 
 
+def words(spark: SparkSession, d: str, analyzer: an.Analyzer) -> DataFrame:
+    """The terms of documents without their places."""
+    return spread(table(spark, d, "documents")).select(F.explode(analyzer.strings(F.col("text"))).alias("t"))
+
+
 def counted(df: DataFrame) -> DataFrame:
     return df.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
@@ -31,9 +36,9 @@ register("keyword_analysis", "SELECT t, count(*) AS n FROM (SELECT unnest(regexp
 register("ngram_terms", "SELECT substr(lower(n_name), i, k) AS t, count(*) AS n FROM nation, range(1, 30) r(i), range(2, 5) q(k) WHERE i + k - 1 <= length(n_name) GROUP BY 1")(lambda s, d: counted(exploded(s, d, an.NgramAnalyzer(2, 4), "nation", "n_nationkey", "n_name")))
 register("ngram_word_starts", f"SELECT substr(w, 1, k) AS t, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p_name), '{WORD}')) AS w FROM part), range(2, 5) q(k) WHERE length(w) >= k GROUP BY 1")(lambda s, d: counted(exploded(s, d, an.NgramWordAnalyzer(2, 4, at="start"), "part", "p_partkey", "p_name")))
 register("shingle_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT t || '-' || lead(t) OVER w1 || '-' || lead(t, 2) OVER w1 AS s FROM w WINDOW w1 AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL GROUP BY s")(
-    lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.ShingleFilter(3)))
+    lambda s, d: counted(words(s, d, an.SimpleAnalyzer() | an.ShingleFilter(3)))
 )
-register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN t ELSE t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) END AS s FROM w) WHERE s IS NOT NULL GROUP BY s")(lambda s, d: counted(exploded(s, d, an.SimpleAnalyzer() | an.BiWordFilter())))
+register("biword_terms", f"WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS l FROM documents)) SELECT s AS t, count(*) AS n FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY doc_id) = 1 THEN t ELSE t || '-' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) END AS s FROM w) WHERE s IS NOT NULL GROUP BY s")(lambda s, d: counted(words(s, d, an.SimpleAnalyzer() | an.BiWordFilter())))
 register("path_terms", "WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS u FROM pages), q AS (SELECT list_filter(string_split(u, '/'), lambda x: x <> '') AS l FROM p) SELECT array_to_string(l[1:i], '/') AS t, count(*) AS n FROM q, range(1, 12) r(i) WHERE i <= len(l) GROUP BY 1")(
     lambda s, d: counted(exploded_path(s, d))
 )
@@ -57,7 +62,7 @@ register("most_distinctive_terms", f"WITH {TOK} SELECT t AS term, round(cf * ln(
 register("field_statistics", f"WITH {TOK} SELECT n, total::BIGINT AS total_text, round(avgfl, 6) AS avg_text FROM fs")(lambda s, d: documents(s, d).field_stats(["text"]).select("n", "total_text", F.round("avg_text", 6).alias("avg_text")))
 register("field_lengths", f"WITH {TOK} SELECT min(fl)::INTEGER AS shortest, max(fl)::INTEGER AS longest FROM len")(lambda s, d: documents(s, d).tokens("text").select(F.size("tokens").alias("n")).where("n > 0").agg(F.min("n").alias("shortest"), F.max("n").alias("longest")))
 register("postings_positions", f"WITH {TOK} SELECT doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok WHERE t = 'thre' GROUP BY doc_id")(lambda s, d: documents(s, d).postings("text", lambda t: t == "thre", True).select("doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
-register("vector_terms", f"WITH {TOK} SELECT t AS term, doc_id, tf::INTEGER AS tf FROM post")(lambda s, d: (lambda c: c.vector("text", c.docs()).select("term", "doc_id", "tf"))(documents(s, d)))
+register("vector_terms", f"WITH {TOK} SELECT t AS term, doc_id, tf::INTEGER AS tf FROM post")(lambda s, d: (lambda c: c.vector("text", positions=False).select("term", "doc_id", "tf"))(documents(s, d)))
 register("spelling_suggest", rf"WITH {TOK}, lv AS (SELECT *, levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'thrion') AS d FROM ts) SELECT t AS term, d::INTEGER AS distance, cf::DOUBLE AS cf FROM lv WHERE d <= 2 ORDER BY 2, cf DESC, t LIMIT 10")(lambda s, d: suggestions(documents(s, d), "text", "thrion", 10))
 
 _KEYS = """, own AS (SELECT t, sum(tf) AS top FROM post WHERE doc_id IN (3, 5, 8) GROUP BY t), tt AS (SELECT sum(top) AS tt FROM own),
@@ -97,7 +102,7 @@ SELECT doc_id, lower(t) AS t, (i - 1)::INTEGER AS pos, (sum(length(g) + length(t
 register("automaton_terms", rf"WITH {TOK} SELECT t AS term, df FROM ts WHERE levenshtein(regexp_replace(t, '[^\x00-\x7F]', '~', 'g'), 'ation') <= 1 AND starts_with(t, 'a')")(
     lambda s, d: documents(s, d).lexicon("text").where(au.term_predicate(au.levenshtein_automaton("ation", 1, prefix=1).to_dfa())(F.col("term"))).select("term", "df")
 )
-register("glob_terms", f"WITH {TOK} SELECT t AS term, df FROM ts WHERE regexp_full_match(t, 't.*r[^ei].')")(lambda s, d: documents(s, d).lexicon("text").where(au.term_predicate(au.glob_automaton("t*r[!ei]?"))(F.col("term"))).select("term", "df"))
+register("glob_terms", f"WITH {TOK} SELECT t AS term, df FROM ts WHERE regexp_full_match(t, 't.*r[^ei].')")(lambda s, d: documents(s, d).terms_with("text", lambda t: t.startswith("t")).where(au.term_predicate(au.glob_automaton("t*r[!ei]?"))(F.col("term"))).select("term", "df"))
 register("phonetic_codes", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT w, translate(w, 'aeiouyhwbfpvcgjkqsxzdtlmnr', '00000000111122222222334556') AS c FROM w),
 k AS (SELECT w, c, unnest(range(2, length(c) + 1)) AS i FROM c)
 SELECT w.w AS t, substr(w.w, 1, 1) || coalesce((SELECT string_agg(substr(k.c, i, 1), '' ORDER BY i) FROM k WHERE k.w = w.w AND substr(k.c, i, 1) <> substr(k.c, i - 1, 1)), '') AS code FROM w""")(
