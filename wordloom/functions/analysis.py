@@ -118,6 +118,15 @@ class Analyzer(Step):
         placed = let(out, lambda every: let(stops[0].on_strings(every), lambda kept: made(kept, F.array_position(every, F.get(kept, F.lit(0))) - 1)))
         return F.when(text.isNull(), made(F.array().cast("array<string>"), F.lit(0))).otherwise(placed)
 
+    def plain(self) -> tuple[tuple | None] | None:
+        """(stop,) where the terms are the lower-case words of the text, for functions.words: stop is None, or what the last
+        step, a stop filter that renumbers, drops; None where they are anything else."""
+        _, steps = self._lowered(F.lit(""))
+        if steps is self.steps or not (len(steps) == 1 or len(steps) == 2 and type(steps[1]) is StopFilter and steps[1].renumber):
+            return None
+        gaps = type(steps[0]) is not RegexTokenizer or steps[0].gaps
+        return None if gaps else ((steps[1].stoplist, steps[1].minsize, steps[1].maxsize) if len(steps) == 2 else None,)
+
     def size(self, text: Column) -> Column:
         """How many terms tokens() gives."""
         s = self.strings(text)

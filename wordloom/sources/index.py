@@ -1,9 +1,9 @@
 """An index on disk: segments of Parquet tables under a folder, published by generations of a JSON manifest.
 
-A segment holds docs (doc_id, columns, a length for each scored field), and postings by field, range-partitioned and
-sorted by term, so that a query's terms are found by row-group statistics. Its texts are analysed once for lengths and once
-for postings. Deletions are written beside the segments and taken out when they are read; optimize() folds everything into
-one segment by merging postings. Nothing that is published is written again; vacuum() removes what no manifest names.
+A segment holds docs (doc_id, columns, a length for each scored field), and postings by field in blocks of a term (see
+sources.postings), range-partitioned and sorted by term, so that a query's terms are found by row-group statistics. Its texts
+are cut into words once for lengths and once for postings. Deletions are written beside the segments and taken out when they
+are read; optimize() folds everything into one segment by merging blocks. Nothing that is published is written again; vacuum() removes what no manifest names.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions import words
 from wordloom.functions.formats import FieldType, Schema, merge_schemas
 from wordloom.operators import query as Q
 from wordloom.sources.corpus import Corpus, FrameCorpus, Predicate, spread, summed
-from wordloom.sources.postings import by_ranges
+from wordloom.sources.postings import blocks, bounds, bounds_of, closed, dealt, joined, opened, sample_of, sampled, without
 
 LENGTH = "_length_"
 #: Deletions of up to so many documents are sent to the tables that they are taken out of; more meet them by shuffle.
@@ -44,7 +46,8 @@ class Manifest:
     segments: list[str] = field(default_factory=list)
     deletions: list[str] = field(default_factory=list)
     fields: list[str] = field(default_factory=list)
-    version: int = 1
+    #: 1: postings of a row each, which are still read; 2: blocks of them.
+    version: int = 2
 
 
 class _Files:
@@ -172,6 +175,14 @@ class Index(Corpus):
             self._sizes[key] = gone.count()  # by the files' footers
         return F.broadcast(gone) if self._sizes[key] <= SENT_DELETIONS else gone
 
+    def _gone(self, segment: str) -> np.ndarray | None:
+        """doc_ids deleted after the segment was written, in order; None if they are too many to be sent."""
+        gone = self._deleted(segment)
+        if gone is None:
+            return np.zeros(0, "int64")
+        ids = gone.limit(SENT_DELETIONS + 1).toArrow().column("doc_id").to_numpy()
+        return None if len(ids) > SENT_DELETIONS else np.unique(ids)
+
     def _live_of(self, segment: str, what: str, use: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
         df = use(self.spark.read.parquet(f"{self.path}/{segment}/{what}"))
         gone = self._deleted(segment)
@@ -195,6 +206,7 @@ class Index(Corpus):
     def postings(self, name: str, where: Predicate | None = None, positions: bool = False) -> DataFrame:
         def use(df: DataFrame) -> DataFrame:
             df = df if where is None else df.where(where(F.col("term")))
+            df = opened(df, positions and "positions" in df.columns) if "doc_ids" in df.columns else df
             return df if positions or "positions" not in df.columns else df.drop("positions")
 
         out = self._live(f"postings_{name}", use)
@@ -329,7 +341,7 @@ class Writer:
         # names rise with the generation, deletions before the segment of their own commit
         if self.gone and not clear:
             name = f"{n:08d}-a@{uuid.uuid4().hex[:8]}"
-            reduce(DataFrame.unionByName, self.gone).distinct().coalesce(8).write.parquet(f"{ix.path}/{name}")
+            reduce(DataFrame.unionByName, self.gone).distinct().write.parquet(f"{ix.path}/{name}")
             deletions.append(name)
         if self.added:
             name = f"{n:08d}-b@{uuid.uuid4().hex[:8]}"
@@ -351,18 +363,23 @@ class Writer:
     def _segment(self, name: str, df: DataFrame) -> None:
         ix = self.index
         indexed = self._indexed(df)
-        lengths: list[Column] = [ix.schema[f].analyzer.size(F.col(f)).alias(LENGTH + f) for f in indexed]
-        spread(df, DEALT_BYTES).select("*", *lengths).write.parquet(f"{ix.path}/{name}/docs")
+        spread(df, DEALT_BYTES).select("*", *(self._size(f).alias(LENGTH + f) for f in indexed)).write.parquet(f"{ix.path}/{name}/docs")
         docs = ix.spark.read.schema(df.schema).parquet(f"{ix.path}/{name}/docs")
         for f in indexed:
-            self._postings(name, f, by_ranges(docs, f, ix.schema[f]))
+            between = bounds_of(docs, f, ix.schema[f])
+            self._postings(name, f, dealt(blocks(docs, f, ix.schema[f], between), between).sortWithinPartitions("term"))
+
+    def _size(self, f: str) -> Column:
+        analyzer = self.index.schema[f].analyzer
+        plain = analyzer.plain()
+        return analyzer.size(F.col(f)) if plain is None else words.size(F.col(f), words.letters(self.index.spark), *plain)
 
     def _indexed(self, df: DataFrame) -> list[str]:
         schema = self.index.schema
         return [f for f in schema.names(df.columns) if f in df.columns and schema[f].indexed]
 
-    def _postings(self, name: str, f: str, parted: DataFrame) -> None:
-        parted.sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(f"{self.index.path}/{name}/postings_{f}")
+    def _postings(self, name: str, f: str, ordered: DataFrame) -> None:
+        ordered.write.option("parquet.block.size", 16 << 20).parquet(f"{self.index.path}/{name}/postings_{f}")
 
     def _fold(self, name: str) -> None:
         """The manifest's segments as one, of live documents: lengths and postings are taken over, and made only where a
@@ -370,7 +387,8 @@ class Writer:
         ix = self.index
         columns = [c for c in ix.docs().columns if not c.startswith(LENGTH)]
         indexed = self._indexed(ix.docs().withColumns(self.columns))
-        kept: dict[str, list[DataFrame]] = {f: [] for f in indexed}
+        kept: dict[str, list[str]] = {f: [] for f in indexed}
+        made: dict[str, list[DataFrame]] = {f: [] for f in indexed}
         docs = []
         for s in ix.manifest.segments:
             own, tables = ix._live_of(s, "docs"), ix._tables(s)
@@ -378,18 +396,37 @@ class Writer:
             for f in indexed:
                 there = ix.spark.read.parquet(f"{ix.path}/{s}/postings_{f}").columns if f"postings_{f}" in tables and f not in self.columns else []
                 if LENGTH + f in own.columns and there and ("positions" in there or not ix.schema[f].positions):
-                    use = lambda p, f=f: p if ix.schema[f].positions else p.drop("positions")
-                    kept[f].append(ix._live_of(s, f"postings_{f}", use))
+                    kept[f].append(s)
                 else:
                     lacking.append(f)
             rows = own.withColumns({c: F.lit(None).cast(ix.docs().schema[c].dataType) for c in columns if c not in own.columns}).withColumns(self.columns)
             for f in lacking:
-                kept[f].append(FrameCorpus(rows, ix.schema).postings(f, positions=ix.schema[f].positions).drop("field"))
-            docs.append(rows.withColumns({LENGTH + f: ix.schema[f].analyzer.size(F.col(f)) for f in lacking}))
+                made[f].append(rows)
+            docs.append(rows.withColumns({LENGTH + f: self._size(f) for f in lacking}))
         names = [*columns, *(c for c in self.columns if c not in columns), *(LENGTH + f for f in indexed)]
         reduce(DataFrame.unionByName, (d.select(*names) for d in docs)).write.parquet(f"{ix.path}/{name}/docs")
+        n = ix.spark.read.parquet(f"{ix.path}/{name}/docs").count()
         for f in indexed:
-            self._postings(name, f, reduce(DataFrame.unionByName, kept[f]).repartitionByRange("term", "doc_id"))
+            between = bounds(reduce(DataFrame.unionByName, (*(sample_of(self._read(s, f), n) for s in kept[f]), *(self._made_terms(d, f, n) for d in made[f]))), n)
+            parts = [*(self._live_blocks(s, f, between) for s in kept[f]), *(blocks(d, f, ix.schema[f], between) for d in made[f])]
+            self._postings(name, f, joined(dealt(reduce(DataFrame.unionByName, parts), between).sortWithinPartitions("term")))
+
+    def _read(self, segment: str, f: str) -> DataFrame:
+        """Blocks of a segment."""
+        df = self.index.spark.read.parquet(f"{self.index.path}/{segment}/postings_{f}")
+        df = df if "doc_ids" in df.columns else closed(df, "positions" in df.columns)
+        return df if self.index.schema[f].positions else df.drop("positions")
+
+    def _made_terms(self, docs: DataFrame, f: str, n: int) -> DataFrame:
+        return sampled(docs, n).select(F.explode(F.array_distinct(self.index.schema[f].analyzer.terms(F.col(f)))).alias("t")).withColumn("c", F.lit(1).cast("bigint"))
+
+    def _live_blocks(self, segment: str, f: str, between: list[str]) -> DataFrame:
+        """Blocks of a segment without what was deleted since, and the partition of each."""
+        df, gone = self._read(segment, f), self.index._gone(segment)
+        if gone is None:
+            positions = "positions" in df.columns
+            df = closed(opened(df, positions).join(self.index._deleted(segment), "doc_id", "left_anti"), positions)
+        return without(df, np.zeros(0, "int64") if gone is None else gone, between)
 
 
 class QueuedWriter:

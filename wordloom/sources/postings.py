@@ -1,8 +1,11 @@
-"""Postings of a table of documents, dealt to partitions by ranges of terms, in one pass over the texts.
+"""Postings of a table of documents, drawn together by term in blocks and dealt to partitions by ranges of terms, in one pass
+over the texts.
 
-A range partitioning of Spark's own works its input out twice, once for a sample. Here a sample of documents gives the
-bounds (it decides about sizes alone), and tokens are drawn together by term in Arrow batches, whose terms are each held
-against the bounds once.
+A block is a row of one term and many documents: (term, doc_ids, tfs, lengths, boost, weights[, positions]), whose lists are
+bytes of numbers (see LISTS), which Spark moves as they are; weights is empty where a weight is tf * boost, and positions has
+tf numbers a document. What is shuffled and sorted are blocks, of which there are as many as a batch of documents has
+different terms. A range partitioning of Spark's own works its input out twice, once for a sample. Here a sample of documents
+gives the bounds (it decides about sizes alone), and each batch's terms are held against the bounds once.
 """
 
 from __future__ import annotations
@@ -17,19 +20,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions import words
 from wordloom.functions.formats import FieldType
 
 #: Documents of the sample, postings that a partition is to have, tokens that are drawn together at once.
-SAMPLED, PART_ROWS, AT_ONCE = 1000, 500_000, 1_000_000
+SAMPLED, PART_ROWS, AT_ONCE = 1000, 1_000_000, 2_000_000
+#: The numbers in a block's lists, low byte first.
+LISTS = {"doc_ids": "<i8", "tfs": "<i4", "lengths": "<i4", "weights": "<f8", "positions": "<i4"}
+#: Rows of postings that go from Python to Spark at once.
+ROWS_AT_ONCE = 200_000
+#: Postings that a block made of several has at most, but for blocks that had more before.
+BLOCK_ROWS = 50_000
+
+
+def sampled(docs: DataFrame, n: int) -> DataFrame:
+    return docs if n <= SAMPLED else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // SAMPLED)) == 0)
 
 
 def bounds_of(docs: DataFrame, field: str, kind: FieldType) -> list[str]:
     """Terms between which the partitions lie; a term that fills several stands as often."""
     n = docs.count()
-    some = docs if n <= SAMPLED else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n // SAMPLED)) == 0)
     strings = kind.analyzer.strings(F.col(field))
-    terms = some.select(F.explode(F.array_distinct(kind.analyzer.terms(F.col(field)) if strings is None else strings)).alias("t"))
-    counts = sorted((r.t, r["count"]) for r in terms.groupBy("t").count().collect())
+    return bounds(sampled(docs, n).select(F.explode(F.array_distinct(kind.analyzer.terms(F.col(field)) if strings is None else strings)).alias("t")).withColumn("c", F.lit(1)), n)
+
+
+def bounds(terms: DataFrame, n: int) -> list[str]:
+    """bounds_of() from the terms (t) of the sample of n documents, and how many of it have them (c)."""
+    counts = sorted((r.t, r.c) for r in terms.groupBy("t").agg(F.sum("c").alias("c")).collect())
     total = sum(c for _, c in counts)
     parts = -(-total * max(1, n // SAMPLED) // PART_ROWS)
     out, seen = [], 0
@@ -49,50 +66,219 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def drawn(ids: np.ndarray, x: pa.Array, first: np.ndarray | None, bounds: list[str], boost: float, positions: bool) -> pa.RecordBatch:
-    """Postings of documents: x has strings that are numbered on from first, or structs of t, pos and b where first is None."""
-    sizes = np.diff(x.offsets.to_numpy())
-    doc, flat = np.repeat(np.arange(len(ids)), sizes), x.flatten()
-    if first is None:
-        words, pos, b = flat.field("t"), flat.field("pos").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False)
-    else:
-        words, pos, b = flat, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes), None
-    coded = words.dictionary_encode()
-    terms = coded.dictionary
-    key = doc * max(1, len(terms)) + coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(key, kind="stable") if first is not None else np.lexsort((pos, key))
-    key = key[order]
-    start = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]][: len(key)])
-    tf = np.diff(np.r_[start, len(key)])
-    code, owner = key[start] % max(1, len(terms)), key[start] // max(1, len(terms))
+def _parts(terms: pa.Array, some: np.ndarray, bounds: list[str]) -> pa.Array:
+    """The partition of each block; of a term that fills several, some (a number a block) says which."""
     often = Counter(bounds)
-    named = terms.to_numpy(zero_copy_only=False).tolist()
+    named = terms.to_pylist()
     low = np.array([bisect_left(bounds, t) for t in named], "int64")
     wide = np.array([often[t] + 1 if t in often else 1 for t in named], "int64")
-    weight = (tf if b is None else np.add.reduceat(b[order], start) if len(start) else tf) * boost
+    return pa.array((low + some % wide).astype("int32"))
+
+
+def _edges(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]][: len(key)])
+
+
+def _bytes(name: str, at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of a block's column that lie between positions at of all their values."""
+    kind = np.dtype(LISTS[name])
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * kind.itemsize).astype("int32")), pa.py_buffer(np.ascontiguousarray(values, kind))])
+
+
+def _numbers(name: str, c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What _bytes was given."""
+    kind, c = np.dtype(LISTS[name]), c.cast(pa.binary())
+    if not len(c):
+        return np.zeros(1, "int64"), np.zeros(0, kind)
+    off = np.frombuffer(c.buffers()[1], "int32")[c.offset : c.offset + len(c) + 1].astype("int64")
+    data = np.frombuffer(c.buffers()[2] or b"", "uint8")[off[0] : off[-1]]
+    return (off - off[0]) // kind.itemsize, np.frombuffer(data, kind)
+
+
+def drawn(ids: np.ndarray, terms: pa.Array, codes: np.ndarray, sizes: np.ndarray, pos: np.ndarray, b: np.ndarray | None, bounds: list[str], boost: float, positions: bool) -> pa.RecordBatch:
+    """Blocks of documents, sorted by term: codes has the term of each token, sizes the tokens of each document, pos and b
+    their places and boosts (None: 1)."""
+    ranked = pc.sort_indices(terms).to_numpy()
+    rank = np.empty(len(terms), "int64")
+    rank[ranked] = np.arange(len(terms))
+    key = rank[codes] * max(1, len(ids)) + np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(key, kind="stable") if b is None else np.lexsort((pos, key))
+    key = key[order]
+    start = _edges(key)
+    tf = np.diff(np.r_[start, len(key)])
+    owner, term = key[start] % max(1, len(ids)), key[start] // max(1, len(ids))
+    block = _edges(term)
+    at = np.r_[block, len(start)]
+    weights = [] if b is None else (np.add.reduceat(b[order], start) if len(start) else tf) * boost
+    named = terms.take(pa.array(ranked[term[block]]))
     columns = {
-        "part": pa.array((low[code] + ids[owner] % wide[code]).astype("int32")), "term": terms.take(pa.array(code)), "doc_id": pa.array(ids[owner]), "tf": pa.array(tf.astype("int32")),
-        "weight": pa.array(weight.astype("float64")), "length": pa.array(sizes[owner].astype("int32")),
+        "part": _parts(named, ids[owner[block]], bounds), "term": named, "doc_ids": _bytes("doc_ids", at, ids[owner]), "tfs": _bytes("tfs", at, tf), "lengths": _bytes("lengths", at, sizes[owner]),
+        "boost": pa.array(np.full(len(block), boost, "float64")), "weights": _bytes("weights", at if b is not None else np.zeros(len(at), "int64"), np.asarray(weights)),
     }
     if positions:
-        columns["positions"] = pa.ListArray.from_arrays(pa.array(np.r_[start, len(key)].astype("int32")), pa.array(pos[order].astype("int32")))
+        columns["positions"] = _bytes("positions", np.r_[start, len(key)][at], pos[order])
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _columns(positions: bool) -> str:
+    return "term string, doc_ids binary, tfs binary, lengths binary, boost double, weights binary" + ", positions binary" * positions
+
+
+def blocks(docs: DataFrame, field: str, kind: FieldType, bounds: list[str]) -> DataFrame:
+    """(part, term, ...) of every document."""
+    boost, positions, plain = float(kind.field_boost), kind.positions, kind.analyzer.plain()
+    numbered = kind.analyzer.numbered(F.col(field))
+    ids = F.col("doc_id").cast("bigint").alias("doc_id")
+    if plain is not None:
+        rows, (stop,), ranges = docs.select(ids, F.lower(F.col(field).cast("string")).alias("x")), plain, words.letters(docs.sparkSession)
+    elif numbered is not None:
+        rows = docs.select(ids, numbered.alias("n")).select("doc_id", "n.x", "n.first")
+    else:
+        rows = docs.select(ids, kind.analyzer.tokens(F.col(field)).alias("x"))
+    cut, structs = plain is not None, numbered is None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            # words are guessed from bytes, as they aren't cut yet
+            most = (pc.fill_null(pc.binary_length(x), 0) if cut else pc.list_value_length(x)).to_numpy(zero_copy_only=False)
+            for at, to in _slices(most // 6 if cut else most):
+                part = batch.slice(at, to - at)
+                x, b = part.column("x"), None
+                if cut:
+                    terms, codes, sizes, first = words.coded(x, ranges, stop)
+                else:
+                    sizes, flat = np.diff(x.offsets.to_numpy()), x.flatten()
+                    coded = (flat.field("t") if structs else flat).dictionary_encode()
+                    terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+                    first = None if structs else part.column("first").to_numpy()
+                if first is None:
+                    pos, b = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False)
+                else:
+                    pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+                yield drawn(part.column("doc_id").to_numpy(), terms, codes, sizes, pos, b, bounds, boost, positions)
+
+    return rows.mapInArrow(run, "part int, " + _columns(positions))
+
+
+def dealt(blocks: DataFrame, bounds: list[str]) -> DataFrame:
+    """Blocks in partitions by ranges of terms."""
+    return blocks.repartitionById(len(bounds) + 1, F.col("part")).drop("part")
+
+
+def _row_columns(positions: bool) -> str:
+    return "term string, doc_id bigint, tf int, weight double, length int" + ", positions array<int>" * positions
+
+
+def opened(blocks: DataFrame, positions: bool) -> DataFrame:
+    """(term, doc_id, tf, weight, length[, positions]) of blocks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids = _numbers("doc_ids", batch.column("doc_ids"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            tf = _numbers("tfs", batch.column("tfs"))[1]
+            weight = tf * batch.column("boost").to_numpy()[row]
+            own, given = _numbers("weights", batch.column("weights"))
+            weight[(np.diff(own) > 0)[row]] = given
+            made = [batch.column("term").take(pa.array(row)), pa.array(ids), pa.array(tf), pa.array(weight), pa.array(_numbers("lengths", batch.column("lengths"))[1])]
+            if positions:
+                made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tf)].astype("int32")), pa.array(_numbers("positions", batch.column("positions"))[1])))
+            rows = pa.RecordBatch.from_arrays(made, names=["term", "doc_id", "tf", "weight", "length", "positions"][: len(made)])
+            for k in range(0, rows.num_rows, ROWS_AT_ONCE):
+                yield rows.slice(k, ROWS_AT_ONCE)
+
+    return blocks.select("term", "doc_ids", "tfs", "lengths", "boost", "weights", *(["positions"] if positions else [])).mapInArrow(run, _row_columns(positions))
+
+
+def closed(rows: DataFrame, positions: bool) -> DataFrame:
+    """Blocks of one posting each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = batch.num_rows, np.arange(batch.num_rows + 1)
+            made = {"term": batch.column("term")} | {name: _bytes(name, at, batch.column(c).to_numpy(zero_copy_only=False)) for name, c in (("doc_ids", "doc_id"), ("tfs", "tf"), ("lengths", "length"))}
+            made |= {"boost": pa.array(np.ones(n)), "weights": _bytes("weights", at, batch.column("weight").to_numpy(zero_copy_only=False))}
+            if positions:
+                sizes = pc.list_value_length(batch.column("positions")).to_numpy(zero_copy_only=False)
+                made["positions"] = _bytes("positions", np.r_[0, np.cumsum(sizes)], batch.column("positions").flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict(made)
+
+    return rows.mapInArrow(run, _columns(positions))
+
+
+def sample_of(blocks: DataFrame, n: int) -> DataFrame:
+    """(t, c): terms of the blocks' postings of a sample of documents, of n in all, for bounds()."""
+    step = max(1, n // SAMPLED)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids = _numbers("doc_ids", batch.column("doc_ids"))
+            taken = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(step) == 0
+            c = np.diff(np.r_[0, np.cumsum(taken)][at])
+            yield pa.RecordBatch.from_pydict({"t": batch.column("term"), "c": pa.array(c.astype("int64"))}).filter(pa.array(c > 0))
+
+    return blocks.select("term", "doc_ids").mapInArrow(run, "t string, c bigint")
+
+
 def by_ranges(docs: DataFrame, field: str, kind: FieldType) -> DataFrame:
     """(term, doc_id, tf, weight, length[, positions]) of every document, in partitions by ranges of terms."""
-    bounds, boost, positions = bounds_of(docs, field, kind), kind.field_boost, kind.positions
-    numbered = kind.analyzer.numbered(F.col(field))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), kind.analyzer.tokens(F.col(field)).alias("x")) if numbered is None else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), numbered.alias("n")).select("doc_id", "n.x", "n.first")
+    between = bounds_of(docs, field, kind)
+    return opened(dealt(blocks(docs, field, kind, between), between), kind.positions)
+
+
+def _kept(batch: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
+    """Blocks without some documents (sorted)."""
+    at, ids = _numbers("doc_ids", batch.column("doc_ids"))
+    stay = gone[np.minimum(np.searchsorted(gone, ids), len(gone) - 1)] != ids
+    if stay.all():
+        return batch
+    tf = _numbers("tfs", batch.column("tfs"))[1]
+    out = {name: batch.column(name) for name in batch.schema.names}
+    for name in (x for x in LISTS if x in out):
+        own, values = _numbers(name, out[name])
+        if name == "weights":
+            left = stay[np.repeat(np.diff(own) > 0, np.diff(at))]
+        else:
+            left = np.repeat(stay, tf) if name == "positions" else stay
+        out[name] = _bytes(name, np.r_[0, np.cumsum(left)][own], values[left])
+    return pa.RecordBatch.from_pydict(out).filter(pc.greater(pc.binary_length(out["doc_ids"]), 0))
+
+
+def without(blocks: DataFrame, gone: np.ndarray, bounds: list[str]) -> DataFrame:
+    """(part, term, ...) of blocks without some documents (sorted)."""
+    schema = "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
 
-    plain = numbered is None
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = _kept(batch, gone) if len(gone) and batch.num_rows else batch
+            at, ids = _numbers("doc_ids", left.column("doc_ids"))
+            some = ids[at[:-1]]
+            yield pa.RecordBatch.from_arrays([_parts(left.column("term"), some, bounds), *left.columns], names=["part", *left.schema.names])
+
+    return blocks.mapInArrow(run, schema)
+
+
+def joined(blocks: DataFrame) -> DataFrame:
+    """Neighbouring blocks of a term and boost as one: only the lists' bounds between them are dropped."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = pc.list_value_length(b.column("x")).to_numpy(zero_copy_only=False)
-            for at, to in _slices(sizes):
-                part = b.slice(at, to - at)
-                yield drawn(part.column("doc_id").to_numpy(), part.column("x"), None if plain else part.column("first").to_numpy(), bounds, boost, positions)
-
-    out = rows.mapInArrow(run, "part int, term string, doc_id bigint, tf int, weight double, length int" + ", positions array<int>" * positions)
-    return out.repartitionById(len(bounds) + 1, F.col("part")).drop("part")
+        for batch in (b for b in batches if b.num_rows):
+            term = batch.column("term").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            at = _numbers("doc_ids", batch.column("doc_ids"))[0]
+            weighted = np.diff(_numbers("weights", batch.column("weights"))[0]) > 0
+            apart = (np.diff(term) != 0) | (np.diff(at[1:] // BLOCK_ROWS) != 0) | (np.diff(batch.column("boost").to_numpy()) != 0) | (weighted[1:] != weighted[:-1])
+            new = np.flatnonzero(np.r_[True, apart])
+            out = {}
+            for name in batch.schema.names:
+                c = batch.column(name)
+                if name in LISTS:
+                    own, values = _numbers(name, c)
+                    out[name] = _bytes(name, np.r_[own[new], own[-1]], values)
+                else:
+                    out[name] = c.take(pa.array(new))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return blocks.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields))
+
+
