@@ -110,3 +110,18 @@ def size(text: Column, ranges: Ranges, stop: tuple | None) -> Column:
         return pa.array(sizes.astype("int32"))
 
     return counted(F.lower(text.cast("string")))
+
+
+def strings(text: Column, ranges: Ranges, stop: tuple | None) -> Column:
+    """array<string> of each text's tokens; a null has none."""
+
+    @F.arrow_udf("array<string>")
+    def taken(x: pa.Array) -> pa.Array:
+        flat, sizes = cut(x, ranges)
+        at = np.r_[0, np.cumsum(sizes)]
+        if stop is not None:
+            ok = allowed(flat, *stop)
+            flat, at = flat.filter(pa.array(ok)), np.r_[0, np.cumsum(ok)][at]
+        return pa.ListArray.from_arrays(pa.array(at.astype("int32")), flat.cast("string"))
+
+    return taken(F.lower(text.cast("string")))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions import words
 from wordloom.functions.analysis import let
 from wordloom.functions.formats import FieldType, Schema
 from wordloom.sources.scratch import NoScratchError, kept
@@ -219,7 +220,8 @@ class FrameCorpus(Corpus):
     def matched(self, field: str, where: Predicate, positions: bool = False) -> tuple[DataFrame, DataFrame]:
         """The texts are analysed once: each document's length and chosen postings are written and read back."""
         kind = self.kind(field)
-        strings = None if positions else kind.analyzer.strings(F.col(field))
+        plain = kind.analyzer.plain()
+        strings = None if positions else kind.analyzer.strings(F.col(field)) if plain is None else words.strings(F.col(field), words.letters(self.spark), *plain)
         x = kind.analyzer.tokens(F.col(field)) if strings is None else strings
         m = gathered(F.col("x"), where, kind.field_boost) if strings is None else counted_terms(F.col("x"), where)
         rows = self.frame.select("doc_id", x.alias("x")).select("doc_id", F.size("x").alias("length"), m.alias("m"))
