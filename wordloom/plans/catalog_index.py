@@ -54,11 +54,7 @@ def index(spark: SparkSession, d: str) -> Index:
 
 
 def optimized(spark: SparkSession, d: str) -> Index:
-    def build(path: str) -> None:
-        copy_to(spark, index(spark, d).path, path)
-        open_dir(spark, path, schema()).optimize()
-
-    return open_dir(spark, once(spark, d, "optimized", build), schema())
+    return open_dir(spark, once(spark, d, "optimized", lambda p: index(spark, d).optimize_to(p)), schema())
 
 
 _LIVE = "live AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'thre tion ' || lang || ' renewed' ELSE text END AS text, lang, source, n_chars FROM documents WHERE source <> 'src3')"

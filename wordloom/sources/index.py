@@ -23,7 +23,7 @@ from wordloom.functions import words
 from wordloom.functions.formats import FieldType, Schema, merge_schemas
 from wordloom.operators import query as Q
 from wordloom.sources.corpus import Corpus, FrameCorpus, Predicate, spread, summed
-from wordloom.sources.postings import blocks, bounds, bounds_of, closed, dealt, joined, opened, sample_of, sampled, without
+from wordloom.sources.postings import LISTS, blocks, bounds, closed, dealt, joined, merged, opened, sample_of, sketch, sketch_of, without
 
 LENGTH = "_length_"
 #: Deletions of up to so many documents are sent to the tables that they are taken out of; more meet them by shuffle.
@@ -46,8 +46,8 @@ class Manifest:
     segments: list[str] = field(default_factory=list)
     deletions: list[str] = field(default_factory=list)
     fields: list[str] = field(default_factory=list)
-    #: 1: postings of a row each, which are still read; 2: blocks of them.
-    version: int = 2
+    #: 1: postings of a row each; 2: blocks of them; 3: blocks of fewer columns. All are read.
+    version: int = 3
 
 
 class _Files:
@@ -260,6 +260,16 @@ class Index(Corpus):
         w = self.writer()
         w.commit(optimize=True)
 
+    def optimize_to(self, path: str) -> Index:
+        """One segment of all live documents in an index of another folder; this one stays as it is."""
+        out = create_in(self.spark, path, self.schema)
+        if self.manifest.segments:
+            w, name = self.writer(), f"{out.manifest.generation + 1:08d}-c@{uuid.uuid4().hex[:8]}"
+            w.to = out.path
+            w._fold(name)
+            out._publish([name], [])
+        return out
+
     def vacuum(self) -> list[str]:
         """Remove what the latest manifest doesn't name; older handles stop working."""
         keep = {*self._latest().segments, *self._latest().deletions, f"manifest-{self._latest().generation:08d}.json"}
@@ -291,6 +301,7 @@ class Writer:
 
     def __init__(self, index: Index):
         self.index = index
+        self.to = index.path
         self.added: list[DataFrame] = []
         self.gone: list[DataFrame] = []
         self.columns: dict[str, Column] = {}
@@ -366,8 +377,8 @@ class Writer:
         spread(df, DEALT_BYTES).select("*", *(self._size(f).alias(LENGTH + f) for f in indexed)).write.parquet(f"{ix.path}/{name}/docs")
         docs = ix.spark.read.schema(df.schema).parquet(f"{ix.path}/{name}/docs")
         for f in indexed:
-            between = bounds_of(docs, f, ix.schema[f])
-            self._postings(name, f, dealt(blocks(docs, f, ix.schema[f], between), between).sortWithinPartitions("term"))
+            between = bounds(terms := sketch_of(docs, f, ix.schema[f]))
+            self._postings(name, f, dealt(blocks(docs, f, ix.schema[f], between), between).sortWithinPartitions("term"), terms)
 
     def _size(self, f: str) -> Column:
         analyzer = self.index.schema[f].analyzer
@@ -378,8 +389,13 @@ class Writer:
         schema = self.index.schema
         return [f for f in schema.names(df.columns) if f in df.columns and schema[f].indexed]
 
-    def _postings(self, name: str, f: str, ordered: DataFrame) -> None:
-        ordered.write.option("parquet.block.size", 16 << 20).parquet(f"{self.index.path}/{name}/postings_{f}")
+    def _postings(self, name: str, f: str, ordered: DataFrame, terms: list[tuple[str, int]]) -> None:
+        """Terms are looked for in row groups; lists are never, nor are two of them alike. terms: what a fold deals by."""
+        w = ordered.write.option("parquet.block.size", 16 << 20)
+        for c in LISTS:
+            w = w.option(f"parquet.enable.dictionary#{c}", "false").option(f"parquet.column.statistics.enabled#{c}", "false")
+        w.parquet(f"{self.to}/{name}/postings_{f}")
+        _Files(self.index.spark, self.to).create(f"{name}/terms_{f}.json", json.dumps(terms))
 
     def _fold(self, name: str) -> None:
         """The manifest's segments as one, of live documents: lengths and postings are taken over, and made only where a
@@ -404,12 +420,14 @@ class Writer:
                 made[f].append(rows)
             docs.append(rows.withColumns({LENGTH + f: self._size(f) for f in lacking}))
         names = [*columns, *(c for c in self.columns if c not in columns), *(LENGTH + f for f in indexed)]
-        reduce(DataFrame.unionByName, (d.select(*names) for d in docs)).write.parquet(f"{ix.path}/{name}/docs")
-        n = ix.spark.read.parquet(f"{ix.path}/{name}/docs").count()
+        reduce(DataFrame.unionByName, (d.select(*names) for d in docs)).write.parquet(f"{self.to}/{name}/docs")
+        n = ix.spark.read.parquet(f"{self.to}/{name}/docs").count()
         for f in indexed:
-            between = bounds(reduce(DataFrame.unionByName, (*(sample_of(self._read(s, f), n) for s in kept[f]), *(self._made_terms(d, f, n) for d in made[f]))), n)
+            sizes = [self._count(s) for s in kept[f]], [d.count() for d in made[f]]
+            terms = merged([*(self._terms(s, f, k) for s, k in zip(kept[f], sizes[0])), *(sketch_of(d, f, ix.schema[f]) for d in made[f])], n / max(1, sum(map(sum, sizes))))
+            between = bounds(terms)
             parts = [*(self._live_blocks(s, f, between) for s in kept[f]), *(blocks(d, f, ix.schema[f], between) for d in made[f])]
-            self._postings(name, f, joined(dealt(reduce(DataFrame.unionByName, parts), between).sortWithinPartitions("term")))
+            self._postings(name, f, joined(dealt(reduce(DataFrame.unionByName, parts), between).sortWithinPartitions("term")), terms)
 
     def _read(self, segment: str, f: str) -> DataFrame:
         """Blocks of a segment."""
@@ -417,8 +435,14 @@ class Writer:
         df = df if "doc_ids" in df.columns else closed(df, "positions" in df.columns)
         return df if self.index.schema[f].positions else df.drop("positions")
 
-    def _made_terms(self, docs: DataFrame, f: str, n: int) -> DataFrame:
-        return sampled(docs, n).select(F.explode(F.array_distinct(self.index.schema[f].analyzer.terms(F.col(f)))).alias("t")).withColumn("c", F.lit(1).cast("bigint"))
+    def _count(self, segment: str) -> int:
+        return self.index.spark.read.parquet(f"{self.index.path}/{segment}/docs").count()  # by the files' footers
+
+    def _terms(self, segment: str, f: str, n: int) -> list[tuple[str, int]]:
+        """A segment's sketch, as it was written; of one that has none, by a sample of its n documents."""
+        if (name := f"terms_{f}.json") in self.index._tables(segment):
+            return [(t, c) for t, c in json.loads(self.index.files.read(f"{segment}/{name}"))]
+        return sketch(sample_of(self._read(segment, f), n), n)
 
     def _live_blocks(self, segment: str, f: str, between: list[str]) -> DataFrame:
         """Blocks of a segment without what was deleted since, and the partition of each."""
