@@ -1,9 +1,10 @@
 """An index on disk: segments of Parquet tables under a folder, published by generations of a JSON manifest.
 
 A segment holds docs (doc_id, columns, a length for each scored field), and postings by field in blocks of a term (see
-sources.postings), range-partitioned and sorted by term, so that a query's terms are found by row-group statistics. Its texts
-are cut into words once for lengths and once for postings. Deletions are written beside the segments and taken out when they
-are read; optimize() folds everything into one segment by merging blocks. Nothing that is published is written again; vacuum() removes what no manifest names.
+sources.postings), range-partitioned and sorted by term, so that a query's terms are found by row-group statistics; beside them
+lies a sketch of their terms (terms_*.json), by which a fold deals its partitions. Its texts are cut into words once for lengths
+and once for postings. Deletions are written beside the segments and taken out when they are read; optimize() folds everything
+into one segment by merging blocks. Nothing that is published is written again; vacuum() removes what no manifest names.
 """
 
 from __future__ import annotations
